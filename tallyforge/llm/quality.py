@@ -107,21 +107,19 @@ def limits(sketch: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Add base_failed, adaptive_failed and kept.  ``bounds``: from limits(), already cut and small or not."""
-    n = bounds.count()
+    """Add base_failed, adaptive_failed and kept.  ``bounds``: from limits(), already cut; joined by broadcast if few."""
+    n, widest = bounds.count(), bounds.filter("level = 2").first()
     names = [f"max_{m}" for m in METRICS]
-    named = lambda level: bounds.filter(F.col("level") == level).select(F.col("q_lang").alias(f"l{level}"), F.col("q_source").alias(f"s{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names])
-    df = measured
-    for level, on in ((0, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0"))), (1, F.col("lang").eqNullSafe(F.col("l1"))), (2, F.lit(True))):
-        small = named(level)
-        df = df.join(F.broadcast(small) if level == 2 else maybe_broadcast(small, n), on, "left")
+    named = lambda level: maybe_broadcast(bounds.filter(F.col("level") == level).select(F.col("q_lang").alias(f"l{level}"), F.col("q_source").alias(f"s{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names]), n)
+    df = measured.join(named(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
+    df = df.join(named(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
     over = F.lit(False)
     for m in METRICS:
-        most = F.coalesce(*[F.col(f"max_{m}_{level}") for level in range(3)])
+        most = F.coalesce(F.col(f"max_{m}_0"), F.col(f"max_{m}_1"), F.lit(widest[f"max_{m}"] if widest else None).cast("long"))
         over = over | F.coalesce(metric(m) > most, F.lit(False))
     df = df.withColumns({"base_failed": base_failed(), "adaptive_failed": over})
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("adaptive_failed"))
-    return df.drop(*[f"{c}_{level}" for c in names for level in range(3)], "l0", "s0", "l1", "s1", "l2", "s2")
+    return df.drop(*[f"{c}_{level}" for c in names for level in range(2)], "l0", "s0", "l1", "s1")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

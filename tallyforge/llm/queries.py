@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, tokens, urls
+from . import mixing, packing, quality, simhash, tokens, toxicity, transport, urls
 from .common import cut, table, word_count
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -47,8 +47,44 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), transport.padded(F.col("text")).alias("payload"))
+    df = transport.read_streams(transport.store_streams(docs, "payload"))
+    points = F.filter("units", lambda u: u["random_access"])
+    feature = F.format_string(
+        "ts:packets=%d;units=%d;points=%d;first=%d;last=%d;errors=%d",
+        "n_packets", F.size("units"), F.size(points), F.element_at("units", 1)["pts"], F.element_at("units", -1)["pts"], F.col("cc_errors") + F.col("lost_sync"),
+    )
+    return df.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(3))
+    marked = labels.filter(fold("doc_id") != 1).select(F.col("doc_id").alias("marked_id"), "toxic")
+    labelled = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("marked_id"))
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
+ALL = (op1_quality_rules, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
