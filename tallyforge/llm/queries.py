@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, repeats, simhash, tokens, toxicity, transport, urls
+from . import licenses, mixing, packing, quality, repeats, simhash, tokens, toxicity, transport, urls
 from .common import cut, table, word_count
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -27,6 +27,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def document_path() -> Column:
+    """Documents have no paths; the query lays them out: source / language / 64 documents / 8 documents.  The first of
+    64 is the LICENSE of the outer directory, the first of 8 that of the inner one."""
+    outer, inner = F.expr("cast(doc_id div 64 as string)"), F.expr("cast(doc_id div 8 as string)")
+    name = F.when(F.expr("doc_id % 64 = 0"), F.concat_ws("/", outer, F.lit("LICENSE"))).when(F.expr("doc_id % 8 = 0"), F.concat_ws("/", outer, inner, F.lit("LICENSE")))
+    return F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(name, F.concat_ws("/", outer, inner, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    return licenses.scan_licences(files).select("doc_id", "path", "license", "score", "license_from")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "host string, path string, verdict string"
     df = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(RULES, schema), spark.createDataFrame(LISTED, schema))
@@ -85,7 +98,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ALL = (op1_quality_rules, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity, op10_suffix_dedup)
+ALL = (op1_quality_rules, op2_license_scan, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
