@@ -13,7 +13,11 @@ the same sequences again, as long as its partition has the same rows in the same
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -28,8 +32,8 @@ TIERS = (2048, 1024, 512, 256)
 #: A block of rests is packed when it holds so many ids, and a step group takes so many ids.
 BLOCK_IDS = 1 << 20
 STEP_IDS = 1 << 18
-#: Entries of a worker's cache of chunks and the longest chunk in it.
-CACHE_SIZE = 400_000
+#: Entries of each of a worker's two caches and the longest chunk in them.
+CACHE_SIZE = 600_000
 CACHE_CHARS = 100
 END_ID = 2
 
@@ -38,44 +42,76 @@ SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens lon
 _loaded: dict = {}
 
 
+#: Chunks of these characters alone (printable ASCII and the letters of Latin-1) are split by SPLIT after lower-casing,
+#: as the tokenizer's own pattern does; any other chunk goes through the whole tokenizer.
+SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 class ChunkEncoder:
     """A text's ids as little-endian 32-bit numbers, joined from its chunks between spaces and line ends.
 
-    Right for tokenizers that drop white space and split at it before their merges, as the given one (checked).
+    Right for tokenizers that drop white space and split at it before their merges, as the given one (checked); others
+    encode texts whole.  The first chunks and words are kept, until most of the later ones are others.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.apart = split.get("behavior") == "Removed" and r"[^\s" in str(split.get("pattern")) and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.apart = (
+            [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"] == {"Regex": PATTERN}
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and normal == ["NFC", "Replace", "Lowercase"]
+            and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        )
+        self.letters = byte_letters()
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.missed = 0
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+            if len(self.words) < CACHE_SIZE and len(word) <= CACHE_CHARS:
+                self.words[word] = found
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        found = b"".join(map(self.word, SPLIT(chunk.lower()))) if SIMPLE(chunk) and "<|" not in chunk else self.whole(chunk)
+        if len(self.chunks) < CACHE_SIZE and len(chunk) <= CACHE_CHARS:
+            self.chunks[chunk] = found
+        self.missed += 1
+        return found
 
     def encode(self, text: str) -> bytes:
         if not self.apart:
-            return self.whole([text])[0]
+            return self.whole(text)
+        if self.missed > 8 * CACHE_SIZE:  # the texts have changed
+            self.chunks, self.words, self.missed = {"": b""}, {}, 0
         chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.cache.get, chunks))
+        found = list(map(self.chunks.get, chunks))
         if None in found:
-            missed = [*{c for c, x in zip(chunks, found, strict=True) if x is None}]
-            new = dict(zip(missed, self.whole(missed), strict=True))
-            if len(self.cache) > CACHE_SIZE:
-                self.cache = {"": b""}
-            self.cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
-            found = [new[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+            found = [self.chunk(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
         return b"".join(found)
 
 
 def encoder(path: str) -> ChunkEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _loaded:
         _loaded[path] = ChunkEncoder(path)
