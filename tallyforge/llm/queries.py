@@ -87,9 +87,7 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(3))
-    marked = labels.filter(fold("doc_id") != 1).select(F.col("doc_id").alias("marked_id"), "toxic")
-    labelled = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("marked_id"))
-    scored = toxicity.score(docs, toxicity.fit(labelled))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(fold("doc_id") != 1)))
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 

@@ -25,9 +25,9 @@ EPOCHS = 6
 TOXIC_WEIGHT = 8.0
 #: Slots that fewer rows of a shard have are left out: they say nothing about other texts.
 MIN_ROWS = 2
-#: The fit takes MAX_SHARDS shards of SHARD_ROWS labelled rows at most: those with the smallest hashes of their ids.
+#: The fit takes so many shards of so many labelled rows at most.
 SHARD_ROWS = 4_000
-MAX_SHARDS = 16
+MAX_SHARDS = 4
 THRESHOLD = 0.7
 CACHE_SIZE = 400_000
 CACHE_CHARS = 100
@@ -90,23 +90,27 @@ def learn(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EP
     return weights(np.arange(n_slots))
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS) -> DataFrame:
-    """slot, weight of the averaged model, without zeros; slot 2**bits is the bias.  Rows without a label are left out,
-    null texts count as empty.  Rows are ordered by their ids' hashes, so reruns agree."""
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    n = rows.count()
-    shards = max(1, min(MAX_SHARDS, n // SHARD_ROWS))
-    if n > MAX_SHARDS * SHARD_ROWS:
-        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SHARDS * SHARD_ROWS)
-    kept = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int"))
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS) -> DataFrame:
+    """slot, weight of the averaged model, without zeros; slot 2**bits is the bias.
+
+    ``labels``: doc_id and label of the rows to learn from, of which those with the smallest hashes of their ids are
+    taken, MAX_SHARDS * SHARD_ROWS at most; their ids are so few that they are sent to the texts, of which only these
+    are shuffled.  Null ids and labels are left out, null texts count as empty.  Rows are learned in order of their ids'
+    hashes, so reruns agree.
+    """
+    marked = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"), F.xxhash64(doc_id).alias("order"))
+    marked = marked.orderBy("order", "id", "label").limit(MAX_SHARDS * SHARD_ROWS)
+    shards = max(1, min(MAX_SHARDS, marked.count() // SHARD_ROWS))
+    marked = marked.withColumn("shard", F.pmod(F.shiftright("order", 8), F.lit(shards)).cast("int"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("id"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "doc_id"])
+        frame = frame.sort_values(["order", "doc_id", "text"])
         w = learn([(np.unique(features(t or "", bits)), int(y)) for t, y in zip(frame["text"], frame["label"], strict=True)], bits)
         slots = np.flatnonzero(w)
         return pd.DataFrame({"slot": slots, "weight": w[slots]})
 
-    learned = kept.withColumn("order", F.xxhash64("doc_id")).groupBy("shard").applyInPandas(one, "slot long, weight double")
+    learned = rows.repartition(shards, "shard").groupBy("shard").applyInPandas(one, "slot long, weight double")
     return learned.groupBy("slot").agg((F.sum("weight") / F.lit(shards)).alias("weight")).filter("weight != 0")
 
 
