@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import cut, maybe_broadcast
 
 #: Bits of the filter for each entry, and the largest filter; beyond it more false positives reach the exact join.
 BITS_PER_ENTRY = 16
@@ -98,7 +98,8 @@ def match(df: DataFrame, listing: DataFrame, host: str = "host", path: str = "pa
         .groupBy(F.col("_url_possible").alias("_url_list"))
         .agg(F.max("found").alias("_url_found"))
     )
-    found = some.join(exact, F.col("_url_possible") == F.col("_url_list"), "left")
+    exact = cut(exact)
+    found = some.join(maybe_broadcast(exact, exact.count()), F.col("_url_possible") == F.col("_url_list"), "left")
     entry = F.when(F.col("_url_found").isNotNull(), F.struct(F.col("_url_found.rule").alias("rule"), F.col("_url_found.verdict").alias("verdict")))
     return passed.unionByName(found.select(*columns, entry.alias("entry")))
 
@@ -107,9 +108,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     """Add host, path, rule, listed (boolean) and verdict of each URL.
 
     ``rules``: entries that decide.  ``listed``: the block list, entries of canonical hosts and paths that decide where
-    no rule fits; anything else is allowed.
+    no rule fits; anything else is allowed.  Input columns named as the added ones (or ``entry``) are replaced.
     """
     host, path = host_path(F.col(url))
+    pages = pages.drop("host", "path", "rule", "verdict", "listed", "entry")
     df = match(pages.withColumns({"host": host, "path": path}), rules).withColumnRenamed("entry", "_rule")
     df = match(df, listed).withColumn("listed", F.col("entry").isNotNull())
     verdict = F.coalesce(F.col("_rule.verdict"), F.col("entry.verdict"), F.lit("allow"))
