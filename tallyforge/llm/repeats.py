@@ -216,6 +216,7 @@ def repeated_spans(keys: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     runs = keys.filter(F.octet_length("text") >= window).mapInArrow(functools.partial(_runs, window=window, anchor=anchor), "a long, c long, k1 long, k2 long, pos long")
     often = runs.groupBy("a").agg(F.count(F.lit(1)).alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1").select(F.col("a").alias("oa"), "same")
+    often = cut(often)  # so that the join has a shuffle on both sides, whose hot anchors Spark may split
     met = cut(runs.join(often, F.col("a") == F.col("oa")).drop("oa"))
     lo, size = F.expr("shiftright(pos, 24)"), F.expr("shiftright(pos, 12) & 4095")
     span = lambda df: df.select("k1", "k2", lo.alias("start"), (lo + size - 1 + window).alias("end"))
@@ -266,9 +267,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Each byte of a ``window``-byte string that begins anywhere else too, in any text, is removed; strings are judged on
     the input.  Null texts count as empty, rows that repeat another (id and text) count each, so a repeated row's text
-    goes if it has a window; an empty table gives an empty result; names that clash are the caller's to avoid
-    (n_bytes, removed, kept, and ``_r_*``).
+    goes if it has a window; an empty table gives an empty result; input columns named as the added ones are replaced, and
+    ``_r_*`` names are used here.
     """
+    docs = docs.drop("n_bytes", "removed", "kept")
     keys = keyed(docs, doc_id, text)
     spans = repeated_spans(keys, window, anchor, crowded).groupBy(F.col("k1").alias("_r_s1"), F.col("k2").alias("_r_s2")).agg(F.collect_list(F.struct("start", "end")).alias("_r_spans"))
     t = F.coalesce(F.col(text), F.lit(""))
