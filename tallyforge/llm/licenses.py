@@ -122,5 +122,6 @@ def inherit(files: DataFrame, path: str = "path", licence_file: str = r"(^|/)(LI
 
 def scan_licences(files: DataFrame, path: str = "path") -> DataFrame:
     """path and text -> all other columns with license, score and license_from.  Repeated rows are kept, an empty table
-    gives an empty result, null texts have no notice; the scores are cut to a table before the joins."""
-    return inherit(cut(scan(files).drop("text")), path)
+    gives an empty result, null texts have no notice; input columns named as the added ones (or ``found``) are replaced and
+    ``_l_*`` names are used here.  The scores are cut to a table before the joins."""
+    return inherit(cut(scan(files.drop("found", "license", "score", "license_from")).drop("text")), path)

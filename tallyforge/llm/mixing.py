@@ -59,8 +59,10 @@ def mix(df: DataFrame, size: str, source: str = "source", doc_id: str = "doc_id"
     ``size``: name of a long column, not null.  The input is read twice, for the counts and for the rows; only the
     second reading is shuffled, once.  A null source is a source of its own, a null id counts as an empty one.  Rows
     that repeat an id keep one rank each.  Sources of size 0 have target 0 and are taken 0 times.  An empty table gives
-    an empty result.  Columns of the input keep their values; helper columns are named ``_mix_*``.
+    an empty result.  Columns of the input that are named as the added ones are replaced, the others keep their values;
+    ``_mix_*`` names are used here.
     """
+    df = df.drop("source_size", "target", "copies")
     keyed = df.withColumns(
         {
             "_mix_key": F.coalesce(F.col(source).cast("string"), F.lit("")),

@@ -34,6 +34,9 @@ METRICS = {
 }
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words")
+
+
 def _deleted(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -42,8 +45,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_upper, n_dup_lines and n_repeat_words (long) of each whole text.
 
     A null text counts as an empty one.  Repeated word triples are found by sorting a text's own triples, so the cost
-    of a very long text is n log n and nothing is shuffled.
+    of a very long text is n log n and nothing is shuffled.  Input columns named as the added ones are replaced; ``_q_*``
+    names are used here.
     """
+    docs = docs.drop(*MEASURES)
     t = F.coalesce(F.col(text), F.lit(""))
     has_word = lambda x: F.length(_deleted(x, WS_CHARS)) > 0
     df = docs.withColumns(
@@ -70,7 +75,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     # A generator of one row, through which no filter on the measures is pushed (it would repeat all of the above).
-    own = F.explode(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words"))).alias("_q_measures")
+    own = F.explode(F.array(F.struct(*MEASURES))).alias("_q_measures")
     return df.select(*docs.columns, own).select(*docs.columns, "_q_measures.*")
 
 

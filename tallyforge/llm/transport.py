@@ -173,7 +173,9 @@ def padded(text: Column) -> Column:
 
 
 def store_streams(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
-    """``df`` with the column ``payload`` (binary) replaced by its transport stream; null and empty payloads give empty ones."""
+    """``df`` with the column ``payload`` (binary) replaced by its transport stream; null and empty payloads give empty ones.
+    An input column named as the stream is replaced."""
+    df = df.drop(media) if media != payload else df
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != payload) + f", `{media}` binary"
     names = [c for c in df.columns if c != payload]
 
@@ -198,8 +200,9 @@ def read_streams(df: DataFrame, media: str = "media", payload: str = "payload")
     """Add n_packets, lost_sync, cc_errors, units (an array in stream order: PID, program, type, timestamp,
     random-access mark, place and size in the payload) and the payload: all units' bytes, by PID, put together.
 
-    Null and empty media have no units and an empty payload; damaged ones what can be read, with the errors counted.
+    Null and empty media have no units and an empty payload; damaged ones what can be read, with the errors counted.  Input columns named as the added ones are replaced.
     """
+    df = df.drop("n_packets", "lost_sync", "cc_errors", "units", payload)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", n_packets int, lost_sync int, cc_errors int, units {UNITS}, `{payload}` binary"
     kind = pa.list_(pa.struct([("pid", pa.int32()), ("program", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("start", pa.int64()), ("size", pa.int32())]))
     fields = [("n_packets", pa.int32()), ("lost_sync", pa.int32()), ("cc_errors", pa.int32()), ("units", kind), (payload, pa.binary())]
