@@ -490,3 +490,29 @@ def test_pipeline(spark):
     assert p.run(spark, DATA).agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
     for (_, stage), table in zip(p.STAGES, [docs, docs, docs, docs, docs], strict=True):
         assert stage(spark, table.limit(0), DATA).count() == 0
+
+
+CLASH = ["source_size", "target", "copies", "n_words", "kept", "found", "license", "score", "host", "path", "rule", "verdict", "listed", "entry", "fp", "first", "root", "a", "c", "n", "m", "k1", "k2", "pos", "media", "payload", "units", "n_packets", "n_bytes", "removed", "size", "label", "slot", "u", "v", "key", "node", "start", "length"]
+
+
+def test_clashing_columns(spark, odd):
+    import corpus_pipeline as p
+
+    df = odd.withColumns({c: F.lit(7) for c in CLASH})
+    docs = df.union(spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(80)), "en", "s", 1) for i in range(20, 60)], SCHEMA).withColumns({c: F.lit(7) for c in CLASH}))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.filter(" or ".join(f"{c} != 7" for c in CLASH)).count() == 0
+    assert p.packed_sequences(spark, docs, DATA).count() >= docs.count()
+    assert mixing.mix(df.withColumn("size", F.lit(3).cast("long")), "size").filter("copies <= 2").count() == len(ODD)
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    pages = df.withColumn("url", F.lit("http://a.com/en/1"))
+    assert urls.judge_urls(pages, rules, rules.limit(0)).filter("rule = 'com/en/' and verdict = 'block'").count() == len(ODD)
+    files = df.withColumns({"path": F.lit("/a/x.txt"), "text": F.lit("Released under the MIT License.")})
+    assert licenses.scan_licences(files).filter("license = 'MIT'").count() == len(ODD)
+    assert quality.measures(df).columns.count("n_words") == 1 and quality.score_documents(df).count() == len(ODD)
+    media = transport.read_streams(transport.store_streams(df.withColumn("payload", transport.padded(F.col("text"))), "payload"))
+    assert media.filter("cc_errors = 0 and n_packets > 2").count() == len(ODD)
+    assert repeats.remove_repeats(df).filter("n_bytes >= 0").count() == len(ODD)
+    assert simhash.near_duplicates(df).count() == len(ODD) and tokens.count_tokens(df, queries.tokenizer_path("piece_bpe_32k.model")).count() == len(ODD)
+    assert toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).count() == len(ODD)
