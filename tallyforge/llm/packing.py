@@ -33,7 +33,7 @@ TIERS = (2048, 1024, 512, 256)
 BLOCK_IDS = 1 << 20
 STEP_IDS = 1 << 18
 #: Entries of each of a worker's two caches and the longest chunk in them.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 200_000
 CACHE_CHARS = 100
 END_ID = 2
 
