@@ -5,9 +5,10 @@ pairs differ are too short to tell documents apart in a large corpus.  So groups
 pairs of shingle sets that meet in a band of MinHash values and are verified by their whole sets.
 
 Equal sets are one node from the start.  Up to SMALL sets under a band are compared in pairs.  The sets of a crowded
-band are compared with its smallest and its largest, which joins a group of near copies as a star, and are dealt out
-anew by longer keys (the band and one of the following ones), where those that resemble neither meet.  Candidates are
-a search by chance: of pairs at 0.8 it misses 1 in 2,500 outside crowded bands; every one that is linked is verified.
+band are compared with one hub, the set whose keys are shared most (of edited copies, their original), which joins a
+group as a star.  Keys whose sets are not one component then are settled exactly: their sets meet in pairs of salted
+blocks, by classes of size, and every pair of different components is compared.  So only the bands are a search by
+chance: of pairs at 0.8 they miss 1 in 2,500; every pair that is linked is verified.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from .simhash import fingerprint, links
 WORDS = 5
 BANDS = 20
 ROWS = 5
-#: A band's key with more sets is crowded; its sets go on under LONGER longer keys.
+#: A band's key with more sets is crowded.
 SMALL = 16
-LONGER = 3
+#: Sets (and hashes) in a block of a crowded key that a star did not settle; a task compares two blocks at a time.
+BLOCK_SETS = 256
+BLOCK_HASHES = 1 << 21
 #: Listed texts that are sent to the documents (16 bytes each); more are met by a shuffle.
 LISTED = 500_000
 _BLOCK = 8192
@@ -84,15 +87,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["s", "shingles"])
 
 
-def _met(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """From (key, s): candidate pairs (a, b), and the entries under crowded keys."""
-    often = entries.groupBy(F.col("key").alias("often")).agg(F.count(F.lit(1)).alias("times"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("times > 1")
-    met = cut(entries.join(cut(often), F.col("key") == F.col("often")).drop("often"))
-    lists = met.filter(F.col("times") <= small).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("own"))  # SMALL at most
-    rest = lists.select(F.explode(F.transform("own", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("own"), i + 2, F.lit(small)).alias("others")))).alias("p"))
-    crowded = met.filter(F.col("times") > small)
-    stars = crowded.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("s").alias("b")), F.struct(F.col("s").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    return rest.select("p.a", F.explode("p.others").alias("b")).unionByName(stars), crowded.select("key", "s")
+def _compared(group: pa.Table) -> pa.Table:
+    """From s, root, shingles of two blocks: pairs of different roots that are alike, a forest of them."""
+    s, root, lists = group["s"].to_numpy(), group["root"].to_numpy(), group["shingles"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    n, sizes = len(s), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows, (_, column, times) = np.repeat(np.arange(n), sizes), np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    rows, column = rows[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column, common = rows[order], column[order], np.zeros((n, n), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _BLOCK):
+        lo, hi = np.searchsorted(column, [at, at + _BLOCK])
+        held = np.zeros((n, _BLOCK), dtype=np.float32)
+        held[rows[lo:hi], column[lo:hi] - at] = 1
+        common += held @ held.T
+    near = (9 * common.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None, :])) & (root[:, None] != root[None, :])
+    out, fresh = [], np.ones(n, dtype=bool)
+    for start in range(n):
+        if not fresh[start]:
+            continue
+        fresh[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(near[i] & fresh)
+            fresh[found] = False
+            out += [(min(s[i], s[j]), max(s[i], s[j])) for j in found]
+            todo += found.tolist()
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def _alike(common: Column, a: Column, b: Column) -> Column:
@@ -100,35 +123,73 @@ def _alike(common: Column, a: Column, b: Column) -> Column:
     return 9 * common >= 4 * (a + b)
 
 
-def candidates(sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """a, b (a < b): pairs of sets that may be alike.  ``sets``: s, bands, one row a set."""
-    pairs, crowded = _met(sets.select("s", F.explode("bands").alias("key")), small)
-    # Which bands make a key longer depends on the key alone, so all its sets take the same.
-    longer = F.transform(F.sequence(F.lit(1), F.lit(LONGER)), lambda t: F.xxhash64("key", F.get("bands", F.pmod(F.col("key") + t, F.lit(BANDS)).cast("int")), t))
-    deeper = crowded.join(sets.select(F.col("s").alias("of"), "bands"), F.col("s") == F.col("of")).select("s", F.explode(longer).alias("key"))
-    more, _ = _met(deeper, small)
-    return cut(pairs.unionByName(more).filter("a < b").distinct())
+def candidates(sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """a, b (a < b): pairs of sets that may be alike; and key, s, hub of the crowded keys, whose sets are paired with the
+    hub only.  ``sets``: s, bands, one row a set."""
+    entries = sets.select("s", F.explode("bands").alias("key"))
+    often = entries.groupBy(F.col("key").alias("often")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    met = cut(entries.join(cut(often), F.col("key") == F.col("often")).drop("often"))
+    lists = met.filter(F.col("times") <= small).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("own"))  # SMALL at most
+    rest = lists.select(F.explode(F.transform("own", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("own"), i + 2, F.lit(small)).alias("others")))).alias("p"))
+    crowded = met.filter(F.col("times") > small)
+    weights = crowded.groupBy(F.col("s").alias("of")).agg(F.sum("times").alias("weight"))
+    hubs = crowded.join(weights, F.col("s") == F.col("of")).groupBy(F.col("key").alias("hub_key")).agg(F.max_by("s", F.struct("weight", "s")).alias("hub"))
+    crowded = cut(crowded.join(hubs, F.col("key") == F.col("hub_key")).select("key", "s", "hub"))
+    stars = crowded.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"))
+    return cut(rest.select("p.a", F.explode("p.others").alias("b")).unionByName(stars).filter("a < b").distinct()), crowded
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("q")).distinct()
+def _found(asked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """s, shingles of the ``asked`` sets (q, once each)."""
     asked = cut(sets.join(asked, F.col("s") == F.col("q")).select("s", F.col("k").alias("of")))
     listed = maybe_broadcast(asked, asked.count(), LISTED)
     found = texts.join(listed, F.col("k") == F.col("of")).select("s", "text").mapInArrow(_sets, "s long, shingles array<int>")
-    found = cut(found.groupBy("s").agg(F.first("shingles").alias("shingles")))
+    return cut(found.groupBy("s").agg(F.first("shingles").alias("shingles")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+    found = _found(pairs.select(F.explode(F.array("a", "b")).alias("q")).distinct(), texts, sets)
     side = lambda c: found.select(F.col("s").alias(f"of_{c}"), F.col("shingles").alias(f"own_{c}"))
     both = pairs.join(side("b"), F.col("b") == F.col("of_b")).join(side("a"), F.col("a") == F.col("of_a"))
     return cut(both.filter(_alike(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"))).select("a", "b"))
 
 
+def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the links that ``links`` lack within crowded keys (key, s, hub), of every pair in different components.
+
+    The sets of a key are dealt to cells of two neighbouring classes of size (alike sets differ by 1.25 times at most)
+    and salted blocks; those outside the hub's component meet each other and the hub's, which need not meet again.
+    """
+    roots = components(links, "a", "b")
+    placed = crowded.join(roots, F.col("s") == F.col("node"), "left").select("key", "s", "hub", F.coalesce("root", "s").alias("root"))
+    several = placed.groupBy(F.col("key").alias("of")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("s") == F.col("hub"), F.col("root"))).alias("main")).filter("r0 != r1")
+    unsettled = cut(placed.join(several, F.col("key") == F.col("of")).select("key", "s", "root", (F.col("root") != F.col("main")).alias("apart")))
+    if unsettled.isEmpty():
+        return links.limit(0)
+    found = _found(unsettled.select(F.col("s").alias("q")).distinct(), texts, sets)
+    sized = found.select(F.col("s").alias("of"), F.floor(F.log(F.size("shingles")) / F.lit(float(np.log(1.26)))).cast("int").alias("class"))
+    dealt = unsettled.join(sized, F.col("s") == F.col("of")).select("key", "s", "root", "apart", "class", F.explode(F.array("class", F.col("class") - 1)).alias("cell"))
+    cells = dealt.groupBy(F.col("key").alias("k"), F.col("cell").alias("c")).agg(
+        F.sum((F.col("cell") == F.col("class")).cast("long")).alias("lower"), F.sum(F.col("apart").cast("long")).alias("n"), F.count(F.lit(1)).alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    )
+    block = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK_SETS)), F.lit(float(BLOCK_HASHES)) / F.pow(F.lit(1.26), F.col("c") + 2)))
+    cells = cells.filter("lower > 0 and r0 != r1").select("k", "c", F.ceil(F.col("n") / block).cast("int").alias("n"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("m"))
+    dealt = dealt.join(cells, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")))
+    at = F.when(F.col("apart"), F.pmod(F.xxhash64("s"), "n")).otherwise(F.col("n") + F.pmod(F.xxhash64("s"), "m")).cast("int")
+    dealt = dealt.select("key", "cell", "s", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1)).alias("with"))
+    dealt = cut(dealt.select("s", "root", F.xxhash64("key", "cell", F.least("at", "with"), F.greatest("at", "with")).alias("u")))
+    both = dealt.join(found.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).select("u", "s", "root", "shingles")
+    return cut(both.groupBy("u").applyInArrow(_compared, "a long, b long"))
+
+
 def alike(texts: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """a, b: verified pairs whose components are those of all candidates that are alike.  ``texts``: k, text, where rows
+    """a, b: verified pairs whose components are those of all pairs in a band that are alike.  ``texts``: k, text, where rows
     of one k have one text; ``sets``: s, k, bands.
 
     Each set's smallest candidate is verified first; of the others, only pairs that are not yet in one component.
     """
-    pairs = candidates(sets, small)
+    pairs, crowded = candidates(sets, small)
     first = verified(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), texts, sets)
     roots = components(first, "a", "b")
     at = lambda c: roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
@@ -136,7 +197,8 @@ def alike(texts: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
     apart = cut(placed.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
     tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     rest = cut(apart.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"))
-    return first.unionByName(verified(rest, texts, sets))
+    links = first.unionByName(verified(rest, texts, sets))
+    return links if crowded.isEmpty() else links.unionByName(settled(crowded, links, texts, sets))
 
 
 def keep_first(docs: DataFrame, small: int = SMALL) -> DataFrame:

@@ -408,6 +408,44 @@ def test_verified_links_only(spark):
         assert r.a < r.b and 10 * len(sets[r.a] & sets[r.b]) >= 8 * len(sets[r.a] | sets[r.b])
 
 
+def test_original_with_many_copies(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(304)]
+    texts = {}
+    for d in rng.sample(range(100_000), 1_101):
+        text = list(base)
+        for _ in range(8 if len(texts) > 1_000 else 5 if texts else 0):  # the last ones are beyond the original's 0.8
+            text[rng.randrange(304)] = f"x{rng.randrange(100_000)}"
+        texts[d] = " ".join(text)
+    own = {d: shingles.shingle_set(t) for d, t in texts.items()}
+    rows = spark.createDataFrame([(d, shingles.bands(own[d]), t) for d, t in texts.items()], "s long, bands array<long>, text string")
+    links = shingles.alike(rows.select(F.col("s").alias("k"), "text"), rows.select("s", F.col("s").alias("k"), "bands")).collect()
+
+    ids, (_, at) = list(own), np.unique(np.concatenate(list(own.values())), return_inverse=True)
+    held = np.zeros((len(ids), at.max() + 1), dtype=np.float32)
+    held[np.repeat(np.arange(len(ids)), [len(own[d]) for d in ids]), at] = 1
+    common, n = held @ held.T, held.sum(axis=1)
+    near = common >= 0.8 * (n[:, None] + n[None, :] - common) - 1e-3
+    place = {d: i for i, d in enumerate(ids)}
+    assert all(near[place[r.a], place[r.b]] for r in links)
+
+    def parts(edges):
+        root = list(range(len(ids)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        least = {}
+        return [least.setdefault(find(i), i) for i in range(len(ids))]
+
+    got, want = parts((place[r.a], place[r.b]) for r in links), parts(np.argwhere(np.triu(near, 1)).tolist())
+    assert got == want and max(want.count(r) for r in set(want)) > 900
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(1)
     for bits in simhash.SEGMENTS:
