@@ -111,6 +111,19 @@ def test_urls(spark):
     assert urls.judge_urls(df, rules.limit(0), listed.limit(0)).filter("verdict = 'allow'").count() == len(made) + 1
 
 
+def test_listed_urls_and_many_shapes(spark):
+    entries = [("a.org", f"/{'x' * i}", "block") for i in range(1, 90)] + [("a.org", "/en/403", "block"), ("b.org", "", "block"), ("c.org", "/p?id=1&k=2", "block")]
+    made = {
+        "http://a.org/en/403": True, "https://A.org:443/en/%340%33/?utm_source=m#top": True, "http://a.org/en/4033": False, "http://sub.a.org/en/403": False, "http://a.org/en/403?page=2": False,
+        f"http://a.org/{'x' * 80}": True, f"http://a.org/{'x' * 90}": False, "http://x.b.org/any": True, "http://c.org/p?k=2&gclid=7&id=1": True, "http://c.org/p": False, "http://a.org/%2F": False, "x": False,
+    }
+    listed = spark.createDataFrame(entries, "host string, path string, verdict string")
+    df = spark.createDataFrame([(u,) for u in made], "url string")
+    assert {r.url: r.listed for r in urls.judge_urls(df, listed.limit(0), listed).collect()} == made
+    got = {r.path: r.rule for r in urls.judge_urls(df, listed, listed.limit(0)).collect()}
+    assert got["/en/4033"] == "a.org/en/403" and got[f"/{'x' * 90}"] == f"a.org/{'x' * 89}"
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.lit("second"), "id").alias("g"))
     bits = urls.block_filter(keys, 5000)
