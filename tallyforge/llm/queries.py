@@ -93,7 +93,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 ALL = (op1_quality_rules, op2_license_scan, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity, op10_suffix_dedup)

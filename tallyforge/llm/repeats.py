@@ -11,11 +11,15 @@ sorting, with the permuted common prefixes, and tells for each window whether an
 An anchor with more different runs than a shard holds is dealt window by window to hash counts, which is exact as well
 and splits the hot group.  Counts are combined before each shuffle; texts move only to rows that are joined by a
 document's key, which no two different documents share.
+
+The unit of a window is a byte, or a word: then each word stands as four bytes of its hash, so that all of the above
+works on these, and passages are the same whatever space is between their words.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,11 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WORD, cut
 from .suffix import repeated_starts, suffix_array
 
 WINDOW = 400
 ANCHOR = 128  # a power of two
+#: A passage of over 50 words keeps so many whole ones, wherever its two ends touch other text.
+PASSAGE_WORDS = 49
+PASSAGE_ANCHOR = 64
+#: Bytes that stand for a unit of the text.
+UNITS = {"bytes": 1, "words": 4}
+#: Runs of a text that are fetched together: those that begin in one stretch of 2**22 bytes.
+_STRETCH = 22
 #: Windows of one text that are looked at together, and values in one suffix array (plus one anchor's at most).
 BLOCK = 1 << 18
 SHARD = 1 << 18
@@ -38,6 +49,14 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 _PLACE = 24
 
 
+def coded(text: str, unit: str) -> bytes:
+    """The bytes of a text, or four bytes of hash a word."""
+    data = text.encode()
+    if unit == "bytes":
+        return data
+    return np.array([xxhash.xxh32_intdigest(w) for w in data.split()], dtype=np.uint32).tobytes()
+
+
 def anchors(data: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """For each window of ``data`` (bytes) the place of its anchor.  At most 2**24 windows."""
     h = data.astype(np.uint64) + np.uint64(1)
@@ -70,7 +89,7 @@ def runs_of(text: bytes, window: int, anchor: int) -> Iterator[tuple[int, int, i
         yield from zip((first + at).tolist(), size.tolist(), (place[first] + at).tolist(), strict=True)
 
 
-def _runs(batches: Iterable[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterable[pa.RecordBatch], window: int, anchor: int, unit: str) -> Iterator[pa.RecordBatch]:
     """a: the anchor's hash, c: the hash of the run as a whole, k1, k2: the document, pos: place, windows, anchor."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
@@ -84,29 +103,31 @@ def _runs(batches: Iterable[pa.RecordBatch], window: int, anchor: int) -> Iterat
             return made
 
         for i in range(batch.num_rows):
-            text, x, y = texts[i].as_py().encode(), k1[i].as_py(), k2[i].as_py()
+            text, x, y = coded(texts[i].as_py(), unit), k1[i].as_py(), k2[i].as_py()
             for lo, size, place in runs_of(text, window, anchor):
                 columns[0].append(digest(text[place : place + anchor]))
                 columns[1].append(digest(text[lo : lo + size - 1 + window]))
                 columns[2].append(x)
                 columns[3].append(y)
                 columns[4].append(lo << 24 | size << 12 | place - lo)
-            if len(columns[0]) > 50_000:
-                yield out()
+                if len(columns[0]) > 50_000:
+                    yield out()
         yield out()
 
 
-def _contexts(batches: Iterable[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterable[pa.RecordBatch], window: int, anchor: int, unit: str) -> Iterator[pa.RecordBatch]:
     """The bytes before and after the anchor of each listed run."""
+    types = [*[pa.int64()] * 7, pa.binary(), pa.binary()]
     for batch in batches:
         for i in range(batch.num_rows):
-            text, k1, k2 = batch.column("text")[i].as_py().encode(), batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()
-            rows = []
-            for r in batch.column("runs")[i].as_py():
-                lo, size, off = r["pos"] >> 24, r["pos"] >> 12 & 0xFFF, r["pos"] & 0xFFF
-                rows.append((r["a"], r["c"], r["n"], r["m"], k1, k2, lo + off, text[lo : lo + off], text[lo + off + anchor : lo + size - 1 + window]))
-            types = [*[pa.int64()] * 7, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "c", "n", "m", "k1", "k2", "place", "left", "right"])
+            text, k1, k2 = coded(batch.column("text")[i].as_py(), unit), batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()
+            runs = batch.column("runs")[i].as_py()
+            for at in range(0, len(runs), 4096):
+                rows = []
+                for r in runs[at : at + 4096]:
+                    lo, size, off = r["pos"] >> 24, r["pos"] >> 12 & 0xFFF, r["pos"] & 0xFFF
+                    rows.append((r["a"], r["c"], r["n"], r["m"], k1, k2, lo + off, text[lo : lo + off], text[lo + off + anchor : lo + size - 1 + window]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "c", "n", "m", "k1", "k2", "place", "left", "right"])
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -209,12 +230,13 @@ def crowded_spans(contexts: DataFrame, window: int, anchor: int) -> DataFrame:
     return hit.select("k1", "k2", (F.col("place") - before).alias("start"), (F.col("place") - before + window).alias("end"))
 
 
-def repeated_spans(keys: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
-    """k1, k2, start, end (bytes): spans that cover the repeated windows of each document; they may overlap.
+def repeated_spans(keys: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowded: int = CROWDED, unit: str = "bytes") -> DataFrame:
+    """k1, k2, start, end (of the coded text): spans that cover the repeated windows of each document; they may overlap.
 
-    ``keys``: from keyed().
+    ``keys``: from keyed(); window and anchor in bytes of the coded text.
     """
-    runs = keys.filter(F.octet_length("text") >= window).mapInArrow(functools.partial(_runs, window=window, anchor=anchor), "a long, c long, k1 long, k2 long, pos long")
+    least = window if unit == "bytes" else 2 * (window // UNITS[unit]) - 1
+    runs = keys.filter(F.octet_length("text") >= least).mapInArrow(functools.partial(_runs, window=window, anchor=anchor, unit=unit), "a long, c long, k1 long, k2 long, pos long")
     often = runs.groupBy("a").agg(F.count(F.lit(1)).alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1").select(F.col("a").alias("oa"), "same")
     often = cut(often)  # so that the join has a shuffle on both sides, whose hot anchors Spark may split
     met = cut(runs.join(often, F.col("a") == F.col("oa")).drop("oa"))
@@ -226,10 +248,10 @@ def repeated_spans(keys: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kinds = cut(kinds.join(groups, F.col("a") == F.col("ga")).drop("ga"))
     copied = kinds.filter("n > 1").select(F.col("a").alias("ca"), F.col("c").alias("cc"))
     copies = span(mixed.join(copied, (F.col("a") == F.col("ca")) & (F.col("c") == F.col("cc"))))
-    # A text's own runs: their number is bounded by its length.
-    asked = kinds.filter("alone > 0").groupBy(F.col("one.k1").alias("r1"), F.col("one.k2").alias("r2")).agg(F.collect_list(F.struct("a", "c", "n", "m", "one.pos")).alias("runs"))
+    # The runs of a stretch of a text: some 30,000 at most.
+    asked = kinds.filter("alone > 0").groupBy(F.col("one.k1").alias("r1"), F.col("one.k2").alias("r2"), F.shiftright("one.pos", 24 + _STRETCH).alias("stretch")).agg(F.collect_list(F.struct("a", "c", "n", "m", "one.pos")).alias("runs"))
     fetched = keys.join(asked, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).select("k1", "k2", "text", "runs")
-    contexts = fetched.mapInArrow(functools.partial(_contexts, window=window, anchor=anchor), "a long, c long, n long, m long, k1 long, k2 long, place long, left binary, right binary")
+    contexts = fetched.mapInArrow(functools.partial(_contexts, window=window, anchor=anchor, unit=unit), "a long, c long, n long, m long, k1 long, k2 long, place long, left binary, right binary")
     contexts = cut(contexts)
     sharded = contexts.filter(F.col("m") <= crowded).drop("m").repartition("a").sortWithinPartitions("a", "c")
     found = sharded.mapInArrow(functools.partial(_shards, window=window, anchor=anchor), "k1 long, k2 long, start long, end long")
@@ -237,7 +259,15 @@ def repeated_spans(keys: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return span(met.filter("same")).unionByName(copies).unionByName(found).unionByName(rest)
 
 
-def _removed(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+def _in_text(text: bytes, spans: list[tuple[int, int]], unit: str) -> list[tuple[int, int]]:
+    """Spans of the coded text as spans of the text's bytes.  A word goes with the space behind it."""
+    if unit == "bytes" or not spans:
+        return spans
+    size, starts = UNITS[unit], [m.start() for m in re.finditer(WORD.encode(), text)] + [len(text)]
+    return [(starts[-(-a // size)], starts[b // size]) for a, b in spans]
+
+
+def _removed(batches: Iterable[pa.RecordBatch], as_text: bool, unit: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         start, rows, size = 0, [], 0
         texts, spans = batch.column("_r_text"), batch.column("_r_spans")
@@ -245,7 +275,7 @@ def _removed(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.Re
         for i in range(batch.num_rows):
             text = texts[i].as_py().encode()
             merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans[i].as_py() or ()):
+            for s in sorted(_in_text(text, [(x["start"], x["end"]) for x in spans[i].as_py() or ()], unit)):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -261,32 +291,35 @@ def _removed(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.Re
                 start, rows, size = i + 1, [], 0
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, crowded: int = CROWDED, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, crowded: int = CROWDED, as_text: bool = False, unit: str = "bytes") -> DataFrame:
     """The other columns of ``docs`` with n_bytes (long), removed (array of maximal runs: start, end) and kept (the
     remaining bytes, which may cut a character in two; ``as_text``: a string without characters that were cut).
 
     Each byte of a ``window``-byte string that begins anywhere else too, in any text, is removed; strings are judged on
-    the input.  Null texts count as empty, rows that repeat another (id and text) count each, so a repeated row's text
+    the input.  With ``unit`` "words", each word of ``window`` words that follow each other anywhere else too is removed
+    with the space behind it (``removed`` counts bytes all the same).  ``anchor``: bytes, or quarters of words, of the
+    part of a window by which windows meet.  Null texts count as empty, rows that repeat another (id and text) count each, so a repeated row's text
     goes if it has a window; an empty table gives an empty result; input columns named as the added ones are replaced, and
     ``_r_*`` names are used here.
     """
     docs = docs.drop("n_bytes", "removed", "kept")
     keys = keyed(docs, doc_id, text)
-    spans = repeated_spans(keys, window, anchor, crowded).groupBy(F.col("k1").alias("_r_s1"), F.col("k2").alias("_r_s2")).agg(F.collect_list(F.struct("start", "end")).alias("_r_spans"))
+    spans = repeated_spans(keys, window * UNITS[unit], anchor, crowded, unit).groupBy(F.col("k1").alias("_r_s1"), F.col("k2").alias("_r_s2")).agg(F.collect_list(F.struct("start", "end")).alias("_r_spans"))
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumns({"_r_1": F.xxhash64(doc_id), "_r_2": F.xxhash64(t), "_r_text": t}).drop(text)
     joined = rows.join(spans, (F.col("_r_1") == F.col("_r_s1")) & (F.col("_r_2") == F.col("_r_s2")), "left").drop("_r_1", "_r_2", "_r_s1", "_r_s2")
     others = [f for f in joined.schema.fields if f.name not in ("_r_text", "_r_spans")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_r_bytes long, _r_runs array<struct<start:long,end:long>>, _r_kept " + ("string" if as_text else "binary")])
-    return joined.mapInArrow(functools.partial(_removed, as_text=as_text), schema).withColumnsRenamed({"_r_bytes": "n_bytes", "_r_runs": "removed", "_r_kept": "kept"})
+    return joined.mapInArrow(functools.partial(_removed, as_text=as_text, unit=unit), schema).withColumnsRenamed({"_r_bytes": "n_bytes", "_r_runs": "removed", "_r_kept": "kept"})
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars and any other columns) with each text's repeats removed and n_chars counted anew.
+def without_repeats(docs: DataFrame, words: int = PASSAGE_WORDS, anchor: int = PASSAGE_ANCHOR) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and any other columns) without each text's passages of ``words`` and more words that
+    occur elsewhere too; n_chars is counted anew.
 
-    A character of which only a part is left goes whole.  Null texts stay null; a text of nothing but repeats is empty.
+    Null texts stay null; a text of nothing but repeats is empty.
     """
     inner = docs.withColumnsRenamed({c: f"_r_in_{c}" for c in docs.columns if c not in ("doc_id", "text")}).withColumn("_r_null", F.col("text").isNull())
-    out = remove_repeats(inner, as_text=True).withColumn("text", F.when(~F.col("_r_null"), F.col("kept")))
+    out = remove_repeats(inner, window=words, anchor=anchor, as_text=True, unit="words").withColumn("text", F.when(~F.col("_r_null"), F.col("kept")))
     counted = F.length("text").cast("long").alias("n_chars")
     return out.select(*[F.col(c) if c in ("doc_id", "text") else counted if c == "n_chars" else F.col(f"_r_in_{c}").alias(c) for c in docs.columns])

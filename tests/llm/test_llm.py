@@ -563,9 +563,57 @@ def test_repeats(spark, window, anchor, crowded):
     assert _digest(repeats.remove_repeats(df, window=window, anchor=anchor, crowded=crowded)) == _repeats([(t or "").encode() for t in made], window)
 
 
+def _repeated_words(made, n):
+    """The texts without the words of n-word windows that occur twice or more, each with the space behind it."""
+    words = [[(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for t in made]
+    c = collections.Counter(tuple(x for _, x in w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for t, w in zip(made, words, strict=True):
+        gone = {j for i in range(len(w) - n + 1) if c[tuple(x for _, x in w[i : i + n])] > 1 for j in range(i, i + n)}
+        data, ends = t.encode(), [*(p for p, _ in w[1:]), len(t.encode())][: len(w)]
+        parts = [data[: w[0][0] if w else None], *[data[p:e] for j, ((p, _), e) in enumerate(zip(w, ends, strict=True)) if j not in gone]]
+        out.append(b"".join(parts).decode())
+    return out
+
+
+@pytest.mark.parametrize(("window", "anchor", "crowded"), [(6, 8, 1000), (6, 8, 2), (9, 16, 3)])
+def test_repeated_words(spark, window, anchor, crowded):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared, made = [draw(rng.randint(window - 2, 3 * window)) for _ in range(12)], ["", "  \n ", "one", " x y\tz "]
+    for _ in range(90):
+        w = draw(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(w))
+            w[at:at] = rng.choice(shared)
+        made.append("".join(x + rng.choice([" ", " ", "  ", "\n", "\t "]) for x in w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    out = repeats.remove_repeats(df, window=window, anchor=anchor, crowded=crowded, as_text=True, unit="words")
+    rows = out.orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == _repeated_words(made, window)
+    assert all(r.n_bytes == len(t.encode()) == len(r.kept.encode()) + sum(x.end - x.start for x in r.removed) for r, t in zip(rows, made, strict=True))
+
+
+def test_passages_of_fifty_words(spark):
+    """Passages of 51 to 70 words, of short and of long words, whose ends touch other text, are cut out; 40 words stay."""
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
+    plain = lambda n: " ".join(word(2, 9) for _ in range(n))
+    passages = [" ".join(word(*((1, 3) if k % 3 == 0 else (3, 9))) for _ in range(rng.randint(51, 70))) for k in range(60)]
+    short = [plain(40) for _ in range(20)]
+    planted = [(2 * k + side, f"{plain(rng.randint(5, 200))}{'-' if side else ' '}{x}{'.' if side else ' '} {plain(60)}") for k, x in enumerate(passages) for side in range(2)]
+    clean = [(1000 + k, f"{plain(rng.randint(30, 300))} {short[k % 20]} {plain(20)}") for k in range(100)]
+    out = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(planted + clean, "doc_id long, text string")).collect()}
+    assert all(" ".join(x.split()[1:-1]) not in out[2 * k + side] for k, x in enumerate(passages) for side in range(2))
+    assert all(out[d] == t for d, t in clean)
+
+
 def test_repeats_query(spark, texts):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op10_suffix_dedup(spark, DATA).collect()}
+    rows = queries.op10_suffix_dedup(spark, DATA).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert got == dict(zip(texts, _repeats([(t or "").encode() for t in texts.values()], 400), strict=True))
+    assert all(r.text.isascii() is False or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows)
 
 
 def test_repeats_edges(odd, empty):
@@ -590,12 +638,9 @@ def test_pipeline(spark):
     stage2 = p.near_duplicates(spark, stage1, DATA)
     assert {r.doc_id for r in stage2.collect()} == first
     order = sorted(first)
-    want = dict(zip(order, _repeats([rows[d].text.encode() for d in order], 400), strict=True))
-    stage3 = p.repeated_passages(spark, stage2, DATA)
-    for r in stage3.collect():
-        assert len(r.text.encode()) == want[r.doc_id][0] - want[r.doc_id][1] or len(rows[r.doc_id].text) != len(rows[r.doc_id].text.encode())
-        assert r.n_chars == len(r.text)
-    assert stage3.count() == len(first)
+    want = dict(zip(order, _repeated_words([rows[d].text for d in order], repeats.PASSAGE_WORDS), strict=True))
+    stage3 = p.repeated_passages(spark, stage2, DATA).collect()
+    assert {r.doc_id: r.text for r in stage3} == want and all(r.n_chars == len(r.text) for r in stage3)
     packed = p.run(spark, DATA)
     assert packed.count() > 0 and packed.filter("ids is null").count() == 0
     assert p.run(spark, DATA).agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
