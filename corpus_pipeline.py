@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur elsewhere too are cut out; the rest of each document stays."""
+    """Passages of over 50 words that occur elsewhere too are cut out; the rest of each document stays."""
     return repeats.without_repeats(docs)
 
 
