@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.graph import components, cut, shared_folder
+
+__all__ = ["components", "cut", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
+
 #: A word is a run of characters other than these (space, tab, line ends, vertical tab, form feed).
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of which later steps read the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    A folder of this machine is used only where no folder is set at all, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyforge-"))
-    return df.checkpoint()
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input (fewer parts than cores, as of a file of one row group) to all cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:

@@ -12,58 +12,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, WS_CLASS, cut, maybe_broadcast, top_bits
+from .common import WORD, WS_CLASS, cut, maybe_broadcast, spread, stored, top_bits
 
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Sketches keep so many leading bits of a metric: a relative error of at most 1/32.
 SKETCH_BITS = 6
 #: A group with fewer rows takes the limits of the next wider one.
 MIN_GROUP = 100
-#: Limit = median + SPREAD * (upper quartile - lower quartile) + margin; the margins are in the metrics' units.
+#: Limits lie SPREAD times the way from the median to an outer quantile beyond that quantile, and a floor further.
 SPREAD = 4
-#: metric: (numerator, scale, margin).  All are integer: scale * numerator div n_words (or word_chars).
+#: metric: (numerator, scale, denominator, percent, floor), all integer: scale * numerator div denominator.  The outer
+#: quantiles are at ``percent`` and 100 - percent of a group's documents: more where sound texts have rare high values,
+#: less where many of a source may be junk.  The floor, in the metric's unit, keeps a group of equal values from
+#: rejecting all that differs at all.
 METRICS = {
-    "symbol": ("n_symbols", 1000, "n_words", 300),
-    "upper": ("n_upper", 1000, "word_chars", 400),
-    "dup_line": ("n_dup_lines", 1000, "n_words", 60),
-    "repeat": ("n_repeat_words", 1000, "n_words", 400),
-    "word_length": ("word_chars", 100, "n_words", 800),
+    "symbol": ("n_symbols", 1000, "n_words", 90, 100),
+    "upper": ("n_upper", 1000, "word_chars", 90, 50),
+    "dup_line": ("n_dup_lines", 1000, "n_words", 98, 20),
+    "repeat": ("n_repeat_words", 1000, "n_words", 98, 100),
+    "word_length": ("word_chars", 100, "n_words", 90, 50),
 }
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words")
 
 
-def _deleted(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_upper, n_dup_lines and n_repeat_words (long) of each whole text.
 
-    A null text counts as an empty one.  Repeated word triples are found by sorting a text's own triples, so the cost
-    of a very long text is n log n and nothing is shuffled.  Input columns named as the added ones are replaced; ``_q_*``
+    A null text counts as an empty one.  A text whose triples of words all have different hashes repeats none; in the
+    others repeats are found by sorting the text's own triples, so the cost of a very long text is n log n and nothing
+    is shuffled.  Input columns named as the added ones are replaced; ``_q_*``
     names are used here.
     """
     docs = docs.drop(*MEASURES)
     t = F.coalesce(F.col(text), F.lit(""))
-    has_word = lambda x: F.length(_deleted(x, WS_CHARS)) > 0
+    has_word = lambda x: x.rlike(WORD)
     df = docs.withColumns(
         {
-            "_q_words": F.filter(F.split(t, WS_CLASS + "+"), lambda w: w != ""),
+            "_q_words": F.array_remove(F.split(t, WS_CLASS + "+"), ""),
             "_q_lines": F.filter(F.split(t, "\n"), has_word),
-            "word_chars": F.length(_deleted(t, WS_CHARS)).cast("long"),
-            "n_symbols": (F.length(t) - F.length(_deleted(t, SYMBOLS))).cast("long"),
-            "n_upper": (F.length(t) - F.length(_deleted(t, UPPER))).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_upper": F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
         }
     )
-    df = df.withColumns({"n_words": F.size("_q_words").cast("long"), "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")})
+    df = df.withColumns({"n_words": F.size("_q_words").cast("long"), "word_chars": F.length(F.array_join("_q_words", "")).cast("long"), "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")})
     w = F.col("_q_words")
     triple = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("p"))
-    df = df.withColumn("_q_sorted", F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), triple))))
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    df = df.withColumn("_q_some", (F.size(w) >= 4) & (F.size(F.array_distinct(hashes)) < F.size(w)))
+    df = df.withColumn("_q_sorted", F.when(F.col("_q_some"), F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), triple))))
     s = F.col("_q_sorted")
     same = lambda x, j: F.coalesce(F.get(s, j)["w"] == x["w"], F.lit(False))
     df = df.withColumn("_q_again", F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"])))
@@ -84,7 +84,7 @@ def base_failed() -> Column:
 
 
 def metric(name: str) -> Column:
-    top, scale, below, _ = METRICS[name]
+    top, scale, below, *_ = METRICS[name]
     return F.expr(f"({top} * {scale}L) div greatest({below}, 1L)")
 
 
@@ -103,29 +103,31 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """level, q_lang, q_source and for each metric the largest value that is kept (``max_<metric>``)."""
+    """level, q_lang, q_source and for each metric the range that is kept (``min_<metric>``, ``max_<metric>``)."""
     group = ["level", "q_lang", "q_source", "metric"]
     w = Window.partitionBy(*group)
-    df = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    at = lambda part: F.min(F.when(4 * F.col("upto") >= part * F.col("all"), F.col("bucket")))
-    df = df.groupBy(*group).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("all").alias("rows")).filter((F.col("level") == 2) | (F.col("rows") >= MIN_GROUP))
-    margin = F.expr("case metric " + " ".join(f"when '{m}' then {v[3]}" for m, v in METRICS.items()) + " end")
-    df = df.withColumn("most", F.col("q2") + SPREAD * (F.col("q3") - F.col("q1")) + margin)
-    return df.groupBy("level", "q_lang", "q_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"max_{m}") for m in METRICS])
+    of = lambda k: F.expr("case metric " + " ".join(f"when '{m}' then {v[k]}" for m, v in METRICS.items()) + " end")
+    df = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w), "percent": of(3), "floor": of(4)})
+    at = lambda part: F.min(F.when(100 * F.col("upto") >= part * F.col("all"), F.col("bucket")))
+    df = df.groupBy(*group, "floor").agg(at(100 - F.col("percent")).alias("low"), at(F.lit(50)).alias("mid"), at(F.col("percent")).alias("high"), F.max("all").alias("rows"))
+    df = df.filter((F.col("level") == 2) | (F.col("rows") >= MIN_GROUP))
+    df = df.withColumns({"least": F.col("low") - SPREAD * (F.col("mid") - F.col("low")) - F.col("floor"), "most": F.col("high") + SPREAD * (F.col("high") - F.col("mid")) + F.col("floor")})
+    one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return df.groupBy("level", "q_lang", "q_source").agg(*[one(m, c).alias(f"{kind}_{m}") for m in METRICS for kind, c in (("min", "least"), ("max", "most"))])
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     """Add base_failed, adaptive_failed and kept.  ``bounds``: from limits(), already cut; joined by broadcast if few."""
     n, widest = bounds.count(), bounds.filter("level = 2").first()
-    names = [f"max_{m}" for m in METRICS]
+    names = [f"{kind}_{m}" for m in METRICS for kind in ("min", "max")]
     named = lambda level: maybe_broadcast(bounds.filter(F.col("level") == level).select(F.col("q_lang").alias(f"l{level}"), F.col("q_source").alias(f"s{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names]), n)
     df = measured.join(named(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
     df = df.join(named(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
-    over = F.lit(False)
+    limit = lambda c: F.coalesce(F.col(f"{c}_0"), F.col(f"{c}_1"), F.lit(widest[c] if widest else None).cast("long"))
+    outside = F.lit(False)
     for m in METRICS:
-        most = F.coalesce(F.col(f"max_{m}_0"), F.col(f"max_{m}_1"), F.lit(widest[f"max_{m}"] if widest else None).cast("long"))
-        over = over | F.coalesce(metric(m) > most, F.lit(False))
-    df = df.withColumns({"base_failed": base_failed(), "adaptive_failed": over})
+        outside = outside | F.coalesce((metric(m) > limit(f"max_{m}")) | (metric(m) < limit(f"min_{m}")), F.lit(False))
+    df = df.withColumns({"base_failed": base_failed(), "adaptive_failed": outside})
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("adaptive_failed"))
     return df.drop(*[f"{c}_{level}" for c in names for level in range(2)], "l0", "s0", "l1", "s1")
 
@@ -136,14 +138,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null ids, languages and sources are values of their own; repeated rows are judged each; an empty table gives an
     empty result; other columns of the input are not read.
     """
-    measured = cut(measures(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    measured = cut(measures(spread(docs.select("doc_id", "lang", "source", "text"))).drop("text"))
     return judge(measured, cut(limits(sketches(measured))))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that score_documents() keeps, with the input's columns.  Measures are taken twice; no text moves."""
-    bounds = cut(limits(sketches(measures(docs.select("doc_id", "lang", "source", "text")).drop("text"))))
+    """The documents that score_documents() keeps, with the input's columns.
+
+    Texts and measures are written to a table, of which the sketches read the measures; so no text is measured twice.
+    """
     clash = {c: f"_q_in_{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "source", "text")}
-    inner = docs.withColumnsRenamed(clash)
-    out = judge(measures(inner), bounds).filter("kept")
+    measured = stored(measures(docs.withColumnsRenamed(clash)))
+    out = judge(measured, cut(limits(sketches(measured)))).filter("kept")
     return out.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

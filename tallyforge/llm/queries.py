@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, mixing, packing, quality, repeats, simhash, tokens, toxicity, transport, urls
-from .common import cut, table, word_count
+from .common import cut, spread, table, word_count
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: The block list of the query: hosts of known junk, each with all its pages.
@@ -36,7 +36,7 @@ def document_path() -> Column:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    files = spread(table(spark, sf_dir, "documents")).select("doc_id", document_path().alias("path"), "text")
     return licenses.scan_licences(files).select("doc_id", "path", "license", "score", "license_from")
 
 
@@ -47,7 +47,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False).drop("ids")
+    return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return tokens.count_tokens(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), transport.padded(F.col("text")).alias("payload"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), transport.padded(F.col("text")).alias("payload"))
     df = transport.read_streams(transport.store_streams(docs, "payload"))
     points = F.filter("units", lambda u: u["random_access"])
     feature = F.format_string(
@@ -81,18 +81,18 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     fold = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(3))
     scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(fold("doc_id") != 1)))
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 

@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
-from .components import components
+from .common import components, cut, maybe_broadcast
 from .simhash import fingerprint, links
 
 WORDS = 5

@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import components, cut
 
 SHINGLE = 3
 SEED = 42

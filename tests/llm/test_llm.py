@@ -56,6 +56,21 @@ def test_query_equals_sql(spark, name):
 # 1 quality rules
 
 
+def test_quality_limits_follow_the_source(spark):
+    """One kind of text is judged by what its source usually holds; limits are upper and lower ones."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    text = lambda length, symbols: " ".join([word(rng.randint(length - 1, length + 1)) + "#" * (k < symbols) for k in range(60)])
+    usual = {"prose": (5, lambda: 0), "code": (5, lambda: rng.randint(12, 24)), "long": (20, lambda: 0)}
+    docs = [(k, text(n, s()), "en", source) for k in range(150) for source, (n, s) in usual.items()]
+    probes = {"symbols": text(5, 18), "plain": text(5, 0), "long": text(20, 0)}
+    docs += [(1000, t, name, source) for source in usual for name, t in probes.items()]
+    df = spark.createDataFrame([(d, t, "en", s, lang) for d, t, lang, s in docs], "doc_id long, text string, lang string, source string, probe string")
+    out = {(r.source, r.probe): r.kept for r in quality.keep_documents(df).withColumn("kept", F.lit(True)).filter("doc_id = 1000").collect()}
+    assert set(out) == {("prose", "plain"), ("code", "symbols"), ("code", "plain"), ("long", "long")}
+    assert quality.keep_documents(df).filter("doc_id < 1000").count() == 450
+
+
 def test_quality_edges(spark, odd, empty):
     got = sorted((r.doc_id or 0, r.n_words, r.n_repeat_words, r.kept) for r in quality.score_documents(odd).collect())
     assert [g[:3] for g in got if g[0] in (2, 3, 5, 7)] == [(2, 0, 0), (3, 0, 0), (5, 5, 0), (5, 5, 0), (7, 0, 0)]
