@@ -7,14 +7,11 @@ of documents repeat from the mixing stage on.  Extra columns of documents, whate
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import mixing, packing, quality, repeats, shingles
-from tallyforge.llm.common import table, word_count
+from tallyforge.llm.common import spread, stored, table, word_count
 from tallyforge.llm.queries import tokenizer_path
 
 
@@ -60,11 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents.  Tables between stages lie in the shared checkpoint folder."""
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tallyforge-')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}")
-            docs = spark.read.parquet(f"{base}/{k}")
+            docs = stored(docs)
     return docs
