@@ -1,40 +1,173 @@
-"""Currency of a text by scored signs, codes and words."""
+"""Currency of a text by scored signs, codes and words; currency signs that extraction garbled."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code, sign (weight 3), word (weight 1); the code itself weighs 2.  Of equal scores the first counts.
+from .text import bound
+
+#: Code, sign, locale, and further patterns beside the code; of equal scores the first counts.
 CURRENCIES = [
-    ("INR", "₹", "rupees?"), ("USD", r"(?<![A-Z])\$", "us dollars?"), ("EUR", "€", "euros?"), ("GBP", "£", "pounds? sterling"), ("JPY", "¥", "yen"),
-    ("CNY", None, "yuan"), ("AUD", r"A\$", None), ("CAD", r"C\$", None), ("CHF", None, "swiss francs?"), ("SEK", None, "kronor"), ("NOK", None, None),
-    ("DKK", None, None), ("SGD", r"S\$", None), ("HKD", r"HK\$", None), ("NZD", r"NZ\$", None), ("ZAR", None, "rand"), ("BRL", r"R\$", "reais"),
-    ("MXN", r"MX\$", None), ("KRW", "₩", "won"), ("THB", "฿", "baht"), ("RUB", "₽", "rou?bles?"), ("TRY", "₺", "lira"), ("AED", None, "dirhams?"),
+    ("INR", "₹", "en-IN", ["₹", r"\bRs\.?\s", r"\bRupees?\b"]),
+    ("USD", "$", "en-US", [r"\$", r"\bUS\s?Dollar"]),
+    ("EUR", "€", "de-DE", ["€", r"\bEuro\b"]),
+    ("GBP", "£", "en-GB", ["£", r"\bPound\s?Sterling\b"]),
+    ("JPY", "¥", "ja-JP", ["¥", r"\bYen\b"]),
+    ("CNY", "¥", "zh-CN", [r"\bRMB\b", r"\bYuan\b"]),
+    ("AUD", "A$", "en-AU", [r"A\$"]),
+    ("CAD", "C$", "en-CA", [r"C\$"]),
+    ("CHF", "Fr", "de-CH", [r"\bFr\.?\s"]),
+    ("SEK", "kr", "sv-SE", [r"\bkr\b"]),
+    ("NOK", "kr", "nb-NO", []),
+    ("DKK", "kr", "da-DK", []),
+    ("SGD", "S$", "en-SG", [r"S\$"]),
+    ("HKD", "HK$", "en-HK", [r"HK\$"]),
+    ("NZD", "NZ$", "en-NZ", [r"NZ\$"]),
+    ("ZAR", "R", "en-ZA", [r"\bRand\b"]),
+    ("BRL", "R$", "pt-BR", [r"R\$", r"\bReal\b"]),
+    ("MXN", "MX$", "es-MX", [r"MX\$"]),
+    ("ARS", "AR$", "es-AR", [r"AR\$"]),
+    ("CLP", "CL$", "es-CL", [r"CL\$"]),
+    ("COP", "COL$", "es-CO", [r"COL\$"]),
+    ("MYR", "RM", "ms-MY", [r"\bRM\b", r"\bRinggit\b"]),
+    ("THB", "฿", "th-TH", ["฿", r"\bBaht\b"]),
+    ("IDR", "Rp", "id-ID", [r"\bRp\.?\s", r"\bRupiah\b"]),
+    ("PHP", "₱", "en-PH", ["₱"]),
+    ("VND", "₫", "vi-VN", ["₫"]),
+    ("KRW", "₩", "ko-KR", ["₩"]),
+    ("TWD", "NT$", "zh-TW", [r"NT\$"]),
+    ("TRY", "₺", "tr-TR", ["₺", r"\bTL\b"]),
+    ("RUB", "₽", "ru-RU", ["₽"]),
+    ("PLN", "zł", "pl-PL", ["zł"]),
+    ("CZK", "Kč", "cs-CZ", ["Kč"]),
+    ("HUF", "Ft", "hu-HU", [r"\bFt\b"]),
+    ("RON", "lei", "ro-RO", [r"\blei\b"]),
+    ("ILS", "₪", "he-IL", ["₪", r"\bShekel\b"]),
+    ("AED", "د.إ", "ar-AE", [r"\bDirham\b", r"د\.إ"]),
+    ("SAR", "﷼", "ar-SA", [r"\bRiyal\b", "﷼"]),
+    ("QAR", "QR", "ar-QA", []),
+    ("KWD", "KD", "ar-KW", [r"\bKD\b"]),
+    ("BHD", "BD", "ar-BH", []),
+    ("OMR", "OMR", "ar-OM", []),
+    ("EGP", "E£", "ar-EG", ["E£"]),
+    ("NGN", "₦", "en-NG", ["₦", r"\bNaira\b"]),
+    ("KES", "KSh", "en-KE", [r"\bKSh\b"]),
+    ("GHS", "GH₵", "en-GH", ["GH₵"]),
+    ("PKR", "₨", "en-PK", ["₨"]),
+    ("BDT", "৳", "bn-BD", ["৳", r"\bTaka\b"]),
+    ("LKR", "Rs", "si-LK", []),
+    ("NPR", "Rs", "ne-NP", []),
+]
+#: Signs that weigh 3; a code of three letters weighs 2, anything else 1.
+SIGNS = "₹€£¥₺₽₩₪₦₱₫৳฿"
+#: Bytes of a sign that were read in another encoding.
+GARBLED = [("â‚¹", "₹"), ("â‚¬", "€"), ("â‚±", "₱"), ("â‚º", "₺"), ("â‚©", "₩"), ("Â£", "£"), ("Â¥", "¥")]
+#: Codes before an amount and the signs that they stand for.
+CODE_SIGNS = [
+    ("INR", "₹"), ("EUR", "€"), ("GBP", "£"), ("JPY", "¥"), ("KRW", "₩"), ("TRY", "₺"), ("THB", "฿"), ("PHP", "₱"), ("USD", "$"), ("AUD", "A$"), ("CAD", "CA$"), ("SGD", "S$"), ("HKD", "HK$"),
+    ("MYR", "RM"), ("IDR", "Rp"), ("VND", "₫"), ("CNY", "¥"), ("BDT", "৳"), ("PKR", "₨"), ("NPR", "Rs."), ("LKR", "Rs."),
 ]
+#: Words that tell a document's currency, in order.
+CURRENCY_WORDS = [
+    ("INR", r"INR|rupee|rupees|paisa|paise|lakh|crore|HDFC|SBI|ICICI|Axis\s+Bank|Kotak|PNB|Canara|NEFT|IMPS|UPI|RBI"),
+    ("PHP", "PHP|peso|pesos|centavo|centavos|BDO|BPI|Metrobank|Landbank|GCash|Maya|Philippine|Philippines"),
+    ("THB", r"THB|baht|satang|Kasikorn|KBank|SCB|Bangkok\s+Bank|Krungthai|TMB|Thailand|Thai"),
+    ("KRW", "KRW|won|jeon|Kookmin|Shinhan|Hana|Woori|IBK|Korea|Korean"),
+    ("TRY", "TRY|lira|kurus|Ziraat|Garanti|Akbank|Turkey|Turkish|Turkiye"),
+    ("JPY", "JPY|yen|sen|MUFG|Mizuho|SMBC|Sumitomo|Resona|Japan|Japanese"),
+    ("EUR", r"EUR|euro|euros|SEPA|IBAN|Deutsche\s+Bank|BNP|Societe|UniCredit|Santander|ING|Rabobank|Commerzbank"),
+    ("GBP", "GBP|pound|pounds|sterling|pence|penny|Barclays|Lloyds|NatWest|Halifax|Nationwide|TSB|Monzo|Starling"),
+    ("MYR", r"MYR|ringgit|sen|Maybank|CIMB|Public\s+Bank|RHB|Hong\s+Leong|Malaysia|Malaysian"),
+    ("IDR", "IDR|rupiah|BCA|Mandiri|BNI|BRI|Indonesia|Indonesian"),
+    ("VND", "VND|dong|Vietcombank|VietinBank|Techcombank|Vietnam|Vietnamese"),
+    ("CNY", "CNY|RMB|yuan|jiao|fen|ICBC|CCB|BOC|ABC|China|Chinese"),
+    ("BDT", "BDT|taka|poisha|Sonali|Janata|Agrani|Bangladesh|Bangladeshi"),
+]
+_GROUPED, _PENCE = r"\d{1,3}(?:,\d{3})*", r"(?:\.\d{1,2})?"
+#: What stands before an amount in place of the sign, where the document's currency is known.
+MISREAD = [
+    ("INR", rf"\bC\s*(\d{{1,3}}(?:,\d{{2,3}})*{_PENCE})\b", "₹"), ("PHP", rf"\bP\s*({_GROUPED}{_PENCE})\b", "₱"), ("THB", rf"\bB\s*({_GROUPED}(?:\.\d{{0,2}})?)\b", "฿"), ("KRW", rf"\bW\s*({_GROUPED})\b", "₩"),
+    ("TRY", r"\bTL\s*([\d.]+(?:,\d{1,2})?)\b", "₺"), ("JPY", rf"\\\s*({_GROUPED})\b", "¥"), ("GBP", rf"#\s*({_GROUPED}{_PENCE})\b", "£"), ("CNY", rf"\\\s*({_GROUPED}{_PENCE})\b", "¥"),
+]
+
+
+def patterns() -> list[tuple[int, str, str, int]]:
+    """(rank, code, pattern, weight) of every pattern."""
+    weight = lambda p: 3 if any(s in p for s in SIGNS) else 2 if re.fullmatch(r"\\b[A-Z]{3}\\b", p) else 1
+    return [(rank, code, p, weight(p)) for rank, (code, _, _, more) in enumerate(CURRENCIES) for p in [rf"\b{code}\b", *more]]
 
 
 def currency_scores(text: Column) -> Column:
-    """array<struct(score, rank, code)> of the currencies that occur."""
-    out = []
-    for rank, (code, sign, word) in enumerate(CURRENCIES):
-        score = 2 * F.regexp_count(text, F.lit(rf"\b{code}\b"))
-        if sign:
-            score = score + 3 * F.regexp_count(text, F.lit(sign))
-        if word:
-            score = score + F.regexp_count(F.lower(text), F.lit(rf"\b({word})\b"))
-        out.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")))
-    return F.filter(F.array(*out), lambda x: x["score"] > 0)
+    """array<struct(score, rank, code)> of the currencies that occur; case counts for nothing."""
+    per_code: dict[str, Column] = {}
+    for _, code, p, weight in patterns():
+        points = weight * F.regexp_count(text, F.lit(f"(?i){p}"))
+        per_code[code] = per_code[code] + points if code in per_code else points
+    made = [F.struct(per_code[code].alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, *_) in enumerate(CURRENCIES)]
+    return F.filter(F.array(*made), lambda x: x["score"] > 0)
 
 
 def detect_currency(text: Column, head: int = 5000, tail: int = 2000) -> Column:
     """The best currency of a statement's first and last characters, or null."""
-    part = F.when(F.length(text) > head + tail, F.concat(F.substring(text, 1, head), F.substring(text, -tail, tail))).otherwise(text)
-    return F.array_max(currency_scores(part))["code"]
+    part = F.when(F.length(text) > head + tail, F.concat(F.substring(text, 1, head), F.lit("\n"), F.substring(text, -tail, tail))).otherwise(text)
+    return bound(part, lambda t: F.array_max(currency_scores(t))["code"])
+
+
+def currency_of_headers(headers: Column) -> Column:
+    """The best currency of a table's column names (an array)."""
+    return detect_currency(F.array_join(headers, " "))
+
 
+def plain_currency(text: Column) -> Column:
+    """The first of the common codes, else the currency of a sign or name that occurs, else null."""
+    out = F.nullif(F.regexp_extract(text, r"\b(INR|USD|EUR|GBP|JPY|AUD|CAD)\b", 1), F.lit(""))
+    for code, sign, name in (("INR", "₹", "Rupee"), ("USD", "$", "Dollar"), ("EUR", "€", "Euro"), ("GBP", "£", "Pound")):
+        out = F.coalesce(out, F.when(text.contains(sign) | text.contains(name), code))
+    return out
 
-def repair_glyphs(text: Column) -> Column:
-    """Currency signs that extraction garbled."""
-    for wrong, right in (("â‚¹", "₹"), ("â‚¬", "€"), ("Â£", "£"), ("Â¥", "¥"), ("`(?=\\s*\\d)", "₹"), ("(?i)\\brs\\.?(?=\\s*\\d)", "₹")):
+
+def currency_attribute(code: Column, name: str) -> Column:
+    """``sign`` (null if unknown) or ``locale`` (else en-US) of a currency code in any case."""
+    at = {"sign": 1, "locale": 2}[name]
+    pairs = [x for row in CURRENCIES for x in (F.lit(row[0]), F.lit(row[at]))]
+    found = F.try_element_at(F.create_map(*pairs), F.upper(code))
+    return F.coalesce(found, F.lit("en-US")) if name == "locale" else found
+
+
+def safe_repairs() -> list[tuple[str, str]]:
+    """(pattern, replacement) of repairs that need no context."""
+    return [
+        *GARBLED,
+        *[(rf"\b{code}\s+(\d)", f"{sign.replace('$', '\\$')}$1") for code, sign in CODE_SIGNS],
+        (r"\bRs\.\s*", "₹"),
+        (r"(?i)\bPhp\s+(\d)", "₱$1"),
+        (r"(?i)\bBaht\s+(\d)", "฿$1"),
+        (r"¬\s*(\d)", "€$1"),
+        (r"\bC\s*(\d{1,2}(?:,\d{2})+,\d{3}(?:\.\d{1,2})?)\b", "₹$1"),
+    ]
+
+
+def repair_glyphs(text: Column, currency: str | None = None) -> Column:
+    """Currency signs that extraction garbled: first what is wrong in any document, then what stands for the sign of the
+    document's own currency (given, or told by its words)."""
+    for wrong, right in safe_repairs():
         text = F.regexp_replace(text, wrong, right)
-    return text
+
+    def in_context(t: Column) -> Column:
+        told = F.lit(currency)
+        if currency is None:
+            told = F.when(t.rlike(rf"(?i)\b({CURRENCY_WORDS[0][1]})\b"), CURRENCY_WORDS[0][0])
+            for code, words in CURRENCY_WORDS[1:]:
+                told = told.when(t.rlike(rf"(?i)\b({words})\b"), code)
+        return bound(told, lambda c: _by_code(c, t))
+
+    def _by_code(c: Column, t: Column) -> Column:
+        out = F.when(c == MISREAD[0][0], F.regexp_replace(t, MISREAD[0][1], f"{MISREAD[0][2]}$1"))
+        for code, wrong, sign in MISREAD[1:]:
+            out = out.when(c == code, F.regexp_replace(t, wrong, f"{sign}$1"))
+        return out.otherwise(t)
+
+    return bound(text, in_context)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 FIRST_YEAR, LAST_YEAR = 1990, 2100
 
@@ -31,8 +33,16 @@ def _month(text: Column, pattern: str, group: int) -> Column:
 
 def parse_date(col: Column, order: str = "DMY") -> Column:
     """A date or null.  A number above 12 settles day and month; else ``order`` does (DMY or MDY)."""
+    return bound(_without_extras(col), lambda t: _parse(t, order))
+
+
+def _without_extras(col: Column) -> Column:
+    """The text without a weekday before, a time of day after and the endings of ordinal numbers."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.trim(col), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"(?i)[T\s]+\d{1,2}:\d{2}(:\d{2})?(\.\d+)?\s*([ap]m)?Z?$", ""))
-    t = F.regexp_replace(t, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
+    return F.regexp_replace(t, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
+
+
+def _parse(t: Column, order: str) -> Column:
     ymd, name_dmy, name_mdy, both, compact = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/\s]+([A-Za-z]{3,9})[-/\s,]*(\d{4}|\d{2})$", r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s*(\d{4}|\d{2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", r"^(\d{4})(\d{2})(\d{2})$"
     n = lambda p, k: _number(t, p, k)
     a, b = n(both, 1), n(both, 2)
@@ -63,3 +73,23 @@ def date_in_text(col: Column, order: str = "DMY") -> Column:
     """The text itself, or the first date-like part of it."""
     part = F.regexp_extract(col, r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}[-\s][A-Za-z]{3,9}[-\s,]*\d{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})", 1)
     return F.coalesce(parse_date(col, order), parse_date(part, order))
+
+
+def checked_date(col: Column) -> Column:
+    """The date of an extracted field, or null: years of four digits before or after, month names of three letters, else
+    the year first in two digits.  A number above 12 settles day and month, else the day is first; 1900 to 2100."""
+    iso, named, ended, short = r"^(\d{4})[-/](\d{2})[-/](\d{2})$", r"^(\d{1,2})(?:\s+|-)([A-Za-z]{3})(?:[, ]+|-)(\d{4})$", r"^(\d{2})[-/](\d{2})[-/](\d{4})$", r"^(\d{2})[-/](\d{2})[-/](\d{2})$"
+
+    def of(t: Column) -> Column:
+        n = lambda p, k: _number(t, p, k)
+        a, b = n(ended, 1), n(ended, 2)
+        month_first = (a <= 12) & (b > 12)
+        day = lambda y, m, d: F.when(y.between(1900, 2100), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
+        return F.coalesce(
+            day(n(iso, 1), n(iso, 2), n(iso, 3)),
+            day(n(named, 3), _month(t, named, 2), n(named, 1)),
+            day(n(ended, 3), F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a)),
+            day(n(short, 1) + 2000, n(short, 2), n(short, 3)),
+        )
+
+    return bound(col, of)

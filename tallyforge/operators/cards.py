@@ -139,3 +139,61 @@ def credit_health(statements: DataFrame, as_of: str) -> DataFrame:
     used = band_score(F.coalesce("u", F.lit(0.0)), [(0.1, 100), (0.3, 80), (0.5, 60)], 40)
     trend = F.when(on_time >= 0.5, 100).otherwise(50)
     return df.select(half_up(used * 0.40 + full * 100 * 0.35 + on_time * 100 * 0.15 + trend * 0.10).cast("int").alias("score"), "n", "full", "on_time")
+
+
+def of_card(statements: DataFrame, issuer: str, last_four: str | None = None) -> DataFrame:
+    df = statements.filter(F.col("card_issuer") == issuer)
+    return df if last_four is None else df.filter(F.col("card_last_four") == last_four)
+
+
+def unpaid(statements: DataFrame) -> DataFrame:
+    """Unpaid statements, the soonest due first."""
+    return statements.filter(~F.col("is_paid")).orderBy("payment_due_date", "ord")
+
+
+def most_urgent(statements: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """The next due date that is not overdue by more than ``days``."""
+    return due_dates(statements, as_of).filter(~F.col("overdue") | (F.abs("days_left") <= days)).orderBy("days_left", *CARD).limit(1)
+
+
+def due_with_statement(statements: DataFrame, as_of: str) -> DataFrame:
+    """Due dates with the statement (ord) by which each card is marked as paid."""
+    return due_dates(statements, as_of).join(latest(statements).select(*CARD, F.col("ord").alias("statement")), CARD, "left")
+
+
+def top_card_categories(txns: DataFrame, k: int = 3) -> DataFrame:
+    """place, category and total of the ``k`` largest categories of each card."""
+    sums = txns.filter(F.col("source_type") == "credit_card").groupBy(*CARD, "category").agg(F.sum("amount").alias("total"))
+    place = F.row_number().over(Window.partitionBy(*CARD).orderBy(F.col("total").desc(), "category"))
+    return sums.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def ordered(comparison: DataFrame, by: str = "total", descending: bool = True) -> DataFrame:
+    """A comparison of cards by total, n or utilization."""
+    if by not in ("total", "n", "utilization"):
+        raise ValueError(f"cards are not ordered by {by}")
+    return comparison.orderBy(F.col(by).desc() if descending else F.col(by), *CARD)
+
+
+def rewards_total(cashbacks: DataFrame, points: DataFrame) -> DataFrame:
+    """Cashback and the value of points of all cards in one sum."""
+    both = cashbacks.agg(F.coalesce(F.sum("cashback"), F.lit(0)).cast("double").alias("c")).join(F.broadcast(points.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("p"))), F.lit(True))  # one row each
+    return both.select((F.col("c") + F.col("p")).alias("total"))
+
+
+def statement_rows(summaries: DataFrame, parsed_at: str) -> DataFrame:
+    """Card statements from extracted summaries: missing sums are 0, texts empty, dates the time of parsing; nothing is
+    paid or expired yet.  A period needs both of its ends."""
+    now = F.lit(parsed_at).cast("date")
+    money = ["total_due", "minimum_due", "credit_limit", "available_credit", "previous_balance", "payments_received", "purchases_and_charges", "interest_charged", "late_fee", "other_charges", "cashback_earned"]
+    period = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
+    return summaries.withColumns(
+        {
+            **{c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,2)") for c in money},
+            **{c: F.coalesce(F.col(c), F.lit("")) for c in CARD},
+            **{c: F.coalesce(F.col(c), now) for c in ("statement_date", "payment_due_date")},
+            **{c: F.when(period, F.col(c)).otherwise(now) for c in ("period_start", "period_end")},
+            "points_expired": F.lit(0).cast("long"),
+            "is_paid": F.lit(False),
+        }
+    )

@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Smallest payment as a part of the balance and in money, and the longest simulation.
 MIN_PART, MIN_MONEY, MAX_MONTHS = 0.05, 200.0, 600
 
 
-def _fold(balance: Column, apr: Column, pay) -> Column:
-    """struct(balance, months, interest, paid) after paying ``pay(balance, balance with interest)`` each month until nothing
-    is left; less than 1 counts as nothing and is paid with the last payment."""
-    start = F.struct(balance.cast("double").alias("b"), F.lit(0).alias("m"), F.lit(0.0).alias("i"), F.lit(0.0).alias("p"))
+@F.pandas_udf(T.StructType([T.StructField("b", T.DoubleType()), T.StructField("m", T.IntegerType()), T.StructField("i", T.DoubleType()), T.StructField("p", T.DoubleType())]))
+def _paid_off(balance: pd.Series, apr: pd.Series, part: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """Balance, months, interest and sum paid after paying ``part`` of the balance with its interest, ``least`` at
+    least, each month until nothing is left; less than 1 counts as nothing and is paid with the last payment.
 
-    def month(a: Column, _: Column) -> Column:
-        interest = a["b"] * apr / 12
-        due = a["b"] + interest
-        payment = F.least(pay(a["b"], due), due)
+    Month by month over all rows of a batch that still owe something, since a month needs the one before.
+    """
+    b, m, i, p = balance.to_numpy(dtype=float).copy(), np.zeros(len(balance)), np.zeros(len(balance)), np.zeros(len(balance))
+    apr, part, least = apr.to_numpy(dtype=float), part.to_numpy(dtype=float), least.to_numpy(dtype=float)
+    nothing = np.isnan(b) | np.isnan(apr) | np.isnan(least)
+    at = np.flatnonzero(~nothing & (b > 0))
+    for _ in range(MAX_MONTHS):
+        if not len(at):
+            break
+        interest = b[at] * apr[at] / 12
+        due = b[at] + interest
+        payment = np.minimum(np.maximum(due * part[at], least[at]), due)
         left = due - payment
-        done = a["b"] <= 0
-        return F.struct(
-            F.when(done, a["b"]).otherwise(F.when(left < 1, 0.0).otherwise(left)).alias("b"),
-            F.when(done, a["m"]).otherwise(a["m"] + 1).alias("m"),
-            F.when(done, a["i"]).otherwise(a["i"] + interest).alias("i"),
-            F.when(done, a["p"]).otherwise(a["p"] + F.when(left < 1, due).otherwise(payment)).alias("p"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_MONTHS)), start, month)
+        small = left < 1
+        m[at] += 1
+        i[at] += interest
+        p[at] += np.where(small, due, payment)
+        b[at] = np.where(small, 0.0, left)
+        at = at[b[at] > 0]
+    out = pd.DataFrame({"b": b, "m": pd.array(m, dtype="Int32"), "i": i, "p": p})
+    out.loc[nothing] = None
+    return out
 
 
 def minimum_payoff(balance: Column, apr: Column) -> Column:
     """Paying the minimum of the balance with its interest, which falls with it."""
-    return _fold(balance, apr, lambda b, due: F.greatest(due * MIN_PART, F.lit(MIN_MONEY)))
+    return _paid_off(balance.cast("double"), apr.cast("double"), F.lit(MIN_PART), F.lit(MIN_MONEY))
 
 
 def fixed_payoff(balance: Column, apr: Column, payment: Column) -> Column:
     """Paying a fixed sum; months is -1 and interest infinite if it does not cover the first month's interest."""
     never = payment.cast("double") <= balance.cast("double") * apr / 12
-    f = _fold(balance, apr, lambda b, due: payment.cast("double"))
+    f = _paid_off(balance.cast("double"), apr.cast("double"), F.lit(0.0), payment.cast("double"))
     inf = F.lit(float("inf"))
     return F.when(never, F.struct(balance.cast("double").alias("b"), F.lit(-1).alias("m"), inf.alias("i"), inf.alias("p"))).otherwise(f)
 
@@ -76,3 +87,10 @@ def debt_free_months(total: Column, apr: Column, payment: Column, most: int = 12
         lambda a, _: F.struct(F.when(a["b"] <= 0, a["b"]).otherwise(a["b"] * (1 + apr / 12) - payment.cast("double")).alias("b"), F.when(a["b"] <= 0, a["m"]).otherwise(a["m"] + 1).alias("m")),
     )
     return left["m"]
+
+
+def interest_totals(cards: DataFrame) -> DataFrame:
+    """Sum of all balances (total_due, apr), and of the interest that paying minimums costs, in cents."""
+    f = minimum_payoff(F.col("total_due"), F.col("apr"))
+    each = cards.filter("total_due > 0").withColumn("f", f).select("total_due", F.floor(F.col("f.i") * 100 + 0.5).alias("c"))
+    return each.agg(F.sum("total_due").alias("balance"), F.sum("c").alias("interest_cents"))

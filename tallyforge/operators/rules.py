@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import signature
+from tallyforge.functions.text import merchant_name, signature
 
 #: Default registry in order: id, type, keywords.  Any other can be given; order decides between hits.
 REGISTRY = [
@@ -72,23 +72,61 @@ def match_rules(txns: DataFrame, rules: DataFrame) -> DataFrame:
 def learn_rules(decisions: DataFrame) -> DataFrame:
     """Rules after decisions (merchant_key, direction, source_type, category, at) in order of time.
 
-    The same category again confirms (and clears doubt); another makes the rule ambiguous and keeps its category.  A
-    fold over a key's decisions, which are made by hand and few.
+    The first category stays.  The same again confirms it and clears doubt, another one casts doubt: so confirmations
+    count the first category's decisions, and a rule is ambiguous if the latest decision names another.  Both come from
+    aggregates that merge, however many decisions a merchant has.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "category")))
-
-    def step(a: Column, d: Column) -> Column:
-        new, same = a["category"].isNull(), a["category"] == d["category"]
-        return F.struct(
-            F.coalesce(a["category"], d["category"]).alias("category"),
-            F.when(new, 1).when(same, a["confirmations"] + 1).otherwise(a["confirmations"]).alias("confirmations"),
-            F.when(new | same, False).otherwise(True).alias("ambiguous"),
-            d["at"].alias("confirmed_at"),
-        )
-
-    start = F.struct(F.lit(None).cast("string").alias("category"), F.lit(0).alias("confirmations"), F.lit(False).alias("ambiguous"), F.lit(None).cast(decisions.schema["at"].dataType).alias("confirmed_at"))
-    df = decisions.groupBy("merchant_key", "direction", "source_type").agg(ordered.alias("d"))
-    return df.withColumn("r", F.aggregate("d", start, step)).select("merchant_key", "direction", "source_type", "r.*")
+    key = ["merchant_key", "direction", "source_type"]
+    decision = F.struct("at", "category")
+    each = decisions.groupBy(*key, "category").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(decision).alias("first"), F.max(decision).alias("last"))
+    df = each.groupBy(*key).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("n", "first").alias("confirmations"))
+    return df.select(*key, "first.category", "confirmations", (~F.col("first.category").eqNullSafe(F.col("last.category"))).alias("ambiguous"), F.col("last.at").alias("confirmed_at"))
+
+
+def mark_ambiguous(rules: DataFrame, doubted: DataFrame) -> DataFrame:
+    """Rules with the ones that ``doubted`` (merchant_key, direction, source_type) names marked."""
+    key = ["merchant_key", "direction", "source_type"]
+    df = rules.join(doubted.select(*key).distinct().withColumn("_doubt", F.lit(True)), key, "left")
+    return df.withColumn("ambiguous", F.col("ambiguous") | F.coalesce("_doubt", F.lit(False))).select(*rules.columns)
+
+
+def match_results(batch: DataFrame, results: DataFrame, registry=REGISTRY) -> DataFrame:
+    """id, category, confidence, by of a batch's rows: a classifier's result (id, new_category, confidence), or keywords."""
+    df = batch.join(results.select("id", "new_category", F.col("confidence").alias("_c")), "id", "left")
+    word = keyword_category(F.col("description"), F.col("type"), registry)
+    return df.select("id", F.coalesce("new_category", word).alias("category"), F.when(F.col("new_category").isNull(), F.lit(0.3)).otherwise(F.col("_c")).alias("confidence"), F.when(F.col("new_category").isNull(), "keyword").otherwise("model").alias("by"))
+
+
+def import_categories(rows: DataFrame, registry=REGISTRY) -> DataFrame:
+    """Rows of an import with merchant, and with a keyword category, low confidence and a review where nothing has put
+    them into a category before."""
+    had = (F.coalesce("category", F.lit("other")) != "other") | F.col("categorized_by").isNotNull() | F.col("category_confidence").isNotNull() | F.col("needs_review").isNotNull()
+    pick = lambda old, new: F.when(had, F.col(old)).otherwise(new)
+    return rows.withColumns(
+        {
+            "merchant": merchant_name(F.col("description")),
+            "category": pick("category", keyword_category(F.col("description"), F.col("type"), registry)),
+            "category_confidence": pick("category_confidence", F.lit(0.3)),
+            "needs_review": pick("needs_review", F.lit(True)),
+            "categorized_by": pick("categorized_by", F.lit("keyword")),
+        }
+    )
+
+
+def recategorize(rows: DataFrame, choices: DataFrame) -> DataFrame:
+    """Rows with the categories chosen by hand (id, chosen); those need no review.  The choices are decisions of learn_rules()."""
+    df = rows.join(choices.select("id", "chosen"), "id", "left")
+    hit = F.col("chosen").isNotNull()
+    return df.withColumns({"category": F.coalesce("chosen", "category"), "needs_review": F.when(hit, False).otherwise(F.col("needs_review")), "categorized_by": F.when(hit, "manual").otherwise(F.col("categorized_by"))}).drop("chosen")
+
+
+def category_info(rows: DataFrame, own: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Add name and kind of each row's category: from the user's own list, else the default one (id, name, kind), else
+    made from the id.  Both lists are a user's categories, some dozens."""
+    side = lambda df, c: df.select(F.col("id").alias(f"_{c}"), F.col("name").alias(f"_{c}_name"), F.col("kind").alias(f"_{c}_kind"))
+    df = rows.join(side(own, "u"), F.col("category") == F.col("_u"), "left").join(side(defaults, "d"), F.col("category") == F.col("_d"), "left")
+    made = F.concat(F.upper(F.substring("category", 1, 1)), F.expr("substring(category, 2)"))
+    return df.withColumns({"category_name": F.coalesce("_u_name", "_d_name", made), "category_kind": F.coalesce("_u_kind", "_d_kind", F.lit("Excluded"))}).drop("_u", "_u_name", "_u_kind", "_d", "_d_name", "_d_kind")
 
 
 def trim_rules(rules: DataFrame, most: int = 1000) -> DataFrame:

@@ -234,3 +234,62 @@ def distribute_budget(forecasts: DataFrame, income: int) -> DataFrame:
     """Income dealt to the categories in proportion to their forecasts, rounded to whole units."""
     share = F.try_divide(F.col("total").cast("double"), F.sum("total").over(Window.partitionBy()).cast("double"))
     return forecasts.withColumn("budgeted", half_up(F.coalesce(share, F.lit(0.0)) * income).cast("long"))
+
+
+def recent_months(txns: DataFrame, as_of: str, months: int = 6) -> DataFrame:
+    """Spending by month from the first day of ``months`` - 1 months ago, largest first."""
+    start = F.trunc(F.add_months(F.lit(as_of).cast("date"), 1 - months), "month")
+    return by_dimension(txns.filter(F.col("date") >= start), "month")
+
+
+def latest_month(txns: DataFrame) -> DataFrame:
+    """Income, expense, net and savings rate (tenths of a percent) of the last month present."""
+    df = by_month(txns).orderBy(F.col("month").desc()).limit(1).withColumn("net", F.col("income") - F.col("expense"))
+    return df.withColumn("savings_tenths", F.when(F.col("income") > 0, half_up(F.col("net").cast("double") / F.col("income").cast("double") * 1000)).otherwise(0).cast("long"))
+
+
+def budget_totals(allocations: DataFrame, income: float, group: list[str] | None = None) -> DataFrame:
+    """Sum of what is budgeted, and what is left of the income."""
+    df = allocations.groupBy(*(group or [])).agg(F.sum("budgeted").alias("allocated"))
+    return df.withColumn("remaining", F.lit(income).cast("decimal(18,2)") - F.coalesce("allocated", F.lit(0)))
+
+
+def by_sub_type(txns: DataFrame, kinds: list[str], name: str = "total") -> DataFrame:
+    """Sum of the rows whose transaction_sub_type is one of ``kinds``."""
+    return txns.agg(F.coalesce(F.sum(F.when(F.col("transaction_sub_type").isin(*kinds), F.col("amount"))), F.lit(0).cast("decimal(28,2)")).alias(name))
+
+
+def report(txns: DataFrame, as_of: str) -> DataFrame:
+    """The analytics of a ledger as rows: section, key, key2, amount, other, n.
+
+    Sections: month (income, expense), category, category_month, weekday, merchant and top_category (the largest),
+    current_month and previous_month of ``as_of``, and all (rows; key and key2: first and last day).
+    """
+    none, nothing = F.lit(None).cast("string"), F.lit(0).cast("decimal(28,2)")
+
+    def part(df: DataFrame, section: str, key: Column, key2: Column, amount: Column, other: Column, n: Column) -> DataFrame:
+        kinds = (F.lit(section), key.cast("string"), key2.cast("string"), amount.cast("decimal(28,2)"), other.cast("decimal(28,2)"), n.cast("long"))
+        return df.select(*[c.alias(x) for c, x in zip(kinds, ("section", "key", "key2", "amount", "other", "n"), strict=True)])
+
+    c, months = F.col, by_month(txns)
+    now = F.date_format(F.lit(as_of).cast("date"), "yyyy-MM")
+    before = F.date_format(F.add_months(F.lit(as_of).cast("date"), -1), "yyyy-MM")
+    ask = txns.sparkSession.range(1)
+    of = lambda name, m: part(ask.join(months, c("month") == m, "left"), name, m, none, F.coalesce("income", nothing), F.coalesce("expense", nothing), F.lit(None))
+    fine = txns.groupBy("category", month_key().alias("month"), F.dayofweek("date").alias("day")).agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"))
+    sums = lambda *keys: fine.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    parts = [
+        part(months, "month", c("month"), none, c("income"), c("expense"), F.lit(None)),
+        part(sums("category"), "category", c("category"), none, c("total"), none, c("n")),
+        part(sums("category", "month"), "category_month", c("category"), c("month"), c("total"), none, c("n")),
+        part(sums("day"), "weekday", c("day") - 1, none, c("total"), none, c("n")),
+        part(top_merchants(txns), "merchant", c("merchant"), none, c("total"), none, c("n")),
+        part(top_categories(txns.filter(is_expense())), "top_category", c("category"), none, c("total"), none, F.lit(None)),
+        of("current_month", now),
+        of("previous_month", before),
+        part(txns.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count(F.lit(1)).alias("n")), "all", F.to_date("a"), F.to_date("b"), none, none, c("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

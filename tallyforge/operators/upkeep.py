@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import bound
+
 from .cards import CARD, DEFAULT_APR, latest
 from .spending import half_up, is_excluded, is_expense, is_income, month_key
 
@@ -14,7 +16,10 @@ ALIASES = {"food": "dining", "restaurants": "dining", "transport": "transportati
 
 def normalize_category(col: Column, known: list[str]) -> Column:
     """A known id from free text: itself, an alias, an id or alias that holds it or is held by it, else 'other'."""
-    t = F.regexp_replace(F.lower(F.trim(F.coalesce(col, F.lit("")))), r"\s+", "_")
+    return bound(F.regexp_replace(F.lower(F.trim(F.coalesce(col, F.lit("")))), r"\s+", "_"), lambda t: _known_id(t, known))
+
+
+def _known_id(t: Column, known: list[str]) -> Column:
     out = F.when(t == "", "other").when(t.isin(*known), t)
     for alias, name in ALIASES.items():
         out = out.when(t == alias, name)
@@ -147,3 +152,24 @@ def nearest_column(items: DataFrame, headers: DataFrame, key: str, near: float =
     gap = F.abs(F.col("x") - F.col("hx"))
     df = items.join(h, key).withColumn("gap", F.when(gap <= near, gap * 0.5).otherwise(gap)).filter(gap <= far)
     return df.groupBy(key, "item").agg(F.min(F.struct("gap", "hx", "role")).getField("role").alias("role"))
+
+
+def needs_review(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.coalesce("needs_review", F.lit(False)))
+
+
+def dismiss(rows: DataFrame, ids: DataFrame, dismissed: bool = True) -> DataFrame:
+    """Rows with the anomalies of the given ids dismissed, or restored."""
+    df = rows.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    return df.withColumn("anomaly_dismissed", F.when(F.col("_hit"), F.lit(dismissed)).otherwise(F.col("anomaly_dismissed"))).select(*rows.columns)
+
+
+def active_first(payments: DataFrame, active: bool | None = None) -> DataFrame:
+    """Recurring payments (merchant, amount, is_active), active ones first, the largest first; only (in)active ones if asked."""
+    df = payments if active is None else payments.filter(F.col("is_active") == active)
+    return df.orderBy(F.col("is_active").desc(), F.col("amount").desc(), "merchant")
+
+
+def not_recurring(excluded: DataFrame, merchants: DataFrame) -> DataFrame:
+    """The list of excluded merchants (merchant) with more of them, once each."""
+    return excluded.select("merchant").unionByName(merchants.select("merchant")).distinct()

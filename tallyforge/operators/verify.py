@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.dates import parse_date
+from tallyforge.functions.dates import checked_date, parse_date
 from tallyforge.functions.text import dice_similarity, noise_row, verification_text
 
 from .anomalies import duplicate_candidates
@@ -75,7 +75,75 @@ def near_duplicates(txns: DataFrame, hours: float = 24, similarity: float = 0.85
 
 def merge_confidence(warnings: Column) -> Column:
     """1 less what each class of warning costs."""
+    naming = lambda word: F.size(F.filter(warnings, lambda w: F.lower(w).contains(word)))
     cost = F.lit(0.0)
     for word, part in (("duplicate", 0.05), ("missing", 0.1), ("mismatch", 0.15), ("balance", 0.2)):
-        cost = cost + F.size(F.filter(warnings, lambda w, word=word: F.lower(w).contains(word))) * part
+        cost = cost + naming(word) * part
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cost))
+
+
+def settle(rows: DataFrame, keys: list[str], accept: float = ACCEPT) -> DataFrame:
+    """Add status of each row (ord, date, amount, type, description, score, anchor) of its statement (``keys``): the first
+    accepted row of a signature is verified, all after it are duplicates, others are rejected.
+
+    A signature is the day, the sum, the direction, 40 letters of the description and the anchor's place in the text.
+    """
+    anchor = F.coalesce(F.floor(F.col("anchor") / 8).cast("string"), F.lit("na"))
+    sig = F.concat_ws("|", F.col("date").cast("string"), F.col("amount").cast("decimal(18,2)").cast("string"), "type", F.substring(verification_text(F.col("description")), 1, 40), anchor)
+    first = F.min(F.when(F.col("score") >= accept, F.col("ord"))).over(Window.partitionBy(*keys, "_sig"))
+    df = rows.withColumn("_sig", sig).withColumn("_first", first)
+    status = F.when(F.col("ord") > F.col("_first"), "duplicate").when(F.col("ord") == F.col("_first"), "verified").otherwise("rejected")
+    return df.withColumn("status", status).drop("_sig", "_first")
+
+
+def distinct_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each day, sum and 30 letters of description in a statement."""
+    own = Window.partitionBy(*keys, F.to_date("date"), F.col("amount").cast("decimal(18,2)"), F.substring("description", 1, 30)).orderBy("ord")
+    return rows.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+
+
+def derived_totals(txns: DataFrame, keys: list[str]) -> DataFrame:
+    """debits, credits (whatever is no debit) and n of each statement."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    part = lambda debit: F.sum(F.when((F.col("type") == "debit") == F.lit(debit), F.col("amount")).otherwise(zero))
+    return txns.groupBy(*keys).agg(part(True).alias("debits"), part(False).alias("credits"), F.count(F.lit(1)).alias("n"))
+
+
+def card_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], part: int = 15) -> DataFrame:
+    """Add warnings where the movements' totals are off the card summary's (purchases, payments) by more than ``part`` percent."""
+    df = summary.join(totals, keys, "left")
+    off = lambda mine, said: (F.col("n") > 0) & (F.col(said) > 0) & (F.abs(F.col(mine) - F.col(said)) * 100 > F.col(said) * part)
+    return df.withColumn("warnings", F.array_compact(F.array(F.when(off("debits", "purchases"), "debits mismatch"), F.when(off("credits", "payments"), "credits mismatch"))))
+
+
+def bank_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """Add warnings where opening, movements and closing of a bank summary disagree by more than ``tolerance``."""
+    df = summary.join(totals, keys, "left")
+    gap = F.abs(F.col("opening") + F.col("credits") - F.col("debits") - F.col("closing"))
+    return df.withColumn("warnings", F.array_compact(F.array(F.when((F.col("n") > 0) & (gap > tolerance), "balance mismatch"))))
+
+
+def merge_statements(txns: DataFrame, summary: DataFrame, keys: list[str], duplicates: DataFrame | None = None) -> DataFrame:
+    """One row a bank statement: totals without near-duplicates, warnings and confidence.
+
+    ``txns``: id, keys, ord, amount, type, balance; ``summary``: keys, opening, closing; ``duplicates``: id of rows that go.
+    """
+    rows = txns if duplicates is None else txns.join(duplicates.select("id").distinct(), "id", "left_anti")
+    gone = txns.groupBy(*keys).agg(F.count(F.lit(1)).alias("given"))
+    ends = rows.filter("balance is not null").groupBy(*keys).agg(F.min_by("balance", "ord").alias("first_balance"), F.max_by("balance", "ord").alias("last_balance"))
+    df = bank_warnings(summary, derived_totals(rows, keys), keys).join(ends, keys, "left").join(gone, keys, "left")
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) > TOLERANCE
+    more = F.array_compact(F.array(F.when(F.col("given") > F.coalesce("n", F.lit(0)), "duplicate rows removed"), F.when(F.col("n").isNull(), "transactions missing"), F.when(off("first_balance", "opening"), "balance differs at the start"), F.when(off("last_balance", "closing"), "balance differs at the end")))
+    df = df.withColumn("warnings", F.concat(more, "warnings"))
+    return df.withColumn("confidence", merge_confidence(F.col("warnings"))).drop("given", "first_balance", "last_balance")
+
+
+def merge_checked(rows: DataFrame, checked: DataFrame) -> DataFrame:
+    """Rows with verification_confidence of ``checked`` (id, score in percent); null where nothing was checked."""
+    return rows.join(checked.select("id", (F.col("score") / 100.0).alias("verification_confidence")), "id", "left")
+
+
+def check_bank_summary(summaries: DataFrame) -> DataFrame:
+    """Add problems: the date fields (text) of a bank's summary that are given and are no dates."""
+    fields = ["statement_date", "period_start", "period_end"]
+    return summaries.withColumn("problems", F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & checked_date(F.col(c)).isNull(), c) for c in fields])))

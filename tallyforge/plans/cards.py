@@ -113,7 +113,11 @@ def payoff_fixed(st):
     return _debts(st).withColumn("f", p.fixed_payoff(F.col("total_due"), F.col("apr"), pay)).select("ord", F.col("f.m").alias("months"), F.floor(F.col("f.i") * 100 + 0.5).alias("interest_cents"))
 
 
-@query("interest_projection", "st")
+_DUE_408 = "(b + b * 0.408::double / 12)"
+_LEFT_P = f"({_DUE_408} - least(p, {_DUE_408}))"
+
+
+@query("interest_projection", "st", f"with recursive {_LATEST}, sim as (select ord, scale, 0 as m, total_due::double as b, 0.0::double as i, ceil(greatest(total_due::double * 0.05::double, 200.0::double) * scale)::bigint as p, total_due::double * 0.408::double / 12 as first from lt, (select unnest([1.1::double, 1.25::double, 1.5::double, 2.0::double]) as scale) where total_due > 0 union all select ord, scale, m + 1, case when {_LEFT_P} < 1 then 0 else {_LEFT_P} end, i + b * 0.408::double / 12, p, first from sim where b > 0 and m < 600 and p > first) select ord, scale, max(p) as payment, max(m)::int as months, floor(max(i) * 100 + 0.5)::bigint as interest_cents from sim group by ord, scale having max(p) > max(first)")
 def interest_projection(st):
     return p.projections(_debts(st)).select("ord", "scale", "payment", "months", F.floor(F.col("interest") * 100 + 0.5).alias("interest_cents"))
 
@@ -135,6 +139,6 @@ def strategy_snowball(st):
     return p.strategy(_debts(st), 2_000_000, "snowball", ["card_issuer"]).select("ord", "priority", F.floor(F.col("payment") * 100 + 0.5).alias("cents"))
 
 
-@query("debt_free_months", "st")
+@query("debt_free_months", "st", f"with recursive {_LATEST}, d as (select card_issuer, sum(total_due)::double as t from lt where total_due > 0 group by 1), sim as (select card_issuer, 0 as m, t as b, t * 0.05::double as p from d union all select card_issuer, m + 1, b * (1 + 0.408::double / 12) - p, p from sim where b > 0 and m < 120) select card_issuer, max(m)::int as months from sim group by 1")
 def debt_free_months(st):
     return _debts(st).groupBy("card_issuer").agg(F.sum("balance").alias("total")).select("card_issuer", p.debt_free_months(F.col("total"), F.lit(0.408), F.col("total") * 0.05).alias("months"))

@@ -140,7 +140,14 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.chunk_plan(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk", "first_line", F.md5("chunk_text").alias("chunk_md5"))
 
 
-@over("currency_score")
+def _scores_sql() -> str:
+    rows = ", ".join(f"({r}, '{c}', '{p.replace(chr(39), chr(39) * 2)}', {w})" for r, c, p, w in currency.patterns())
+    return f"""with p(rank, code, pattern, w) as (values {rows}), x as (select doc_id, case when length(text) > 7000 then left(text, 5000) || chr(10) || right(text, 2000) else text end as t from documents),
+s as (select doc_id, code, rank, sum(w * len(regexp_extract_all(t, pattern, 0, 'i'))) as score from x, p where t is not null group by all), b as (select doc_id, arg_max(code, score * 1000 - rank) as currency from s where score > 0 group by doc_id)
+select doc_id, currency from documents left join b using (doc_id)"""
+
+
+@over("currency_score", _scores_sql())
 def currency_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", currency.detect_currency(F.col("text")).alias("currency"))
 

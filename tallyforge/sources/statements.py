@@ -138,3 +138,21 @@ def csv_lines(txns: DataFrame) -> DataFrame:
 
 def write_csv(txns: DataFrame, path: str) -> None:
     csv_lines(txns).write.text(path)
+
+
+def raw_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of whole text files, such as tables that are read as text."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+#: How files of each suffix are read; a reader of PDF items may be given to read_statements.
+READERS = {"csv": read_csv, "xls": read_workbooks, "xlsx": read_workbooks}
+
+
+def read_statements(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
+    """Rows of the statements at ``path`` by the reader of its suffix."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    found = {**READERS, **(readers or {})}.get(suffix)
+    if not found:
+        raise ValueError(f"no reader for .{suffix} files; there are {', '.join(sorted({**READERS, **(readers or {})}))}")
+    return found(spark, path)

@@ -17,3 +17,18 @@ def read_transactions(spark: SparkSession, path: str, form: str = "parquet") ->
 def write_transactions(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Appended by month of the date, so that later reads of a range skip the other months."""
     df.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("append").partitionBy("month").format(form).save(path)
+
+
+def stage(rows: DataFrame, report: DataFrame, path: str) -> None:
+    """Rows of an import and the report of their checks, kept until they are reviewed."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    report.write.mode("overwrite").parquet(f"{path}/report")
+
+
+def staged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/report")
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """A line of JSON for each row, as text."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
