@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import LEAST, TERM, TRIGGERS, vocabulary
+from .licenses import LEAST, LICENCE_FILE, PARAGRAPH, TERM, vocabulary
 from .mixing import SEED, offset_of
 from .quality import METRICS, MIN_GROUP, SKETCH_BITS, SPREAD
 
@@ -81,24 +81,26 @@ select doc_id, size, source_size, target, ((floor(rank::double * rate + {offset_
 
 
 def _op2() -> str:
-    tv = ", ".join(f"('{name}', '{t}', {c})" for name, counts in vocabulary().items() for t, c in counts.items())
+    tv = ", ".join(f"('{tpl}', '{name}', '{t}', {c})" for tpl, name, t, c in vocabulary())
+    idf = "floor(1000 * ln(1.0 + n.n / coalesce(df.df, 1)::double))::bigint"
     return rf"""
-with tv(license, t, c) as (values {tv}),
+with tv(tpl, license, t, c) as (values {tv}),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
   '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || case when doc_id % 64 = 0 then (doc_id // 64) || '/LICENSE'
     when doc_id % 8 = 0 then (doc_id // 64) || '/' || (doc_id // 8) || '/LICENSE' else (doc_id // 64) || '/' || (doc_id // 8) || '/' || doc_id || '.txt' end as path from documents),
 n as (select count(*) as n from d),
-df as (select t, count(*) as df from (select distinct r, unnest(regexp_extract_all(lower(text), '{TERM}')) as t from d) where t in (select t from tv) group by t),
-idf as (select distinct tv.t, floor(1000 * ln(1.0 + n.n / coalesce(df.df, 1)::double))::bigint as w from tv left join df using (t), n),
-tw as (select license, t, c * w as w from tv join idf using (t)), ts as (select license, sum(w * w)::double as size from tw group by license),
-l as (select r, k, s[k] as line from (select r, string_split(text, chr(10)) as s, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k from d where regexp_matches(lower(text), '{TRIGGERS}'))),
-lt as (select r, k, t, count(*) as c from (select r, k, unnest(regexp_extract_all(lower(line), '{TERM}')) as t from l where regexp_matches(lower(line), '{TRIGGERS}')) group by all),
-lw as (select r, k, lt.t, c * coalesce(idf.w, floor(1000 * ln(1.0 + n.n))::bigint) as w from lt left join idf using (t), n),
-nm as (select r, k, sum(w * w)::double as norm from lw group by all),
-sc as (select r, license, floor(1000.0 * sum(lw.w * tw.w)::bigint / sqrt(max(norm) * max(size)))::bigint as score from lw join tw using (t) join ts using (license) join nm using (r, k) group by r, k, license),
-best as (select r, max({{'score': score, 'license': license}}) as f from sc where score >= {LEAST} group by r),
+df as (select t, count(*) as df from (select distinct r, unnest(regexp_extract_all(lower(text), '{TERM}')) as t from d) group by t),
+tw as (select tpl, license, tv.t, c * {idf} as w from tv left join df using (t), n), ts as (select tpl, license, sum(w * w)::double as size from tw group by tpl, license),
+ps as (select r, unnest(string_split(text, chr(10))) as p from d union select r, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) from d union select r, text from d where regexp_matches(path, '{LICENCE_FILE}')),
+pd as (select p, row_number() over () as k from (select distinct p from ps)),
+pt as (select k, t, count(*) as c from (select k, unnest(regexp_extract_all(lower(p), '{TERM}')) as t from pd) group by all),
+pw as (select k, pt.t, c * {idf} as w from pt join df using (t), n),
+nm as (select k, sum((w * w)::double) as norm from pw group by k),
+sc as (select k, license, floor(1000.0 * sum(pw.w * tw.w)::bigint / sqrt(max(norm) * max(size)))::bigint as score from pw join tw using (t) join ts using (tpl, license) join nm using (k) group by k, tpl, license),
+bp as (select p, max({{'score': score, 'license': license}}) as f from sc join pd using (k) where score >= {LEAST} group by p),
+best as (select r, max(f) as f from ps join bp using (p) group by r),
 f as (select d.r, doc_id, path, regexp_replace(path, '/[^/]*$', '') as dir, b.f from d left join best b using (r)),
-nam as (select dir as place, max(f) as g from f where f is not null and regexp_matches(path, '(^|/)(LICENSE|LICENCE|COPYING)[^/]*$') group by dir),
+nam as (select dir as place, max(f) as g from f where f is not null and regexp_matches(path, '{LICENCE_FILE}') group by dir),
 near as (select f.r, arg_max(struct_pack(p := place, g := g), length(place)) as x from f join nam on f.dir = nam.place or starts_with(f.dir, nam.place || '/') where f.f is null group by f.r)
 select doc_id, path, coalesce(f.f.license, x.g.license) as license, coalesce(f.f.score, x.g.score) as score, case when f.f is not null then 'own' else x.p end as license_from from f left join near using (r)
 """

@@ -102,6 +102,25 @@ def test_quality_keeps_extra_columns(spark):
 # 2 licences
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_licence_notices(spark, n):
+    """Notices with words around them, over lines or as a whole file, are recognized at any size; prose is not."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("aeioulrstn") for _ in range(rng.randint(2, 8)))
+    prose = lambda k: " ".join(rng.choice(["the", "of", "this", "to", "is", "copy", "docs"]) if rng.random() < 0.4 else word() for _ in range(k))
+    files = [(f"/p{k}/x.txt", "\n".join(prose(30) for _ in range(3))) for k in range(n)]
+    mit, gnu, apache = (licenses.TEMPLATES[k][1] for k in ("MIT", "GPL-3.0", "Apache-2.0"))
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    want = {"/a/LICENSE": "MIT", "/b/y.c": "GPL-3.0", "/c/y.c": "Apache-2.0", "/d/y.md": "Apache-2.0", "/e/y.md": "MIT", "/f/COPYING": "BSD-3-Clause", "/a/sub/z.txt": "MIT", "/g/y.md": "CC-BY-4.0"}
+    files += [
+        ("/a/LICENSE", f"Copyright 2020 {word()}\n\n{mit}"), ("/b/y.c", f"{wrapped(gnu)}\n\n{prose(60)}"), ("/c/y.c", f"{prose(20)}\n\n{wrapped(apache)}\n\n{prose(40)}"),
+        ("/d/y.md", f"{prose(20)}\nDocs licensed under the Apache License, Version 2.0.\n{prose(20)}"), ("/e/y.md", f"{prose(9)}\nDocs released under the MIT License."), ("/f/COPYING", licenses.TEMPLATES["BSD-3-Clause"][1]),
+        ("/a/sub/z.txt", prose(30)), ("/g/y.md", "CC BY 4.0"),
+    ]
+    got = {r.path: r.license for r in licenses.scan_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v} == want
+
+
 def test_licences(spark):
     rows = [("/a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("/a/b/x.txt", "some text"), ("/a/b/LICENSE", "unknown licence of ours"), ("/a/c/y.txt", "text\nReleased under the MIT License."), ("/z.txt", None), (None, ""), ("/a/b/x.txt", "some text")]
     got = {(r.path, r.license, r.license_from) for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
