@@ -1,11 +1,12 @@
 """Hierarchical packing of documents into sequences of several lengths.
 
 A document's ids that fill whole windows of the longest length become sequences of their own.  The rest is routed to
-the tier of the shortest length that holds it.  Each tier is packed: the longest rests open windows of the longest
-length, and the gaps they leave are filled from shorter tiers, best fit first; the last gap takes the head of a shorter
-rest, whose tail goes back to its tier.  What a task has left at its end fills windows of shorter lengths, which are
-powers of two, so that nothing is padded.  Sequences are dealt to step groups in serpentine order of their cost (sum
-of squared piece lengths), so that the steps of a group of equal tokens take equal time.
+the tier of the shortest length that holds it.  Each tier is packed into windows of its own length, the longest tier
+first: a rest of the tier, which takes more than half of its window, opens it; the gap is filled from shorter tiers,
+best fit first, and at last by the head of a shorter rest, whose tail goes back to its tier.  So every sequence is full.
+What a task has left at its end fills windows of shorter lengths, which are powers of two, so that nothing is padded.
+The sequences of each length are dealt to step groups in serpentine order of their cost (sum of squared piece lengths),
+so that a group has one length, and groups of one length equal tokens and about equal time.
 
 Each task packs the rows of its own input partition in bounded blocks, so nothing is shuffled and a lost task gives
 the same sequences again, as long as its partition has the same rows in the same order (files, or a checkpoint).
@@ -155,9 +156,16 @@ class Packer:
                 return (room, doc, start, total, ids[: 4 * room])
         return None
 
-    def fill(self, size: int) -> list[tuple]:
-        """One full sequence; needs ``held >= size``."""
-        out, room = [], size
+    def open(self, tier: int) -> tuple:
+        """The longest rest of a tier."""
+        found = self.pools[tier].pop()
+        self.held -= found[0]
+        return (found[0], *found[2:])
+
+    def fill(self, size: int, first: tuple | None = None) -> list[tuple]:
+        """One full sequence; needs ``size`` ids, held or in ``first``."""
+        out = [first] if first else []
+        room = size - sum(p[0] for p in out)
         while room:
             piece = self.take(room) or self.cut(room)
             out.append(piece)
@@ -173,11 +181,13 @@ class Packer:
             self.route((total - whole, doc, whole, total, ids[4 * whole :]))
 
     def block(self) -> Iterator[list[tuple]]:
-        while self.held >= self.window:
-            yield self.fill(self.window)
+        """Each tier's windows, as long as there are ids to fill them."""
+        for tier in self.tiers:
+            while self.pools[tier] and self.held >= tier:
+                yield self.fill(tier, self.open(tier))
 
     def end(self) -> Iterator[list[tuple]]:
-        """Everything left: sequences of the window, then of the powers of two that sum to the rest."""
+        """Everything left: the tiers' windows, then windows of the powers of two that sum to the rest."""
         yield from self.block()
         size = self.window
         while self.held:
@@ -210,30 +220,36 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = True, doc_id: str = "
         code, packer = encoder(tokenizer), Packer(window, tiers)
         base = TaskContext.get().partitionId() << 40
         end = np.array([END_ID], dtype="<u4").tobytes()
-        state = {"sequence": 0, "group": 0}
+        state = {"sequence": 0, "group": 0, "ids": 0}
         waiting: list[list[tuple]] = []
         schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")], ("ids", pa.binary())])
 
         def flush() -> pa.RecordBatch:
-            n_groups = max(1, sum(p[0] for s in waiting for p in s) // STEP_IDS)
             rows: list[tuple] = []
-            for s, group in zip(waiting, groups_of(waiting, n_groups), strict=True):
-                at, size = 0, sum(p[0] for p in s)
-                for length, doc, start, total, ids in s:
-                    rows.append((doc, start, length, zlib.crc32(ids), total, base + state["sequence"], at, size, base + state["group"] + group, ids if with_ids else None))
-                    at += length
-                state["sequence"] += 1
-            state["group"] += n_groups
+            sizes = [sum(p[0] for p in s) for s in waiting]
+            for size in sorted(set(sizes), reverse=True):
+                alike = [s for s, n in zip(waiting, sizes, strict=True) if n == size]
+                n_groups = max(1, len(alike) * size // STEP_IDS)
+                for s, group in zip(alike, groups_of(alike, n_groups), strict=True):
+                    at = 0
+                    for length, doc, start, total, ids in s:
+                        rows.append((doc, start, length, zlib.crc32(ids), total, base + state["sequence"], at, size, base + state["group"] + group, ids if with_ids else None))
+                        at += length
+                    state["sequence"] += 1
+                state["group"] += n_groups
+            state["ids"] = packer.held
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
             schema = schema.set(0, pa.field("doc_id", batch.schema.field(0).type))
             for i in range(batch.num_rows):
-                waiting.extend(packer.add(batch.column(0)[i].as_py(), code.encode(batch.column(1)[i].as_py() or "") + end))
+                ids = code.encode(batch.column(1)[i].as_py() or "") + end
+                state["ids"] += len(ids) // 4
+                waiting.extend(packer.add(batch.column(0)[i].as_py(), ids))
                 if packer.held >= BLOCK_IDS:
                     waiting.extend(packer.block())
-                if len(waiting) * window >= 2 * BLOCK_IDS:
+                if state["ids"] - packer.held >= 2 * BLOCK_IDS:
                     yield flush()
         waiting.extend(packer.end())
         if waiting:

@@ -194,8 +194,44 @@ def test_packing(spark, texts):
 
     whole = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
     ids_of = lambda doc: np.array([*whole.encode(texts[doc] or "", add_special_tokens=False).ids, 2], dtype="<u4")
-    docs = _check_packing(queries.op4_packing(spark, DATA).collect(), ids_of)
-    assert set(docs) == set(texts)
+    rows = queries.op4_packing(spark, DATA).collect()
+    assert set(_check_packing(rows, ids_of)) == set(texts)
+    lengths = collections.defaultdict(set)
+    for r in rows:
+        lengths[r.step_group].add(r.sequence_length)
+    assert all(len(x) == 1 for x in lengths.values())
+
+
+def test_packing_tiers():
+    """Sequences have their tier's length and are opened by a rest of that tier; groups hold one length and like costs."""
+    rng = random.Random(8)
+    packer, made = packing.Packer(), []
+    for doc in range(3000):
+        n = rng.choice([rng.randint(1, 300), rng.randint(200, 1500), rng.randint(1000, 9000)])
+        made += packer.add(doc, np.full(n, doc, dtype="<u4").tobytes())
+        if packer.held > 1 << 18:
+            made += packer.block()
+    before_end = len(made)
+    made += packer.end()
+    sizes = [sum(p[0] for p in s) for s in made]
+    assert set(sizes[:before_end]) == {4096, 2048, 1024, 512, 256}
+    assert all(s[0][0] > n // 2 or n == 256 for s, n in zip(made[:before_end], sizes, strict=False))
+    assert all(n & (n - 1) == 0 for n in sizes) and sum(n < 256 for n in sizes) <= 8
+    pieces = collections.defaultdict(list)
+    for s in made:
+        for length, doc, start, total, ids in s:
+            assert ids == np.full(length, doc, dtype="<u4").tobytes()
+            pieces[doc].append((start, length, total))
+    for own in pieces.values():
+        at = 0
+        for start, length, _ in sorted(own):
+            assert start == at
+            at += length
+        assert at == own[0][2]
+    whole = [s for s in made if sum(p[0] for p in s) == 4096]
+    groups = packing.groups_of(whole, 8)
+    cost = [sum(p[0] ** 2 for s, g in zip(whole, groups, strict=True) for p in s if g == k) for k in range(8)]
+    assert max(cost) < 1.1 * min(cost)
 
 
 def test_packing_edges(spark, odd, empty):
