@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import currency, dates, money, text
-from tallyforge.operators import payoff, retrieve, rules, spending
-from tallyforge.sources import statements
+from tallyforge.operators import payoff, retrieve, rules, spending, verify
+from tallyforge.sources import statements, store
 
 D = dt.date(2024, 1, 15)
 
@@ -133,3 +133,40 @@ def test_clusters(spark):
     txns = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "ord long, merchant string").selectExpr("*", "merchant as description")
     got = {r.name: r.cluster for r in clusters(txns).collect()}
     assert got == {"netflix": "netflix", "netflix premium": "netflix", "acme gas": "acme gas", "acme water": "acme gas", "gas": "acme gas", "the shop": "the shop", "the bar": "the bar", "shop": "the shop", "zz": "zz", "pizza zz": "zz"}
+
+
+def test_files_by_suffix(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Details,Debit,Credit\n15/01/2024,Shop,12.50,\n16/01/2024,Pay,,99\n")
+    rows = statements.read_statements(spark, str(tmp_path / "a.csv"))
+    assert sorted((r.date, float(r.amount), r.type) for r in rows.collect()) == [(D, 12.5, "debit"), (dt.date(2024, 1, 16), 99.0, "credit")]
+    with pytest.raises(ValueError, match="no reader for .doc"):
+        statements.read_statements(spark, str(tmp_path / "a.doc"))
+    own = statements.read_statements(spark, "x.pdf", {"pdf": lambda s, p: s.createDataFrame([(p,)], "path string")})
+    assert own.first().path == "x.pdf"
+    assert statements.raw_texts(spark, str(tmp_path / "a.csv")).first().text.startswith("Date,Details")
+
+
+def test_staging_and_log(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, description string")
+    store.stage(rows, rows.limit(1), str(tmp_path / "staged"))
+    got, report = store.staged(spark, str(tmp_path / "staged"))
+    assert got.count() == 2 and report.count() == 1
+    store.write_log(rows, str(tmp_path / "log"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "log")).collect()} == {'{"id":1,"description":"a"}', '{"id":2,"description":"b"}'}
+
+
+def test_merge_confidence(spark):
+    f = lambda *w: spark.range(1).select(verify.merge_confidence(F.array(*[F.lit(x) for x in w]).cast("array<string>")).alias("x")).first().x
+    assert f() == 1.0 and abs(f("Duplicate rows", "balance mismatch") - 0.6) < 1e-12 and f(*["balance"] * 9) == 0.0
+
+
+def test_payoff_edges(spark):
+    df = spark.createDataFrame([(1, 0.5, 0.4), (2, None, 0.4), (3, 0.0, 0.4), (4, 50000.0, 0.408), (5, 100.0, None)], "id int, b double, apr double")
+    got = {r.id: r.f for r in df.select("id", payoff.minimum_payoff(F.col("b"), F.col("apr")).alias("f")).collect()}
+    assert got[1].m == 1 and got[3].m == 0 and got[4].m == 176 and abs(got[4].i - 91157.68) < 0.01 and got[2].m is None and got[5].m is None
+
+
+def test_headers_and_context_of_currency(spark):
+    f = lambda t, c=None: one(spark, lambda x: currency.repair_glyphs(x, c), t)
+    assert f("C 500", "INR") == "₹500" and f("C 500") == "C 500" and f("C 1,23,456") == "₹1,23,456" and f(None) is None
+    assert one(spark, currency.plain_currency, "5 Euro") == "EUR" and one(spark, currency.plain_currency, "five") is None
