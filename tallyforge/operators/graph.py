@@ -1,13 +1,14 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
 Every round each node's larger neighbours are linked to its smallest one, then its smaller ones; the number of rounds
-grows with the logarithm of a component's size.  A round's edges are cut to the shared checkpoint folder, so nothing
-but counts reaches the driver.  A hub's rows are joined with one row of its own, which Spark may split.
+grows with the logarithm of a component's size.  A round's edges are a table in the shared folder, which is deleted
+once the next round's is complete; nothing but counts reaches the driver.  A hub's rows are joined with one row of its own, which Spark may split.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of which later steps read the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of stored() that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _mark(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -38,7 +54,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Nulls, loops and repeated edges count for nothing; an empty table gives an empty result.
     """
-    edges = cut(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = stored(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,8 +62,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(lower, F.col("u") == F.col("n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(lower.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        before, edges = edges, stored(small.unionByName(lower.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
         now = _mark(edges)
+        discard(before)
         if now == mark:
             break
         mark = now
