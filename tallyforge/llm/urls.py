@@ -21,6 +21,8 @@ BITS_PER_ENTRY = 16
 MAX_FILTER_BYTES = 64 << 20
 #: Parameters that tell visits apart, not pages.
 TRACKING = r"^(utm_[a-z_]+|gclid|fbclid|msclkid|dclid)(=|$)"
+#: Matched key lists that are broadcast; more are joined by a shuffle of the rows with a possible hit.
+FEW = 50_000
 WORDS = 8  # 32-bit words of a block: 256 bits, half a cache line
 
 
@@ -124,8 +126,7 @@ def _look_up(df: DataFrame, keyed: DataFrame, keys: Column) -> DataFrame:
     hashed = [F.transform("_url_keys", lambda k: F.xxhash64(k)), F.transform("_url_keys", lambda k: F.xxhash64(F.lit("second"), k))]
     df = df.withColumn("_url_possible", probe("_url_keys", *hashed))
     columns = [c for c in df.columns if not c.startswith("_url_")]
-    nothing = F.lit(None).cast("struct<rule:string,verdict:string>")
-    passed = df.filter("size(_url_possible) = 0").select(*columns, nothing.alias("entry"))
+    entry = F.when(F.col("_url_found").isNotNull(), F.struct(F.col("_url_found.rule").alias("rule"), F.col("_url_found.verdict").alias("verdict")))
     some = df.filter("size(_url_possible) > 0")
     # Equal rows share their keys, so the join needs each distinct key list once; the hot ones are merged before the shuffle.
     lists = some.select("_url_possible").distinct()
@@ -136,9 +137,11 @@ def _look_up(df: DataFrame, keyed: DataFrame, keys: Column) -> DataFrame:
         .agg(F.max("found").alias("_url_found"))
     )
     exact = cut(exact)
-    found = some.join(maybe_broadcast(exact, exact.count()), F.col("_url_possible") == F.col("_url_list"), "left")
-    entry = F.when(F.col("_url_found").isNotNull(), F.struct(F.col("_url_found.rule").alias("rule"), F.col("_url_found.verdict").alias("verdict")))
-    return passed.unionByName(found.select(*columns, entry.alias("entry")))
+    n_exact, same = exact.count(), F.col("_url_possible") == F.col("_url_list")
+    if n_exact <= FEW:  # one reading: no row's list is empty in ``exact``
+        return df.join(F.broadcast(exact), same, "left").select(*columns, entry.alias("entry"))
+    passed = df.filter("size(_url_possible) = 0").select(*columns, F.lit(None).cast("struct<rule:string,verdict:string>").alias("entry"))
+    return passed.unionByName(some.join(exact, same, "left").select(*columns, entry.alias("entry")))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:

@@ -158,6 +158,20 @@ def test_listed_urls_and_many_shapes(spark):
     assert got["/en/4033"] == "a.org/en/403" and got[f"/{'x' * 90}"] == f"a.org/{'x' * 89}"
 
 
+def test_listed_urls(spark):
+    """Whole URLs fit by canonical form, whatever the number of their shapes; prefixes of them do not."""
+    listing = [(f"h{k}.example.com", "/" + "a" * k, "block") for k in range(1, 121)] + [("bad.org", "", "block"), ("one.net", "/en/403", "block")]
+    asked = {
+        "http://one.net/en/403": "block", "https://ONE.net:443/en/403/?utm_source=x#top": "block", "http://one.net/en/4033": "allow", "http://one.net/en/%34%30%33": "block", "http://sub.one.net/en/403": "allow",
+        "http://x.bad.org/any?y=1": "block", "http://notbad.org/": "allow", f"http://h100.example.com/{'a' * 100}": "block", f"http://h100.example.com/{'a' * 99}": "allow", "no url": "allow",
+    }
+    schema = "host string, path string, verdict string"
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(asked)] + [(99, None)], "page_id long, url string")
+    rules = spark.createDataFrame([], schema)
+    got = {r.url: r.verdict for r in urls.judge_urls(pages, rules, spark.createDataFrame(listing, schema)).collect()}
+    assert got == {**asked, None: "allow"}
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.lit("second"), "id").alias("g"))
     bits = urls.block_filter(keys, 5000)
