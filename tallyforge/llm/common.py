@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.graph import components, cut, shared_folder
+from tallyforge.operators.graph import components, cut, discard, shared_folder, stored
 
-__all__ = ["components", "cut", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
+__all__ = ["components", "cut", "discard", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
 
 #: A word is a run of characters other than these (space, tab, line ends, vertical tab, form feed).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -20,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, of which later steps read the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small input (fewer parts than cores, as of a file of one row group) to all cores; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CLASS, cut, maybe_broadcast, spread, stored, top_bits
+from .common import WORD, WS_CLASS, cut, maybe_broadcast, spread, top_bits
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -36,6 +36,8 @@ METRICS = {
 }
 
 
+#: Keys of rejected rows that are sent to the documents; more are met by a shuffle.
+LISTED = 500_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words")
 
 
@@ -145,9 +147,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that score_documents() keeps, with the input's columns.
 
-    Texts and measures are written to a table, of which the sketches read the measures; so no text is measured twice.
+    Texts are measured once; the keys of rejected rows, 16 bytes each, then meet the documents, by broadcast if they are
+    few.  Rows with equal keys have equal ids, texts, languages and sources, so they are judged alike.
     """
-    clash = {c: f"_q_in_{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "source", "text")}
-    measured = stored(measures(docs.withColumnsRenamed(clash)))
-    out = judge(measured, cut(limits(sketches(measured)))).filter("kept")
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    there = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()]
+    keys = [F.xxhash64(*there("doc_id"), *there("lang"), *there("source")).alias("_q_k1"), F.xxhash64(*there("text")).alias("_q_k2")]
+    measured = cut(measures(docs.select("lang", "source", "text", *keys)).drop("text"))
+    rejected = judge(measured, cut(limits(sketches(measured)))).filter("not kept").select(F.col("_q_k1").alias("_q_r1"), F.col("_q_k2").alias("_q_r2")).distinct()
+    rejected = cut(rejected)
+    out = docs.withColumns({"_q_k1": keys[0], "_q_k2": keys[1]}).join(maybe_broadcast(rejected, rejected.count(), LISTED), (F.col("_q_k1") == F.col("_q_r1")) & (F.col("_q_k2") == F.col("_q_r2")), "left_anti")
+    return out.select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, maybe_broadcast
+from .common import components, discard, maybe_broadcast, stored
 from .simhash import fingerprint, links
 
 WORDS = 5
@@ -127,23 +127,27 @@ def candidates(sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFram
     hub only.  ``sets``: s, bands, one row a set."""
     entries = sets.select("s", F.explode("bands").alias("key"))
     often = entries.groupBy(F.col("key").alias("often")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    met = cut(entries.join(cut(often), F.col("key") == F.col("often")).drop("often"))
+    met = stored(entries.join(stored(often), F.col("key") == F.col("often")).drop("often"))
     lists = met.filter(F.col("times") <= small).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("own"))  # SMALL at most
     rest = lists.select(F.explode(F.transform("own", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("own"), i + 2, F.lit(small)).alias("others")))).alias("p"))
     crowded = met.filter(F.col("times") > small)
     weights = crowded.groupBy(F.col("s").alias("of")).agg(F.sum("times").alias("weight"))
     hubs = crowded.join(weights, F.col("s") == F.col("of")).groupBy(F.col("key").alias("hub_key")).agg(F.max_by("s", F.struct("weight", "s")).alias("hub"))
-    crowded = cut(crowded.join(hubs, F.col("key") == F.col("hub_key")).select("key", "s", "hub"))
+    crowded = stored(crowded.join(hubs, F.col("key") == F.col("hub_key")).select("key", "s", "hub"))
     stars = crowded.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"))
-    return cut(rest.select("p.a", F.explode("p.others").alias("b")).unionByName(stars).filter("a < b").distinct()), crowded
+    pairs = stored(rest.select("p.a", F.explode("p.others").alias("b")).unionByName(stars).filter("a < b").distinct())
+    discard(met)
+    return pairs, crowded
 
 
 def _found(asked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """s, shingles of the ``asked`` sets (q, once each)."""
-    asked = cut(sets.join(asked, F.col("s") == F.col("q")).select("s", F.col("k").alias("of")))
+    asked = stored(sets.join(asked, F.col("s") == F.col("q")).select("s", F.col("k").alias("of")))
     listed = maybe_broadcast(asked, asked.count(), LISTED)
     found = texts.join(listed, F.col("k") == F.col("of")).select("s", "text").mapInArrow(_sets, "s long, shingles array<int>")
-    return cut(found.groupBy("s").agg(F.first("shingles").alias("shingles")))
+    found = stored(found.groupBy("s").agg(F.first("shingles").alias("shingles")))
+    discard(asked)
+    return found
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -151,7 +155,9 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     found = _found(pairs.select(F.explode(F.array("a", "b")).alias("q")).distinct(), texts, sets)
     side = lambda c: found.select(F.col("s").alias(f"of_{c}"), F.col("shingles").alias(f"own_{c}"))
     both = pairs.join(side("b"), F.col("b") == F.col("of_b")).join(side("a"), F.col("a") == F.col("of_a"))
-    return cut(both.filter(_alike(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"))).select("a", "b"))
+    good = stored(both.filter(_alike(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"))).select("a", "b"))
+    discard(found)
+    return good
 
 
 def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFr
     roots = components(links, "a", "b")
     placed = crowded.join(roots, F.col("s") == F.col("node"), "left").select("key", "s", "hub", F.coalesce("root", "s").alias("root"))
     several = placed.groupBy(F.col("key").alias("of")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("s") == F.col("hub"), F.col("root"))).alias("main")).filter("r0 != r1")
-    unsettled = cut(placed.join(several, F.col("key") == F.col("of")).select("key", "s", "root", (F.col("root") != F.col("main")).alias("apart")))
+    unsettled = stored(placed.join(several, F.col("key") == F.col("of")).select("key", "s", "root", (F.col("root") != F.col("main")).alias("apart")))
     if unsettled.isEmpty():
         return links.limit(0)
     found = _found(unsettled.select(F.col("s").alias("q")).distinct(), texts, sets)
@@ -177,9 +183,12 @@ def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFr
     dealt = dealt.join(cells, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")))
     at = F.when(F.col("apart"), F.pmod(F.xxhash64("s"), "n")).otherwise(F.col("n") + F.pmod(F.xxhash64("s"), "m")).cast("int")
     dealt = dealt.select("key", "cell", "s", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1)).alias("with"))
-    dealt = cut(dealt.select("s", "root", F.xxhash64("key", "cell", F.least("at", "with"), F.greatest("at", "with")).alias("u")))
+    dealt = stored(dealt.select("s", "root", F.xxhash64("key", "cell", F.least("at", "with"), F.greatest("at", "with")).alias("u")))
     both = dealt.join(found.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).select("u", "s", "root", "shingles")
-    return cut(both.groupBy("u").applyInArrow(_compared, "a long, b long"))
+    more = stored(both.groupBy("u").applyInArrow(_compared, "a long, b long"))
+    for done in (dealt, found, unsettled):
+        discard(done)
+    return more
 
 
 def alike(texts: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
@@ -189,13 +198,13 @@ def alike(texts: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
     Each set's smallest candidate is verified first; of the others, only pairs that are not yet in one component.
     """
     pairs, crowded = candidates(sets, small)
-    first = verified(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), texts, sets)
+    first = verified(stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), texts, sets)
     roots = components(first, "a", "b")
     at = lambda c: roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
     placed = pairs.join(at("a"), F.col("a") == F.col("n_a"), "left").join(at("b"), F.col("b") == F.col("n_b"), "left")
-    apart = cut(placed.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
+    apart = stored(placed.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
     tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    rest = cut(apart.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"))
+    rest = stored(apart.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"))
     links = first.unionByName(verified(rest, texts, sets))
     return links if crowded.isEmpty() else links.unionByName(settled(crowded, links, texts, sets))
 
@@ -212,18 +221,18 @@ def keep_first(docs: DataFrame, small: int = SMALL) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.xxhash64(text).alias("k"), text.alias("text"))
     own = docs.select("doc_id", F.xxhash64(text).alias("k"), text.alias("text")).mapInArrow(_sketch, f"doc_id {kind}, k long, fp long, same long, bands array<long>")
-    own = cut(own)
-    sets = cut(own.groupBy(F.col("same").alias("s")).agg(F.min("doc_id").alias("first"), F.min("k").alias("k"), F.first("bands").alias("bands")))
+    own = stored(own)
+    sets = stored(own.groupBy(F.col("same").alias("s")).agg(F.min("doc_id").alias("first"), F.min("k").alias("k"), F.first("bands").alias("bands")))
     # Fingerprints linked by op8 join the sets of their texts as a star.
-    prints = cut(own.select("fp", "same").distinct())
+    prints = stored(own.select("fp", "same").distinct())
     roots = components(links(prints.select("fp").distinct()), "a", "b")
-    rooted = cut(prints.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("c"), "same").distinct())
+    rooted = stored(prints.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("c"), "same").distinct())
     several = rooted.groupBy(F.col("c").alias("of")).agg(F.min("same").alias("a"), F.max("same").alias("last")).filter("a != last")
-    stars = rooted.join(cut(several), F.col("c") == F.col("of")).select("a", F.col("same").alias("b"))
+    stars = rooted.join(stored(several), F.col("c") == F.col("of")).select("a", F.col("same").alias("b"))
     groups = components(alike(texts, sets, small).unionByName(stars), "a", "b")
-    members = cut(groups.join(sets.select("s", "first"), F.col("node") == F.col("s")).select("node", "root", "first"))
+    members = stored(groups.join(sets.select("s", "first"), F.col("node") == F.col("s")).select("node", "root", "first"))
     kept = members.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
     merged = members.join(kept, F.col("root") == F.col("r")).select("node", "least")
-    keep = cut(sets.join(merged, F.col("s") == F.col("node"), "left").select(F.col("s").alias("of"), F.coalesce("least", "first").alias("keep")))
+    keep = stored(sets.join(merged, F.col("s") == F.col("node"), "left").select(F.col("s").alias("of"), F.coalesce("least", "first").alias("keep")))
     dropped = own.select("doc_id", "same").join(keep, F.col("same") == F.col("of")).filter("doc_id != keep").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
