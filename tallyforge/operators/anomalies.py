@@ -67,9 +67,18 @@ def duplicates(txns: DataFrame, **how) -> DataFrame:
 
 
 def window_counts(txns: DataFrame, key: str = "merchant") -> DataFrame:
-    """Rows of the same key within a day and a week, before and after, itself included."""
-    w = lambda span: Window.partitionBy(key).orderBy(F.unix_micros(F.col("date").cast("timestamp"))).rangeBetween(-span * 1_000_000, span * 1_000_000)
-    return txns.withColumns({"in_day": F.count(F.lit(1)).over(w(86_400)), "in_week": F.count(F.lit(1)).over(w(604_800))})
+    """Rows of the same key within a day and a week, before and after, itself included.
+
+    A row is counted in its own week of the calendar and stands in the two beside it for the others' sake, so that a
+    busy key is split by weeks.
+    """
+    day, week = 86_400_000_000, 604_800_000_000
+    at = F.unix_micros(F.col("date").cast("timestamp"))
+    own = F.floor(F.col("_at") / week)
+    df = txns.withColumn("_at", at).withColumn("_own", own).withColumn("_week", F.explode(F.when(F.col("_at").isNull(), F.array(own)).otherwise(F.array(own - 1, own, own + 1))))
+    w = lambda span: Window.partitionBy(key, "_week").orderBy("_at").rangeBetween(-span, span)
+    df = df.withColumns({"in_day": F.count(F.lit(1)).over(w(day)), "in_week": F.count(F.lit(1)).over(w(week))})
+    return df.filter(F.col("_week").eqNullSafe(F.col("_own"))).drop("_at", "_own", "_week")
 
 
 def frequency_anomalies(txns: DataFrame, key: str = "merchant") -> DataFrame:
