@@ -173,3 +173,20 @@ def active_first(payments: DataFrame, active: bool | None = None) -> DataFrame:
 def not_recurring(excluded: DataFrame, merchants: DataFrame) -> DataFrame:
     """The list of excluded merchants (merchant) with more of them, once each."""
     return excluded.select("merchant").unionByName(merchants.select("merchant")).distinct()
+
+
+def column_rows(items: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """Rows of a positioned table: key, row (from 1), date, description, debit, credit, amount and balance as text.
+
+    ``items``: key, line, item, x, text; ``headers``: key, role, x.  A cell goes to its nearest header, or to the
+    description; a line with a date begins a row, the next ones without go on with its description and fill what it
+    lacks.  Lines before the first date are left out.  A key is one page.
+    """
+    placed = items.join(nearest_column(items, headers, key), [key, "item"], "left").withColumn("role", F.coalesce("role", F.lit("description")))
+    cells = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("x", "item", "text")))), lambda c: c["text"]), " ")
+    roles = ["date", "description", "debit", "credit", "amount", "balance"]
+    lines = placed.groupBy(key, "line").agg(*[cells(r).alias(r) for r in roles])
+    begun = F.sum((F.col("date") != "").cast("int")).over(Window.partitionBy(key).orderBy("line"))
+    rows = lines.withColumn("row", begun).filter("row > 0").groupBy(key, "row")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("description") != "", F.struct("line", "description")))), lambda x: x["description"]), " ")
+    return rows.agg(*[words.alias(r) if r == "description" else F.coalesce(F.min_by(F.nullif(F.col(r), F.lit("")), F.when(F.col(r) != "", F.col("line"))), F.lit("")).alias(r) for r in roles])

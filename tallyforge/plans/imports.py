@@ -393,3 +393,20 @@ def interest_totals(st):
 @query("amount_forms_pdf", "od", "select id, case id % 7 when 0 then 123456 when 1 then -50000 when 2 then null when 3 then 1234 when 4 then 123400 when 5 then null else 9950 end::bigint as cents from od")
 def amount_forms_pdf(od):
     return od.select("id", F.round(money.parse_amount(_pick(["1,234.56", "(500.00)", "--", "12,34", "₹ 1,234 cr.", "0.00", "99.50 CR"], F.col("id")), zero_is_null=True) * 100).cast("long").alias("cents"))
+
+
+@query("column_rows", "od", "select id // 10 as page, row_number() over (partition by id // 10 order by id) as row, 'D' || id as date, 'item ' || id || ' paid' || case when id % 3 = 0 then ' more words' else '' end as description, case when id % 2 = 0 then (id % 97)::varchar else '' end as debit, case when id % 2 = 1 then (id % 97)::varchar else '' end as credit, case when id % 3 <> 1 then (id % 89)::varchar else '' end as balance from od")
+def column_rows(od):
+    i = F.col("id")
+    page = F.floor(i / 10).alias("page")
+    cell = lambda x, value, line=0, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(line).alias("l"), F.lit(x).alias("x"), value.alias("text")))
+    text_of = lambda a, b="": F.concat(F.lit(a), i.cast("string"), F.lit(b))
+    made = F.array_compact(
+        F.array(
+            cell(12, text_of("D")), cell(100, text_of("item ")), cell(160, F.lit("paid")), cell(410, (i % 97).cast("string"), when=i % 2 == 0), cell(505, (i % 97).cast("string"), when=i % 2 == 1),
+            cell(620, (i % 89).cast("string"), when=i % 3 == 0), cell(105, F.lit("more words"), 1, i % 3 == 0), cell(615, (i % 89).cast("string"), 1, i % 3 == 2),
+        )
+    )
+    items = od.select(page, i.alias("id"), F.posexplode(made).alias("k", "c")).select("page", (F.col("id") * 2 + F.col("c.l")).alias("line"), (F.col("id") * 10 + F.col("k")).alias("item"), "c.x", "c.text")
+    heads = od.select(page).distinct().withColumn("h", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(x).alias("x")) for r, x in (("date", 10), ("description", 120), ("debit", 400), ("credit", 500), ("balance", 600))])))
+    return upkeep.column_rows(items, heads.select("page", "h.role", "h.x"), "page").drop("amount")
