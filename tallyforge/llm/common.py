@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.graph import components, cut, discard, shared_folder, stored
 
-__all__ = ["components", "cut", "discard", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
+__all__ = ["components", "cut", "discard", "literal", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
 
 #: A word is a run of characters other than these (space, tab, line ends, vertical tab, form feed).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -29,6 +29,12 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def literal(values: list) -> Column:
+    """An array of longs or doubles, or of such arrays, as one expression: F.lit() asks the JVM for each entry."""
+    text = lambda v: f"array({', '.join(map(text, v))})" if isinstance(v, list) else f"{v!r}{'D' if isinstance(v, float) else 'L'}"
+    return F.expr(text(values))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

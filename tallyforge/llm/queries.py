@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, repeats, simhash, tokens, toxicity, transport, urls
+from . import balls, licenses, mixing, packing, quality, repeats, shuffled, simhash, tokens, toxicity, transport, urls, whitening
 from .common import cut, spread, table, word_count
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -96,7 +96,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
-ALL = (op1_quality_rules, op2_license_scan, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity, op10_suffix_dedup)
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return balls.cluster_vectors(vectors).withColumnRenamed("id", "vec_id")
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: counts differ by one at most, whatever texts are equal."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    df = shuffled.shard_rows(cut(docs), "doc_id", 40)
+    return df.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return whitening.whiten(vectors).withColumnRenamed("id", "vec_id")
+
+
+ALL = (op1_quality_rules, op2_license_scan, op3_url_filter, op4_packing, op5_source_mixing, op6_token_counts, op7_transport_streams, op8_simhash_golay, op9_toxicity, op10_suffix_dedup, op11_ball_clusters, op12_feistel_shards, op13_whitened_embeddings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

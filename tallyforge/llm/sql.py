@@ -106,5 +106,23 @@ select doc_id, path, coalesce(f.f.license, x.g.license) as license, coalesce(f.f
 """
 
 
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    steps = "".join(
+        f""",
+a{r} as materialized (select vec_id, r, arg_min(c, d * {k} + c) as c, min(d) as d from (select v.vec_id, v.r, m.c, sum((v.x - m.x) * (v.x - m.x))::bigint as d from v join m{r} m using (i) group by all) group by all),
+s{r} as (select a.c, v.i, sum(v.x) as s, count(*) as n from a{r} a join v using (r) group by all),
+m{r + 1} as materialized (select m.c, m.i, coalesce(((s.s - ((s.s % s.n) + s.n) % s.n) // s.n)::bigint, m.x) as x from m{r} m left join s{r} s using (c, i))"""
+        for r in range(rounds + 1)
+    )
+    return f"""
+with e as (select row_number() over () as r, vec_id, embedding as x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = 64),
+v as materialized (select r, vec_id, i, floor(x[i]::double * 1024)::bigint as x from e, (select unnest(range(1, 65)) as i)),
+f as (select r, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from e qualify c < {k}),
+m0 as materialized (select f.c, v.i, v.x from f join v using (r)){steps},
+per as (select c, sum(d)::bigint as cluster_inertia from a{rounds} group by c), sha as (select c, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from m{rounds} group by c)
+select vec_id, c::int as cluster, d as distance, cluster_inertia, (select sum(cluster_inertia) from per)::bigint as inertia, centroid_sha256 from a{rounds} join per using (c) join sha using (c)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op2_license_scan": _op2(), "op3_url_filter": _op3(), "op5_source_mixing": _op5()}
+    return {"op1_quality_rules": _op1(), "op2_license_scan": _op2(), "op3_url_filter": _op3(), "op5_source_mixing": _op5(), "op11_ball_clusters": _op11()}

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyforge.llm import licenses, mixing, packing, quality, queries, repeats, shingles, simhash, suffix, tokens, toxicity, transport, urls
+from tallyforge.llm import balls, licenses, mixing, packing, quality, queries, repeats, shingles, shuffled, simhash, suffix, tokens, toxicity, transport, urls, whitening
 from tests.oracle import same
 
 DATA = "/root/testdata/sf0.001"
@@ -707,6 +707,139 @@ def test_repeats_edges(odd, empty):
     assert out.columns == odd.columns and out.filter("text is null").count() == 1 and out.count() == len(ODD)
 
 
+# 11 clusters
+
+
+def _lloyd(rows, k, rounds, dims):
+    """Brute force: ids and integer vectors, 64-bit and one distance at a time."""
+    order = sorted(range(len(rows)), key=lambda j: (hashlib.sha256(f"3:{'' if rows[j][0] is None else rows[j][0]}".encode()).hexdigest(), list(rows[j][1])))[:k]
+    c, x = [list(rows[j][1]) for j in order], [r[1] for r in rows]
+    near = lambda p: min((sum((a - b) ** 2 for a, b in zip(p, m, strict=True)), j) for j, m in enumerate(c))
+    for _ in range(rounds):
+        to = [near(p)[1] for p in x]
+        for j in range(len(c)):
+            own = [p for p, t in zip(x, to, strict=True) if t == j]
+            if own:
+                c[j] = [sum(p[d] for p in own) // len(own) for d in range(dims)]
+    return sorted((r[0] is None, r[0] or 0, *near(r[1])[::-1]) for r in rows), c
+
+
+@pytest.mark.parametrize("spreads", [(1, 40), (400, 3), (0, 1)])
+def test_ball_trees(spreads):
+    """Trees assign as brute force does, ties included; apart from their borders, tight groups are assigned as balls."""
+    rng = np.random.default_rng(sum(spreads))
+    points = (rng.integers(-spreads[0], spreads[0] + 1, (3000, 5)) + 1000 * rng.integers(0, spreads[1], (3000, 1))).astype(np.int64)
+    ids, points, pivots, sums, radii = balls.tree(np.arange(3000), points)
+    centroids = np.concatenate([points[:6], points[:1], points[5:6] + 1])
+    nearest, count, total, compared = balls.assign(points, pivots, sums, radii, centroids)
+    away = ((points[:, None] - centroids[None]) ** 2).sum(axis=2)
+    assert (nearest == away.argmin(axis=1)).all() and (count == np.bincount(nearest, minlength=8)).all()
+    assert all((total[c] == points[nearest == c].sum(axis=0)).all() for c in range(8))
+    far = balls.assign(points, pivots, sums, radii, np.array([[0] * 5, [10**6] * 5]))
+    assert far[3] == 0 and far[1].tolist() == [3000, 0]
+
+
+def test_clusters_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(balls, "BLOCK", 64)
+    rng = random.Random(11)
+    made = [(i, [float(np.float32(rng.gauss(3 * (i % 4), 0.4))) for _ in range(3)]) for i in range(300)]
+    made += [(900 + i, made[0][1]) for i in range(150)] + [made[7], made[7], (None, [0.0, -0.5, 1e-5]), (None, [0.0, -0.5, -1e-5])]
+    bad = [(1, None), (2, []), (3, [1.0, None, 2.0]), (4, [float("nan"), 0.0, 1.0]), (5, [float("inf"), 0.0, 1.0]), (6, [0.0] * 4), (7, [1e30, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in made + bad], "id long, vector array<float>, cluster int").repartition(5)
+    got = balls.cluster_vectors(df, 6, 7, 3).collect()
+    want, centroids = _lloyd([(i, [int(np.floor(1024 * x)) for x in v]) for i, v in made], 6, 7, 3)
+    assert sorted((r.id is None, r.id or 0, r.cluster, r.distance) for r in got) == want
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    assert all(r.centroid_sha256 == sha[r.cluster] and r.inertia == sum(w[3] for w in want) and r.cluster_inertia == sum(w[3] for w in want if w[2] == r.cluster) for r in got)
+    few = balls.cluster_vectors(df.filter("id in (0, 900)"), 6, 7, 3).collect()
+    assert [(r.cluster, r.distance) for r in few] == [(0, 0)] * 2
+    assert balls.cluster_vectors(df.limit(0), 6, 7, 3).count() == 0
+
+
+# 12 shards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 1000, 4097])
+def test_permutation(n):
+    p = shuffled.Permutation(n, 9)
+    places = p.places(np.arange(n))
+    assert sorted(places) == list(range(n)) and (p.numbers(places) == np.arange(n)).all()
+    if n > 900:
+        moved = abs(places - np.arange(n)).mean() / n
+        assert 0.28 < moved < 0.39 and (shuffled.Permutation(n, 10).places(np.arange(n)) != places).mean() > 0.9
+        by_shard = np.bincount(places[: n // 2] % 40, minlength=40)
+        assert by_shard.min() > 0.3 * n / 80 and by_shard.max() < 2 * n / 80
+
+
+def test_shards_against_brute_force(spark, texts):
+    rows = queries.op12_feistel_shards(spark, DATA).collect()
+    order = sorted(texts)
+    places = shuffled.Permutation(len(order), 0).places(np.arange(len(order)))
+    want = {}
+    for d, place in zip(order, places.tolist(), strict=True):
+        raw = (texts[d] or "").encode()
+        want[d] = (len(raw) + 16, zlib.crc32(raw), "rows", place % 40, place // 40, None)
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in rows} == want and len(rows) == len(want)
+    found = shuffled.sources_of(spark, len(order), 40, 7).collect()
+    assert {(r.slot, order[r.number]) for r in found} == {(r.slot, r.doc_id) for r in rows if r.shard == 7}
+
+
+def test_shards_edges(spark, odd, empty, tmp_path):
+    """However the rows are dealt, equal rows get the same set of places; a hot null key is no other case."""
+    many = odd.union(spark.createDataFrame([(None, f"t{i % 7}", None, "h", i % 3) for i in range(500)], SCHEMA)).withColumns({"shard": F.lit("x"), "_number0": F.lit(1)})
+    a, b = (sorted(map(repr, shuffled.shard_rows(many.repartition(k), "doc_id", 7, 3).collect())) for k in (1, 6))
+    assert a == b and len(a) == 500 + len(ODD)
+    out = shuffled.shard_rows(many, "doc_id", 7, 3)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_number0", "shard", "slot"]
+    sizes = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("slots")).collect()
+    assert all(r.n == r.top + 1 == r.slots for r in sizes) and max(r.n for r in sizes) - min(r.n for r in sizes) <= 1
+    assert shuffled.shard_rows(empty, "doc_id", 7).count() == 0
+    shuffled.written(out, f"{tmp_path}/shards", 7)
+    assert spark.read.parquet(f"{tmp_path}/shards").count() == out.count()
+
+
+# 13 whitening
+
+
+def _whitened(rows, most):
+    x = np.array([[int(np.floor(64 * c)) + 1_000_000 for c in v] for v in rows], dtype=np.int64)
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(axis=0)
+    off = (n * x - s).astype(object)
+    c = (n * fit - s) / n
+    e, w = np.linalg.eigh(c.T @ c / n)
+    e, w = e[::-1][:most], w[:, ::-1][:, :most]
+    return n, (off**2).sum(axis=1), ((n * x - s) / n) @ w / np.sqrt(e), e / np.trace(c.T @ c / n)
+
+
+def test_whitening_against_eigenvectors(spark):
+    rng = np.random.default_rng(13)
+    made = (rng.normal(0, 1, (400, 6)) @ rng.normal(0, 3, (6, 6)) + 1000).astype(np.float32).astype(float).tolist()
+    made += [made[0]] * 200
+    bad = [None, [], [1.0] * 5, [None] + [0.0] * 5, [float("nan")] * 6, [float("-inf")] * 6, [1e30] * 6]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(made + bad)] + [(None, made[1], 1)], "id long, vector array<float>, component int").repartition(3)
+    rows = whitening.whiten(df, 4).collect()
+    n, deviation, z, share = _whitened([*made, made[1]], 4)
+    at = {i: i for i in range(len(made))} | {None: len(made)}
+    assert len(rows) == 4 * len(at) and {r.n for r in rows} == {n}
+    assert all(r.deviation == deviation[at[r.id]] and abs(r.explained - share[r.component - 1]) < 1e-9 and r.identity_error < 1e-9 for r in rows)
+    for k in range(4):
+        got, want = zip(*[(r.whitened, z[at[r.id]][k]) for r in rows if r.component == k + 1], strict=True)
+        assert min(abs(np.subtract(got, want)).max(), abs(np.add(got, want)).max()) < 1e-8
+
+
+def test_whitening_edges(spark):
+    """One vector alone and empty tables have no components; directions without variance have none either; large entries stay exact."""
+    make = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, vector array<double>")
+    assert whitening.whiten(make([])).count() == 0 and whitening.whiten(make([[1.0, 2.0]] * 3)).count() == 0 and whitening.whiten(make([None])).count() == 0
+    line = whitening.whiten(make([[k, 2.0 * k, 7.0] for k in (1.0, 2.0, 5.0)])).collect()
+    assert {r.component for r in line} == {1} and abs(line[0].explained - 1) < 1e-12
+    far = [[1e11, 0.0], [-1e11, 1.0], [3.0, 1e11]]
+    n, deviation, _, _ = _whitened(far, 2)
+    got = {r.id: r.deviation for r in whitening.whiten(make(far)).collect()}
+    assert got == {i: int(d) if d < 2**63 else None for i, d in enumerate(deviation)}
+
+
 # the pipeline
 
 
