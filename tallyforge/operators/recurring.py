@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import recurring_name
 
-from .graph import components, cut
+from .firstfit import first_fit
 from .spending import half_up
 
 #: Expected days and tolerance of each frequency, in order of preference.
@@ -30,42 +29,13 @@ def merchants_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | F.coalesce(same, F.lit(False)))
 
 
-#: Letters of a name's start by which names that hold it are found.
-GRAM = 6
-
-
-def _fit(frame: pd.DataFrame) -> pd.DataFrame:
-    """First fit of names in order of first appearance to the heads of the clusters before."""
-    heads: list[tuple[str, str | None]] = []
-    out = []
-    for name in frame.sort_values("ord")["name"]:
-        word = next((w for w in name.split(" ") if len(w) > 2), None)
-        word = None if word in COMMON_WORDS else word
-        found = next((h for h, w in heads if h in name or name in h or (word is not None and w == word)), None)
-        if found is None:
-            heads.append((name, word))
-        out.append((name, found or name))
-    return pd.DataFrame(out, columns=["name", "cluster"])
-
-
 def clusters(txns: DataFrame) -> DataFrame:
     """name, cluster: first-fit groups of distinct normalized names in order of first appearance, named by their first.
 
-    The order makes this a sequence, but only among names that can match, directly or over others: those that share a
-    first word or of which one holds the other.  Each such component of names (not rows) is fitted on its own.
-    """
-    names = cut(txns.groupBy(recurring_name(F.coalesce("merchant", "description")).alias("name")).agg(F.min("ord").alias("ord")).filter("name != ''"))
+    Rows with neither merchant nor description, or whose name is nothing but signs and company words, are in no group."""
+    names = txns.groupBy(recurring_name(F.coalesce("merchant", "description")).alias("name")).agg(F.min("ord").alias("ord")).filter("name != ''")
     word = first_long_word(F.col("name"))
-    by_word = names.withColumn("word", word).filter(word.isNotNull() & ~word.isin(*COMMON_WORDS))
-    heads = by_word.groupBy(F.col("word").alias("w")).agg(F.min("name").alias("other"))
-    same = by_word.join(heads, F.col("word") == F.col("w")).select("name", "other")
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - k + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, k)))))
-    holders = names.select("name", F.explode(parts).alias("part"))
-    held = names.select(F.col("name").alias("other"), F.substring("name", 1, GRAM).alias("start"))
-    inside = holders.join(held, (F.col("part") == F.col("start")) & (F.col("name") != F.col("other")) & F.col("name").contains(F.col("other"))).select("name", "other")
-    roots = components(same.unionByName(inside), "name", "other")
-    rooted = names.join(roots, F.col("name") == F.col("node"), "left").select("name", "ord", F.coalesce("root", "name").alias("root"))
-    return rooted.groupBy("root").applyInPandas(_fit, "name string, cluster string")
+    return first_fit(names, F.when(~word.isin(*COMMON_WORDS), word))
 
 
 def intervals(txns: DataFrame, key: str = "merchant") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import NAME_SUFFIXES
 from tallyforge.operators import anomalies as a
 from tallyforge.operators import recurring as r
-from tallyforge.plans.registry import cents, query
+from tallyforge.plans.registry import cents, direct, query
 
 _STATS = "count(*) as n, sum(c)::double / count(*) as mean, sqrt(greatest((count(*) * sum(c::hugeint * c))::double - sum(c)::double * sum(c)::double, 0)) / count(*) as deviation"
 _E = "e as (select *, round(abs(amount) * 100)::bigint as c from ev where category_type = 'Expense')"
@@ -114,6 +115,38 @@ def recurring_without_excluded(sub):
     return r.without_excluded(r.recurring_payments(sub, _AS_OF), out).select("merchant", "frequency")
 
 
-@query("merchant_clusters", "sub")
+_FIT = f"""
+nm as (select name, min(ord) as ord from named where name <> '' group by name),
+wd as (select name, ord, list_filter(string_split(name, ' '), lambda w: length(w) > 2)[1] as w from nm),
+o as (select name, case when w not in ({", ".join(repr(w) for w in r.COMMON_WORDS)}) then w end as word, row_number() over (order by ord, name) as i from wd),
+f as (select 0::bigint as i, []::struct(name varchar, word varchar)[] as heads, ''::varchar as name, ''::varchar as cluster
+  union all select g.i, case when g.hit is null then list_append(g.heads, {{'name': g.name, 'word': g.word}}) else g.heads end, g.name, coalesce(g.hit, g.name)
+  from (select o.i, f.heads, o.name, o.word, list_filter(f.heads, lambda h: contains(o.name, h.name) or contains(h.name, o.name) or coalesce(h.word = o.word, false))[1].name as hit from f join o on o.i = f.i + 1) g)
+select name, cluster from f where i > 0"""
+
+
+def _suffixed(x: str) -> str:
+    for s in NAME_SUFFIXES:
+        x = f"regexp_replace({x}, '\\s+{s}\\s*$', '')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _named(raw: str) -> str:
+    return _suffixed(f"regexp_replace(regexp_replace(lower(trim({raw})), '^(payment\\s*(to|for)?|purchase\\s*(at|from)?|bill\\s*payment\\s*(to)?|sub\\s*)\\s*', ''), '[^a-z0-9\\s]', ' ', 'g')")
+
+
+@query("merchant_clusters", "sub", f"with recursive named as (select {_named('merchant')} as name, ord from sub), {_FIT}")
 def merchant_clusters(sub):
     return r.clusters(sub)
+
+
+def _turn_names(spark, sf_dir):
+    """Names of one to four words, as the turns of conversations begin."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("turn") % 4 + 1), " ")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), words.alias("merchant"), F.lit(None).cast("string").alias("description"))
+
+
+@direct("merchant_clusters_of_turns", f"with recursive named as (select {_named("array_to_string(string_split(text, ' ')[1:turn % 4 + 1], ' ')")} as name, conv_id * 1000 + turn as ord from conversations where text is not null), {_FIT}")
+def merchant_clusters_of_turns(spark, sf_dir):
+    return r.clusters(_turn_names(spark, sf_dir))

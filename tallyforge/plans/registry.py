@@ -28,6 +28,18 @@ def query(name: str, uses: str, sql: str | None = None) -> Callable:
     return add
 
 
+def direct(name: str, sql: str | None = None) -> Callable:
+    """Register f(spark, sf_dir) -> DataFrame, which reads its tables itself, with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
 def cents(col: Column | str) -> Column:
     """Exact cents of a decimal amount, as a long."""
     col = F.col(col) if isinstance(col, str) else col
