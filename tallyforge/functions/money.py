@@ -33,12 +33,14 @@ def debit_credit(debit: Column, credit: Column, amount: Column, kind: Column | N
     return F.when(F.coalesce(debit, F.lit(0.0)) != 0, make(debit, F.lit("debit"))).when(F.coalesce(credit, F.lit(0.0)) != 0, make(credit, F.lit("credit"))).when(amount.isNotNull(), make(amount, F.coalesce(word, sign)))
 
 
-def amount_variants(cents: Column) -> Column:
-    """How an amount may be written: plain, with thousands commas, with lakh commas, rounded."""
-    whole, rest = F.floor(cents / 100).cast("long"), F.lpad((cents % 100).cast("string"), 2, "0")
-    text = whole.cast("string")
-    lakh = F.when(F.length(text) > 3, F.concat(F.regexp_replace(F.expr("left(cast(floor(cents / 100) as string), greatest(length(cast(floor(cents / 100) as string)) - 3, 0))"), r"(\d)(?=(\d\d)+$)", "$1,"), F.lit(","), F.right(text, F.lit(3)))).otherwise(text)
-    return F.array_distinct(F.array(F.concat(text, F.lit("."), rest), F.concat(F.regexp_replace(text, r"(\d)(?=(\d{3})+$)", "$1,"), F.lit("."), rest), F.concat(lakh, F.lit("."), rest), F.floor((cents + 50) / 100).cast("long").cast("string")))
+#: Digits left of a place where a separator stands, by grouping style: threes, or a three and then twos.
+GROUPS = {"western": r"\B(?=(\d{3})+$)", "indian": r"\B(?=(\d{2})*\d{3}$)", "none": r"$^"}
+
+
+def grouped(number: Column, style: str = "western", mark: str = ",", point: str = ".") -> Column:
+    """A plain decimal number (text, not negative) with its whole digits in groups; signs and what follows the point stay as they are."""
+    whole, rest = F.substring_index(number, ".", 1), F.regexp_extract(number, r"\.(\d+)$", 1)
+    return F.concat(F.regexp_replace(whole, GROUPS[style], mark), F.when(rest != "", F.concat(F.lit(point), rest)).otherwise(F.lit("")))
 
 
 def abbreviated(points: Column) -> Column:

@@ -48,24 +48,6 @@ def correct_by_balance(rows: DataFrame, keys: list[str], tolerance: float = 0.01
     return df.withColumns({"fixed_type": kind, "fixed_amount": amount.cast("decimal(20,2)"), "corrected": (kind != F.col("type")) | (amount != F.col("amount"))}).drop("_change")
 
 
-def evidence(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Score of each row in its own statement's text: amount 30, direction 25, date 20, description 15, currency 10.
-
-    ``rows``: key, amount_forms, date_forms (arrays), type, description, currency; ``texts``: key, raw_text.
-    """
-    df = rows.join(texts, key)
-    raw, clean = F.lower("raw_text"), verification_text(F.col("raw_text"))
-    found = lambda a: F.exists(F.col(a), lambda x: F.instr(raw, F.lower(x)) > 0)
-    words = F.filter(F.split(verification_text(F.col("description")), " "), lambda w: F.length(w) > 2)
-    near = F.try_divide(F.size(F.filter(words, lambda w: F.instr(clean, w) > 0)).cast("double"), F.size(words)) >= 0.6
-    direction = F.when(F.col("type") == "credit", raw.rlike(r"\b(cr|credit|deposit|received)\b")).otherwise(raw.rlike(r"\b(dr|debit|withdrawal|paid|purchase)\b"))
-    points = [(found("amount_forms"), 30), (direction, 25), (found("date_forms"), 20), (near, 15), (F.instr(raw, F.lower("currency")) > 0, 10)]
-    score = F.lit(0)
-    for hit, n in points:
-        score = score + F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0)
-    return df.withColumn("score", score).withColumn("accepted", F.col("score") >= ACCEPT).drop("raw_text")
-
-
 def near_duplicates(txns: DataFrame, hours: float = 24, similarity: float = 0.85) -> DataFrame:
     """id, other: rows with an earlier one within a cent and a day, alike in letter pairs."""
     lower = lambda a, b: dice_similarity(F.lower(F.trim(a)), F.lower(F.trim(b)))
@@ -109,33 +91,77 @@ def derived_totals(txns: DataFrame, keys: list[str]) -> DataFrame:
     return txns.groupBy(*keys).agg(part(True).alias("debits"), part(False).alias("credits"), F.count(F.lit(1)).alias("n"))
 
 
-def card_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], part: int = 15) -> DataFrame:
+def card_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], part: int = 15, how: str = "left") -> DataFrame:
     """Add warnings where the movements' totals are off the card summary's (purchases, payments) by more than ``part`` percent."""
-    df = summary.join(totals, keys, "left")
+    df = summary.join(totals, keys, how)
     off = lambda mine, said: (F.col("n") > 0) & (F.col(said) > 0) & (F.abs(F.col(mine) - F.col(said)) * 100 > F.col(said) * part)
     return df.withColumn("warnings", F.array_compact(F.array(F.when(off("debits", "purchases"), "debits mismatch"), F.when(off("credits", "payments"), "credits mismatch"))))
 
 
-def bank_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+def bank_warnings(summary: DataFrame, totals: DataFrame, keys: list[str], how: str = "left", tolerance: float = TOLERANCE) -> DataFrame:
     """Add warnings where opening, movements and closing of a bank summary disagree by more than ``tolerance``."""
-    df = summary.join(totals, keys, "left")
+    df = summary.join(totals, keys, how)
     gap = F.abs(F.col("opening") + F.col("credits") - F.col("debits") - F.col("closing"))
     return df.withColumn("warnings", F.array_compact(F.array(F.when((F.col("n") > 0) & (gap > tolerance), "balance mismatch"))))
 
 
-def merge_statements(txns: DataFrame, summary: DataFrame, keys: list[str], duplicates: DataFrame | None = None) -> DataFrame:
-    """One row a bank statement: totals without near-duplicates, warnings and confidence.
+def merge_statements(txns: DataFrame, summary: DataFrame, keys: list[str], warnings: Column | None = None) -> DataFrame:
+    """One row a bank statement: totals of all its rows, warnings and confidence.
 
-    ``txns``: id, keys, ord, amount, type, balance; ``summary``: keys, opening, closing; ``duplicates``: id of rows that go.
+    ``txns``: keys, ord, amount, type, balance; ``summary``: keys, opening, closing, both possibly null (then not compared).
+    Near-duplicates are reported by near_duplicates() and stay: two alike payments of a day may both be true.
+    ``warnings``: a column of ``summary`` with those of earlier steps.  A summary without rows is warned of, as are rows without a summary.
     """
-    rows = txns if duplicates is None else txns.join(duplicates.select("id").distinct(), "id", "left_anti")
-    gone = txns.groupBy(*keys).agg(F.count(F.lit(1)).alias("given"))
-    ends = rows.filter("balance is not null").groupBy(*keys).agg(F.min_by("balance", "ord").alias("first_balance"), F.max_by("balance", "ord").alias("last_balance"))
-    df = bank_warnings(summary, derived_totals(rows, keys), keys).join(ends, keys, "left").join(gone, keys, "left")
+    ends = txns.filter("balance is not null").groupBy(*keys).agg(F.min_by("balance", "ord").alias("first_balance"), F.max_by("balance", "ord").alias("last_balance"))
+    given = summary.withColumns({"_upstream": F.array().cast("array<string>") if warnings is None else warnings, "_summary": F.lit(True)})
+    df = bank_warnings(given, derived_totals(txns, keys), keys, "full").join(ends, keys, "left")
     off = lambda a, b: F.abs(F.col(a) - F.col(b)) > TOLERANCE
-    more = F.array_compact(F.array(F.when(F.col("given") > F.coalesce("n", F.lit(0)), "duplicate rows removed"), F.when(F.col("n").isNull(), "transactions missing"), F.when(off("first_balance", "opening"), "balance differs at the start"), F.when(off("last_balance", "closing"), "balance differs at the end")))
-    df = df.withColumn("warnings", F.concat(more, "warnings"))
-    return df.withColumn("confidence", merge_confidence(F.col("warnings"))).drop("given", "first_balance", "last_balance")
+    more = F.array_compact(F.array(F.when(F.col("_summary").isNull(), "summary missing"), F.when(F.col("n").isNull(), "transactions missing"), F.when(off("first_balance", "opening"), "balance differs at the start"), F.when(off("last_balance", "closing"), "balance differs at the end")))
+    df = df.withColumn("warnings", F.concat(F.coalesce("_upstream", F.array().cast("array<string>")), more, "warnings"))
+    return df.withColumn("confidence", merge_confidence(F.col("warnings"))).drop("_upstream", "_summary", "first_balance", "last_balance")
+
+
+def merge_cards(txns: DataFrame, summary: DataFrame, keys: list[str], rewards: DataFrame | None = None) -> DataFrame:
+    """One row a card statement: totals of all its rows, its reward points where given, warnings and confidence.
+
+    ``summary``: keys, purchases, payments, null where unknown; ``rewards``: keys and any further columns, one row a statement.
+    """
+    df = card_warnings(summary.withColumn("_summary", F.lit(True)), derived_totals(txns, keys), keys, how="full")
+    more = F.array_compact(F.array(F.when(F.col("_summary").isNull(), "summary missing"), F.when(F.col("n").isNull(), "transactions missing")))
+    df = df.withColumn("warnings", F.concat(more, "warnings")).drop("_summary")
+    df = df if rewards is None else df.join(rewards, keys, "left")
+    return df.withColumn("confidence", merge_confidence(F.col("warnings")))
+
+
+#: Points of the totals of a card statement, of sums that all agree, and of purchases, payments and fees alone.
+CLOSE = 100
+TOTAL_POINTS, CLOSE_POINTS, SUM_POINTS = 50, 25, 50
+PART_POINTS = {"purchases": 17, "payments": 17, "fees": 16}
+#: Kinds of movements that make up each sum of a statement.
+SUM_KINDS = {"purchases": ["purchase", "charge"], "payments": ["bill_payment"], "fees": ["fee", "interest"]}
+
+
+def verify_card(txns: DataFrame, statements: DataFrame, keys: list[str], tolerance: float = TOLERANCE, near: float = 10) -> DataFrame:
+    """Card statements against their movements: total due, the three sums, and points of both.
+
+    ``txns``: keys, amount, type, sub_type; ``statements``: keys, previous_balance, total_due, purchases, payments,
+    interest, late_fee, each null where the statement does not say.  The total is previous balance and debits less
+    credits (0 without a previous balance; a total that is not said counts as 0).  Debits and credits are compared with
+    purchases and payments; where not all sums agree, each kind of movement that agrees by itself has its part of the points.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    part = lambda cond: F.sum(F.when(cond, F.col("amount")).otherwise(zero))
+    sums = txns.groupBy(*keys).agg(part(F.col("type") == "debit").alias("debits"), part(F.col("type") == "credit").alias("credits"), *[part(F.col("sub_type").isin(*kinds)).alias(f"sum_{k}") for k, kinds in SUM_KINDS.items()])
+    names = ["debits", "credits", *[f"sum_{k}" for k in SUM_KINDS]]
+    df = statements.join(sums, keys, "left").withColumns({c: F.coalesce(c, zero) for c in names})
+    computed = F.when(F.col("previous_balance").isNull(), zero).otherwise(F.col("previous_balance") + F.col("debits") - F.col("credits"))
+    df = df.withColumns({"computed_due": computed, "difference": F.abs(computed - F.coalesce("total_due", zero)), "fees": F.coalesce(F.col("interest") + F.col("late_fee"), "interest", "late_fee")})
+    agrees = lambda mine, said: F.col(said).isNull() | (F.abs(F.col(mine) - F.col(said)) < near)
+    df = df.withColumns({"total_agrees": F.col("difference") <= tolerance, "sums_agree": agrees("debits", "purchases") & agrees("credits", "payments") & agrees("sum_fees", "fees")})
+    total = F.when(F.col("total_agrees"), TOTAL_POINTS).when(F.col("difference") < CLOSE, CLOSE_POINTS).otherwise(0)
+    # Fees that are not said count as none in the parts.
+    parts = sum((F.when(agrees(f"sum_{k}", k) if k != "fees" else F.abs(F.col("sum_fees") - F.coalesce("fees", zero)) < near, points).otherwise(0) for k, points in PART_POINTS.items()), F.lit(0))
+    return df.withColumn("confidence", total + F.when(F.col("sums_agree"), SUM_POINTS).otherwise(parts))
 
 
 def merge_checked(rows: DataFrame, checked: DataFrame) -> DataFrame:

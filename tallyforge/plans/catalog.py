@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cards, detection, imports, ingest, spending, upkeep  # noqa: F401  they register their queries
+from . import cards, checks, detection, imports, ingest, spending, upkeep  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "category_month_share"

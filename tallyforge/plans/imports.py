@@ -204,10 +204,13 @@ def bank_cross_section(ev):
     return verify.bank_warnings(_bank_summary(ev), verify.derived_totals(ev, ["merchant"]), ["merchant"]).select("merchant", F.size("warnings").alias("n_warnings"))
 
 
-@query("merged_statements", "ev", f"with {_OPEN}, g as (select merchant, count(*) filter (id % 11 <> 0) as n, count(*) as given, coalesce(sum(amount) filter (id % 11 <> 0 and type = 'debit'), 0) as d, coalesce(sum(amount) filter (id % 11 <> 0 and type <> 'debit'), 0) as c, arg_min(amount, ord) filter (id % 11 <> 0) as fb, arg_max(amount, ord) filter (id % 11 <> 0) as lb from ev group by 1), w as (select merchant, round(g.d * 100)::bigint as debits, round(g.c * 100)::bigint as credits, g.n, (g.given > g.n)::int as a, (abs(fb - opening) > 1)::int as b1, (abs(lb - closing) > 1)::int as b2, (abs(opening + g.c - g.d - closing) > 1)::int as m from g join o using (merchant) where g.n > 0) select merchant, debits, credits, n, a + b1 + b2 + m as n_warnings, floor(greatest(0, 1 - a * 0.05 - m * 0.15 - (b1 + b2 + m) * 0.2) * 1000 + 0.5)::bigint as confidence from w")
+_ENDS = "e as (select merchant, arg_min(amount, ord) as fb, arg_max(amount, ord) as lb from ev group by 1)"
+
+
+@query("merged_statements", "ev", f"with {_OPEN}, {_ENDS}, w as (select merchant, d, c, n, (abs(fb - opening) > 1)::int as b1, (abs(lb - closing) > 1)::int as b2, (abs(opening + c - d - closing) > 1)::int as m from o join e using (merchant)) select merchant, round(d * 100)::bigint as debits, round(c * 100)::bigint as credits, n, b1 + b2 + m as n_warnings, floor(greatest(0, 1 - m * 0.15 - (b1 + b2 + m) * 0.2) * 1000 + 0.5)::bigint as confidence from w")
 def merged_statements(ev):
     rows = ev.select("id", "merchant", "ord", "amount", "type", F.col("amount").alias("balance"))
-    df = verify.merge_statements(rows, _bank_summary(ev), ["merchant"], ev.filter("id % 11 = 0")).filter("n > 0")
+    df = verify.merge_statements(rows, _bank_summary(ev), ["merchant"])
     return df.select("merchant", cents("debits").alias("debits"), cents("credits").alias("credits"), "n", F.size("warnings").alias("n_warnings"), F.floor(F.col("confidence") * 1000 + 0.5).alias("confidence"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import currency, dates, money, text
 from tallyforge.operators import retrieve, rules, spending, verify
-from tallyforge.plans.registry import QUERIES, SQL, cents, query
+from tallyforge.operators.evidence import amount_forms
+from tallyforge.plans.registry import QUERIES, SQL, cents, lakh, query, thousand
 from tallyforge.sources import statements
 
 
@@ -246,10 +247,10 @@ def signature_key(ev):
     return ev.select("id", text.signature(F.col("date"), F.col("amount"), F.col("description")).alias("sig"))
 
 
-@query("amount_written", "od", "select id, (amount * 100)::bigint as cents, printf('%.2f', amount::double) as plain from od")
+@query("amount_written", "od", f"with x as (select id, (amount * 100)::bigint as cents, printf('%.2f', amount::double) as plain, split_part(amount::varchar, '.', 1) as w, split_part(amount::varchar, '.', 2) as f from od) select id, cents, plain, {lakh('w')} || '.' || f as lakh, {thousand('w')} || '.' || f as thousand from x")
 def amount_written(od):
-    c = cents("amount").alias("cents")
-    return od.select("id", c).select("id", "cents", F.get(money.amount_variants(F.col("cents")), 0).alias("plain"))
+    forms = amount_forms(F.col("amount"))
+    return od.select("id", cents("amount").alias("cents"), forms[0].alias("plain"), forms[1].alias("lakh"), forms[3].alias("thousand"))
 
 
 @query("stitched_lines", "ev", "with s as (select merchant, ord, description, count(*) filter (type = 'credit') over (partition by merchant order by ord) as entry from ev) select merchant, entry::bigint as entry, string_agg(trim(description), ' ' order by ord) as text from s where entry > 0 group by all")

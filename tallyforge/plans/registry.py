@@ -44,3 +44,14 @@ def cents(col: Column | str) -> Column:
     """Exact cents of a decimal amount, as a long."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col * 100, 0).cast("long")
+
+
+def lakh(x: str) -> str:
+    """SQL: whole digits (text of nine at most) in a group of three and groups of two."""
+    left = f"left({x}, -3)"
+    return f"case when length({x}) <= 3 then {x} when length({x}) <= 5 then {left} || ',' || right({x}, 3) when length({x}) <= 7 then left({x}, -5) || ',' || right({left}, 2) || ',' || right({x}, 3) else left({x}, -7) || ',' || substr({x}, length({x}) - 6, 2) || ',' || right({left}, 2) || ',' || right({x}, 3) end"
+
+
+def thousand(x: str, mark: str = ",") -> str:
+    """SQL: whole digits (text of nine at most) in groups of three."""
+    return f"case when length({x}) <= 3 then {x} when length({x}) <= 6 then left({x}, -3) || '{mark}' || right({x}, 3) else left({x}, -6) || '{mark}' || substr({x}, length({x}) - 5, 3) || '{mark}' || right({x}, 3) end"
