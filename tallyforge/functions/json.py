@@ -22,6 +22,11 @@ def parse_array(text: Column, item: str) -> Column:
     return F.coalesce(*good, F.array().cast(kind))
 
 
+def json_of(text: Column, brackets: str = "{}") -> Column:
+    """The first candidate that is JSON of these brackets, as a variant; null if none is."""
+    return F.coalesce(*[F.when(c.startswith(brackets[0]), F.try_parse_json(c)) for c in _candidates(text, brackets)])
+
+
 def parse_object(text: Column, fields: str) -> Column:
     """struct<``fields``> (DDL) of the first candidate that parses, else null."""
     tries = [F.when(c.startswith("{") & F.from_json(c, "map<string,string>").isNotNull(), F.from_json(c, fields)) for c in _candidates(text, "{}")]

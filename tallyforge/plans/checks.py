@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import answers, schema
 from tallyforge.operators import evidence as e
 from tallyforge.operators import verify
-from tallyforge.plans.registry import cents, lakh, query, thousand
+from tallyforge.operators.extraction import ASK, extract
+from tallyforge.plans.registry import cents, direct, lakh, query, thousand
 
 # A customer's statement: a line an order, written in changing ways; the rows to check are the orders, some with another
 # sum, day or direction than the line.
@@ -110,3 +112,78 @@ def merged_cards(od):
     said = od.select(*keys).distinct().filter(k % 8 != 0).join(totals, keys, "left").select(*keys, (F.col("debits") * (k % 3)).alias("purchases"), (F.col("credits") * (k % 2)).alias("payments"))
     df = verify.merge_cards(rows, said, keys)
     return df.select(*keys, "n", F.size("warnings").alias("n_warnings"), F.round(F.col("confidence") * 1000).cast("long").alias("confidence"))
+
+
+def _model():
+    """A stand-in for a model, the same on every run: it reads the lines, but its first answer is no JSON if the chunk's first
+    order divides by 3, its second has a row with a negative sum if it divides by 9, and all further ones if by 27."""
+    ask = ASK
+
+    def client(prompts):
+        import json
+
+        out = []
+        for p in prompts:
+            round_ = 1 + ("\n\nThe answer before:" in p) + ("smallest valid JSON" in p)
+            lines = [x.split() for x in p.removeprefix(ask).split("\n\nThe answer before:")[0].split("\n")]
+            first = int(lines[0][1])
+            rows = [{"date": x[0], "description": f"order {x[1]}", "amount": float(x[2]), "type": x[3], "confidence": int(x[1]) % 10 / 10} for x in lines]
+            if first % 9 == 0 and round_ == 2 or first % 27 == 0 and round_ == 3:
+                rows[-1]["amount"] = -1
+            out.append("I can not read this" if first % 3 == 0 and round_ == 1 else "```json\n" + json.dumps({"transactions": rows}) + "\n```")
+        return out
+
+    return client
+
+
+_CHUNKS = """
+l as (select card_issuer, card_last_four, ord, row_number() over w - 1 as i, count(*) over (partition by card_issuer, card_last_four) as n from od window w as (partition by card_issuer, card_last_four order by ord)),
+c as (select *, unnest(case when n > 6 then range(greatest(0, ceil((n - 4) / 3))::bigint + 1) else [0] end) as chunk from l),
+h as (select *, min(ord) over (partition by card_issuer, card_last_four, chunk) as first, max(ord) over (partition by card_issuer, card_last_four, chunk) as last from c where n <= 6 or i >= 3 * chunk and i < 3 * chunk + 4),
+r as (select card_issuer, card_last_four, chunk, first, case when first % 3 <> 0 then 1 when first % 9 <> 0 then 2 else 3 end as attempts, first % 27 <> 0 as success, count(*) filter (first % 27 <> 0 or ord <> last) as n_rows from h group by all)"""
+_CARDS = ["card_issuer", "card_last_four"]
+
+
+def _texts(od):
+    line = F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), F.col("ord").cast("string"), F.col("amount").cast("string"), "type")
+    return od.groupBy(*_CARDS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+
+
+@query("extraction_report", "od", f"with {_CHUNKS} select card_issuer, card_last_four, chunk::int as chunk, attempts, success, case when success then 0 else 1 end as n_errors, n_rows from r")
+def extraction_report(od):
+    _, report = extract(_texts(od), _CARDS, _model(), most=6, size=4, overlap=1)
+    return report.select(*_CARDS, "chunk", "attempts", "success", F.size("errors").alias("n_errors"), "n_rows")
+
+
+@query("extracted_rows", "od", f"with {_CHUNKS} select distinct od.id, date::date as date, round(amount * 100)::bigint as cents, type from h join od using (ord) where first % 27 <> 0 or h.ord <> last")
+def extracted_rows(od):
+    rows, _ = extract(_texts(od), _CARDS, _model(), most=6, size=4, overlap=1)
+    return rows.select(F.substring_index("description", " ", -1).cast("long").alias("id"), F.to_date("date").alias("date"), F.round(F.col("amount") * 100).cast("long").alias("cents"), "type")
+
+
+_KIND_OF = "case json_type({0}) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then null when 'OBJECT' then 'object' when 'ARRAY' then 'array' else case when {0} is not null then 'number' end end"
+_ANSWER = """'{"results": [{"id": ' || case event_id % 5 when 0 then event_id::varchar when 1 then 'null' else '"' || event_id || '"' end || ', "category": "' || event_type || '", "confidence": ' || case when event_id % 7 = 0 then '"' || value || '"' else value::varchar end || case when user_id % 3 = 0 then '' else ', "source": "' || case when user_id % 3 = 1 then 'ai' else event_type end || '"' end || '}]' || case when event_id % 11 = 0 then '' else '}' end"""
+
+
+@direct("answer_errors", f"""
+with a as (select event_id, {_ANSWER} as said from events), j as (select event_id, case when json_valid(said) then said::json end as j from a), x as (select event_id, j, j->'$.results[0]' as r from j),
+k as (select event_id, j, r, {_KIND_OF.format("r->'$.id'")} as i, {_KIND_OF.format("r->'$.confidence'")} as c, r->>'$.confidence' as cv, r->>'$.source' as s from x)
+select event_id, case when j is null then 'answer: must be an object' else concat_ws('; ', case when i is null then 'results[0].id: missing' when i <> 'string' then 'results[0].id: must be a string, is ' || i end,
+  case when c <> 'number' then 'results[0].confidence: must be a number, is ' || c when cv::double < 0 then 'results[0].confidence: must be at least 0' when cv::double > 1 then 'results[0].confidence: must be at most 1' end,
+  case when s is null then 'results[0].source: missing' when s not in ('rule', 'ai', 'keyword') then 'results[0].source: must be one of rule, ai, keyword' end) end as problems from k""")
+def answer_errors(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", _ANSWER.replace("event_id::varchar", "cast(event_id as string)").replace("value::varchar", "cast(value as string)") + " as said")
+    return said.select("event_id", F.array_join(schema.errors(F.try_parse_json("said"), answers.CATEGORIZE_RESPONSE), "; ").alias("problems"))
+
+
+_SUMMARY = """'{"statementDate": "' || case user_id % 4 when 0 then '2024-02-30' when 1 then strftime(ts, '%d/%m/%Y') else strftime(ts, '%Y-%m-%d') end || '", "totalDue": ' || value || ', "minimumDue": ' || (user_id - 30) || ', "creditLimit": ' || case when event_id % 6 = 0 then 'null' else (100 + user_id)::varchar end || ', "availableCredit": ' || (event_id % 200) || '}'"""
+
+
+@direct("card_summary_errors", f"""
+with x as (select event_id, case when user_id % 4 = 0 then 'statementDate: no date' end as a, case when user_id < 30 then 'minimumDue: must be at least 0' end as b, case when value < 0 then 'totalDue: must be at least 0' end as t, case when value < user_id - 30 then 'total due below minimum due' end as c,
+  case when event_id % 6 <> 0 and event_id % 200 > 100 + user_id then 'available credit beyond the limit' end as d from events)
+select event_id, concat_ws('; ', a, t, b, c, d) as problems from x""")
+def card_summary_errors(spark, sf_dir):
+    text = _SUMMARY.replace("strftime(ts, '%d/%m/%Y')", "date_format(ts, 'dd/MM/yyyy')").replace("strftime(ts, '%Y-%m-%d')", "date_format(ts, 'yyyy-MM-dd')").replace("(100 + user_id)::varchar", "cast(100 + user_id as string)")
+    said = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{text} as said")
+    return said.select("event_id", F.array_join(schema.errors(F.try_parse_json("said"), answers.CARD_SUMMARY), "; ").alias("problems"))

@@ -118,16 +118,17 @@ def stitch_lines(lines: DataFrame, key: str, text: str = "text", order: str = "l
     return df.groupBy(key, "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), " ").alias("text"))
 
 
-def chunk_plan(texts: DataFrame, text: str = "text") -> DataFrame:
-    """chunk, first_line, chunk_text of each text; long ones (letters or lines) are cut with an overlap of lines."""
+def chunk_plan(texts: DataFrame, text: str = "text", letters: int = CHUNK_LETTERS, most: int = CHUNK_LINES, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """chunk, first_line, chunk_text of each text; those of more ``letters`` or more than ``most`` lines are cut into chunks of
+    ``size`` lines with an overlap."""
     lines = F.split(text, "\n")
     n = F.size(lines)
-    long = (F.length(text) > CHUNK_LETTERS) | (n > CHUNK_LINES)
-    step = CHUNK_SIZE - CHUNK_OVERLAP
-    last = F.greatest(F.lit(0), F.ceil((n - CHUNK_SIZE) / step).cast("int"))
+    long = (F.length(text) > letters) | (n > most)
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
     df = texts.withColumn("chunk", F.explode(F.when(long, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
     first = F.col("chunk") * step
-    return df.withColumns({"first_line": first, "chunk_text": F.when(long, F.array_join(F.slice(lines, first + 1, CHUNK_SIZE), "\n")).otherwise(F.col(text))})
+    return df.withColumns({"first_line": first, "chunk_text": F.when(long, F.array_join(F.slice(lines, first + 1, size), "\n")).otherwise(F.col(text))})
 
 
 def csv_lines(txns: DataFrame) -> DataFrame:
