@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.answers import EXTRACTED, warned_dates
+from tallyforge.functions.answers import EXTRACTED, EXTRACTED_ROW, warned_dates
 from tallyforge.functions.json import json_of
-from tallyforge.functions.schema import errors
-from tallyforge.functions.text import noise_row, squeeze
+from tallyforge.functions.schema import Schema, errors
+from tallyforge.functions.text import bound, noise_row, squeeze
 from tallyforge.sources.statements import chunk_plan
 
 from .graph import stored
@@ -29,6 +29,7 @@ BATCH = 8
 ASK = "List the transactions of this statement as JSON: {\"transactions\": [{date, description, amount, type}]}.\n\n"
 #: What a further round adds, by its number.
 STRICTER = ["", "", "Correct every error. Answer with JSON only.", "Answer with the smallest valid JSON, no other field, no other text."]
+EXTRACTED_ITEM = Schema(EXTRACTED_ROW)
 ROW = "date string, description string, amount double, type string, balance double, confidence double, original_currency string, original_amount double"
 
 
@@ -58,14 +59,17 @@ def _ask(asked: DataFrame, client: Callable, batch: int) -> DataFrame:
     return stored(asked.mapInPandas(run, f"{schema}, answer string, failure string"))
 
 
-def checked(answer: Column) -> tuple[Column, Column, Column]:
-    """errors (of the whole answer), rows (array of structs with their place and errors) and whether it was JSON at all."""
-    whole, bare = json_of(answer), F.try_parse_json(F.concat(F.lit('{"transactions":'), F.to_json(json_of(answer, "[]")), F.lit("}")))
-    whole = F.when(F.try_variant_get(whole, "$.transactions", "variant").isNotNull(), whole).otherwise(F.coalesce(bare, whole))
-    said = errors(whole, EXTRACTED)
-    items = F.try_variant_get(whole, "$.transactions", "array<variant>")
-    rows = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda v, i: F.struct(i.alias("place"), F.from_json(F.to_json(v), ROW).alias("row"), F.exists(said, lambda e: e.startswith(F.concat(F.lit("transactions["), i.cast("string"), F.lit("]")))).alias("wrong")))
-    return said, rows, items.isNotNull()
+def understood(answer: Column) -> Column:
+    """An answer's object with ``transactions`` as a variant; a bare list is one too, and null is an answer without JSON."""
+    wrapped = lambda v: F.try_parse_json(F.concat(F.lit('{"transactions":'), F.to_json(v), F.lit("}")))
+    listed = lambda v: F.try_variant_get(v, "$.transactions", "variant").isNotNull()
+    return bound(json_of(answer), lambda v: F.when(listed(v), v).otherwise(F.coalesce(wrapped(json_of(answer, "[]")), v)))
+
+
+def rows_of(whole: Column) -> Column:
+    """place, row and whether it is wrong, of each item of an understood answer."""
+    items = F.coalesce(F.try_variant_get(whole, "$.transactions", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(items, lambda v, i: F.struct(i.alias("place"), F.from_json(F.to_json(v), ROW).alias("row"), (F.size(errors(v, EXTRACTED_ITEM)) > 0).alias("wrong")))
 
 
 def extract(texts: DataFrame, keys: list[str], client: Callable[[list[str]], list[str]], text: str = "text", rounds: int = ROUNDS, batch: int = BATCH, **plan) -> tuple[DataFrame, DataFrame]:
@@ -83,8 +87,9 @@ def extract(texts: DataFrame, keys: list[str], client: Callable[[list[str]], lis
     for attempt in range(1, rounds + 1):
         asked = frontier.withColumn("prompt", prompt(F.col("chunk_text"), F.col("answer"), F.col("problems"), attempt)).drop("answer", "problems")
         said = _ask(asked, client, batch)
-        wrong, _, readable = checked(F.col("answer"))
-        said = stored(said.withColumns({"problems": F.when(F.col("failure").isNotNull(), F.array("failure")).otherwise(wrong), "best": F.when(readable, F.col("answer")).otherwise(F.col("best"))}))
+        read = lambda v: F.struct(errors(v, EXTRACTED).alias("wrong"), F.try_variant_get(v, "$.transactions", "array<variant>").isNotNull().alias("listed"))
+        said = said.withColumn("read", F.explode(F.array(bound(understood(F.col("answer")), read))))
+        said = stored(said.withColumns({"problems": F.when(F.col("failure").isNotNull(), F.array("failure")).otherwise(F.col("read.wrong")), "best": F.when(F.col("read.listed"), F.col("answer")).otherwise(F.col("best"))}).drop("read"))
         good = F.size("problems") == 0
         last = F.lit(attempt == rounds)
         done.append(said.filter(good | last).select(*keys, "chunk", F.lit(attempt).alias("attempts"), good.alias("success"), F.col("problems").alias("errors"), "best"))
@@ -92,8 +97,7 @@ def extract(texts: DataFrame, keys: list[str], client: Callable[[list[str]], lis
         if attempt < rounds and frontier.isEmpty():
             break
     ended = reduce(DataFrame.unionByName, done)
-    _, found, _ = checked(F.col("best"))
-    each = stored(ended.withColumn("rows", F.coalesce(found, F.array().cast(f"array<struct<place:int,row:struct<{ROW.replace(' ', ':').replace(',:', ',')}>,wrong:boolean>>"))))
+    each = stored(ended.withColumn("rows", bound(understood(F.col("best")), rows_of)))
     sound = each.select(*keys, "chunk", F.explode("rows").alias("r")).filter(~F.col("r.wrong") & ~F.coalesce(noise_row(F.col("r.row.description")), F.lit(False))).select(*keys, "chunk", F.col("r.place").alias("place"), "r.row.*")
     counted = sound.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
     report = each.select(*keys, "chunk", "attempts", "success", "errors").join(counted, [*keys, "chunk"], "left").fillna(0, ["n_rows"])

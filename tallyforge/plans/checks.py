@@ -167,7 +167,7 @@ _ANSWER = """'{"results": [{"id": ' || case event_id % 5 when 0 then event_id::v
 
 @direct("answer_errors", f"""
 with a as (select event_id, {_ANSWER} as said from events), j as (select event_id, case when json_valid(said) then said::json end as j from a), x as (select event_id, j, j->'$.results[0]' as r from j),
-k as (select event_id, j, r, {_KIND_OF.format("r->'$.id'")} as i, {_KIND_OF.format("r->'$.confidence'")} as c, r->>'$.confidence' as cv, r->>'$.source' as s from x)
+k as (select event_id, j, r, {_KIND_OF.format("(r->'$.id')")} as i, {_KIND_OF.format("(r->'$.confidence')")} as c, r->>'$.confidence' as cv, r->>'$.source' as s from x)
 select event_id, case when j is null then 'answer: must be an object' else concat_ws('; ', case when i is null then 'results[0].id: missing' when i <> 'string' then 'results[0].id: must be a string, is ' || i end,
   case when c <> 'number' then 'results[0].confidence: must be a number, is ' || c when cv::double < 0 then 'results[0].confidence: must be at least 0' when cv::double > 1 then 'results[0].confidence: must be at most 1' end,
   case when s is null then 'results[0].source: missing' when s not in ('rule', 'ai', 'keyword') then 'results[0].source: must be one of rule, ai, keyword' end) end as problems from k""")
