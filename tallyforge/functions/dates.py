@@ -31,8 +31,8 @@ def _month(text: Column, pattern: str, group: int) -> Column:
     return F.when(at > 0, at.cast("int"))
 
 
-def parse_date(col: Column, order: str = "DMY") -> Column:
-    """A date or null.  A number above 12 settles day and month; else ``order`` does (DMY or MDY)."""
+def parse_date(col: Column, order: str | Column = "DMY") -> Column:
+    """A date or null.  A number above 12 settles day and month; else ``order`` does (DMY or MDY, of all or of each row)."""
     return bound(_without_extras(col), lambda t: _parse(t, order))
 
 
@@ -42,11 +42,11 @@ def _without_extras(col: Column) -> Column:
     return F.regexp_replace(t, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
 
 
-def _parse(t: Column, order: str) -> Column:
+def _parse(t: Column, order: str | Column) -> Column:
     ymd, name_dmy, name_mdy, both, compact = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/\s]+([A-Za-z]{3,9})[-/\s,]*(\d{4}|\d{2})$", r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s*(\d{4}|\d{2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", r"^(\d{4})(\d{2})(\d{2})$"
     n = lambda p, k: _number(t, p, k)
     a, b = n(both, 1), n(both, 2)
-    month_first = (b > 12) | ((a <= 12) & F.lit(order == "MDY"))
+    month_first = (b > 12) | ((a <= 12) & (order == "MDY" if isinstance(order, Column) else F.lit(order == "MDY")))
     return F.coalesce(
         _date(n(ymd, 1), n(ymd, 2), n(ymd, 3)),
         _date(n(name_dmy, 3), _month(t, name_dmy, 2), n(name_dmy, 1)),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import currency, dates, money, text
 from tallyforge.operators import cards, payoff, rules, spending, upkeep, verify
+from tallyforge.operators.graph import shared_folder
 from tallyforge.plans.registry import cents, query
+from tallyforge.sources import files, store
 from tallyforge.sources.tables import ORDERS_AS_OF
 
 K = "card_issuer, card_last_four"
@@ -413,3 +417,40 @@ def column_rows(od):
     items = od.select(page, i.alias("id"), F.posexplode(made).alias("k", "c")).select("page", (F.col("id") * 2 + F.col("c.l")).alias("line"), (F.col("id") * 10 + F.col("k")).alias("item"), "c.x", "c.text")
     heads = od.select(page).distinct().withColumn("h", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(x).alias("x")) for r, x in (("date", 10), ("description", 120), ("debit", 400), ("credit", 500), ("balance", 600))])))
     return upkeep.column_rows(items, heads.select("page", "h.role", "h.x"), "page").drop("amount")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+_FLAT = "select o_orderkey as id, o_orderdate::date as date, (case when o_totalprice = 0 then null else round(cast(o_totalprice as decimal(18,2)) * 100)::bigint end) as cents, case when o_orderpriority = '1-URGENT' then 'credit' else 'debit' end as type, 0.3::double as category_confidence, true as needs_review from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+
+
+@query("imported_folder", "od", _FLAT)
+def imported_folder(od):
+    """The orders as statement files with the month before the day, read back as a folder of files."""
+    spark, folder = od.sparkSession, _folder(od.sparkSession)
+    side = lambda t: F.when(F.col("type") == t, F.format_number("amount", 2)).otherwise("")
+    written = od.select(F.date_format("date", "MM/dd/yyyy").alias("Txn Date"), F.col("description").alias("Narration"), side("debit").alias("Withdrawal Amount"), side("credit").alias("Deposit Amount"))
+    written.write.option("header", True).option("maxRecordsPerFile", 20_000).csv(folder)
+    rows, _ = files.read_folder(spark, f"{folder}/*.csv")
+    return rows.select(F.regexp_extract("description", r"Order (\d+)", 1).cast("long").alias("id"), "date", cents("amount").alias("cents"), "type", "category_confidence", "needs_review")
+
+
+_LEDGER = "id long, ord long, date timestamp_ntz, description string, amount decimal(18,2), type string, category string, merchant string"
+
+
+@query("stored_ledger", "ev", """select id + 1000000 * k as id, (round(amount * 100)::bigint + case when k = 0 and id % 40 = 0 then 100 else 0 end) as cents, case when k = 0 and id % 50 = 0 then 'travel' else category end as category, date
+  from ev, (select unnest([0, 1]) as k) where k = 0 and id % 2 = 0 and id % 97 <> 0 or k = 1 and id % 2 = 1 and strftime(date, '%Y-%m-%d') || '|' || round(abs(amount) * 100)::bigint || '|' || left(lower(trim(description)), 100) not in
+  (select strftime(date, '%Y-%m-%d') || '|' || (round(abs(amount) * 100)::bigint + case when id % 40 = 0 then 100 else 0 end) || '|' || left(lower(trim(description)), 100) from ev where id % 2 = 0 and id % 97 <> 0)""")
+def stored_ledger(ev):
+    """A stored ledger: half of the events, some of them changed and deleted, then all of the others imported."""
+    ledger = store.Ledger(ev.sparkSession, _folder(ev.sparkSession), _LEDGER)
+    even, odd = ev.filter("id % 2 = 0"), ev.filter("id % 2 = 1")
+    ledger.append(even)
+    ledger.update(even.filter("id % 40 = 0").select("id", (F.col("amount") + 1).cast("decimal(18,2)").alias("amount")))
+    ledger.update(even.filter("id % 50 = 0").select("id", F.lit("travel").alias("category")))
+    ledger.delete(even.filter("id % 97 = 0"))
+    ledger.add(odd.withColumn("id", F.col("id") + 1_000_000))
+    ledger.add(odd)
+    return ledger.read().select("id", cents("amount").alias("cents"), "category", "date")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,26 +75,6 @@ def read_csv(spark: SparkSession, path: str, order: str = "DMY") -> DataFrame:
     return statement_rows(spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"'), order=order)
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, cells (array of text) of workbooks; needs pandas' reader for them on the executors."""
-
-    def run(frames):
-        import io
-
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                for sheet, cells in pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str).items():
-                    yield pd.DataFrame({"path": name, "sheet": sheet, "row": range(len(cells)), "cells": cells.fillna("").values.tolist()})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
-
-
-def largest_sheet(rows: DataFrame) -> DataFrame:
-    """The rows of each workbook's sheet with the most of them."""
-    n = rows.groupBy("path", "sheet").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max(F.struct("n", "sheet")).alias("best"))
-    return rows.join(n.select("path", F.col("best.sheet").alias("sheet")), ["path", "sheet"])
-
-
 def acceptable_files(files: DataFrame) -> DataFrame:
     """Files (path, length) of a known suffix and size."""
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*SUFFIXES) & (F.col("length") <= MAX_BYTES))
@@ -144,16 +123,3 @@ def write_csv(txns: DataFrame, path: str) -> None:
 def raw_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole text files, such as tables that are read as text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-
-
-#: How files of each suffix are read; a reader of PDF items may be given to read_statements.
-READERS = {"csv": read_csv, "xls": read_workbooks, "xlsx": read_workbooks}
-
-
-def read_statements(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
-    """Rows of the statements at ``path`` by the reader of its suffix."""
-    suffix = path.rsplit(".", 1)[-1].lower()
-    found = {**READERS, **(readers or {})}.get(suffix)
-    if not found:
-        raise ValueError(f"no reader for .{suffix} files; there are {', '.join(sorted({**READERS, **(readers or {})}))}")
-    return found(spark, path)

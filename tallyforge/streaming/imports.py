@@ -6,24 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyforge.operators.rules import only_new
+from tallyforge.sources.store import Ledger
 
 
 def import_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append the rows that the ledger (Parquet at ``table``) lacks, batch by batch, until the source is read."""
-    spark = rows.sparkSession
-
-    def add(batch: DataFrame, number: int) -> None:
-        try:
-            history = spark.read.schema(batch.schema).parquet(table)
-            new = only_new(batch, history)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = batch
-        new.write.mode("append").parquet(table)
-
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append the rows that the ledger at ``table`` lacks, batch by batch, until the source is read.
+
+    Of the ledger each batch reads the months of its own days, however long the history is; a late row brings its month
+    along.  A batch that is repeated after a failure adds nothing twice.
+    """
+    ledger = Ledger(rows.sparkSession, table, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    return rows.writeStream.foreachBatch(lambda batch, _: ledger.add(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def distinct_stream(rows: DataFrame, late: str = "2 days") -> DataFrame:

@@ -135,14 +135,8 @@ def test_clusters(spark):
     assert got == {"netflix": "netflix", "netflix premium": "netflix", "acme gas": "acme gas", "acme water": "acme gas", "gas": "acme gas", "the shop": "the shop", "the bar": "the bar", "shop": "the shop", "zz": "zz", "pizza zz": "zz"}
 
 
-def test_files_by_suffix(spark, tmp_path):
+def test_raw_texts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date,Details,Debit,Credit\n15/01/2024,Shop,12.50,\n16/01/2024,Pay,,99\n")
-    rows = statements.read_statements(spark, str(tmp_path / "a.csv"))
-    assert sorted((r.date, float(r.amount), r.type) for r in rows.collect()) == [(D, 12.5, "debit"), (dt.date(2024, 1, 16), 99.0, "credit")]
-    with pytest.raises(ValueError, match="no reader for .doc"):
-        statements.read_statements(spark, str(tmp_path / "a.doc"))
-    own = statements.read_statements(spark, "x.pdf", {"pdf": lambda s, p: s.createDataFrame([(p,)], "path string")})
-    assert own.first().path == "x.pdf"
     assert statements.raw_texts(spark, str(tmp_path / "a.csv")).first().text.startswith("Date,Details")
 
 
