@@ -6,8 +6,8 @@ pairs of shingle sets that meet in a band of MinHash values and are verified by
 
 Equal sets are one node from the start.  Up to SMALL sets under a band are compared in pairs.  The sets of a crowded
 band are compared with one hub, the set whose keys are shared most (of edited copies, their original), which joins a
-group as a star.  Keys whose sets are not one component then are settled exactly: their sets meet in pairs of salted
-blocks, by classes of size, and every pair of different components is compared.  So only the bands are a search by
+group as a star.  Keys whose sets are not one component then are settled by an exact prefix filter: two alike sets share
+one of the rarest fifth of each one's shingles, so sets that have nothing but boilerplate in common never meet.  So only the bands are a search by
 chance: of pairs at 0.8 they miss 1 in 2,500; every pair that is linked is verified.
 """
 
@@ -29,7 +29,9 @@ BANDS = 20
 ROWS = 5
 #: A band's key with more sets is crowded.
 SMALL = 16
-#: Sets (and hashes) in a block of a crowded key that a star did not settle; a task compares two blocks at a time.
+#: Sets of different components under a rare shingle that are paired; more are compared in blocks.
+FEW = 48
+#: Sets (and hashes) in a block of such a shingle; a task compares two blocks at a time.
 BLOCK_SETS = 256
 BLOCK_HASHES = 1 << 21
 #: Listed texts that are sent to the documents (16 bytes each); more are met by a shuffle.
@@ -160,35 +162,58 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     return good
 
 
-def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: the links that ``links`` lack within crowded keys (key, s, hub), of every pair in different components.
+def prefix_pairs(members: DataFrame, found: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """a, b (a < b): all pairs of ``members`` (s, root) of different roots that may be alike; and blocks u, s, root of those that
+    meet under a shingle of more than ``few`` sets, which hold the others.  ``found``: s, shingles (each once).
 
-    The sets of a key are dealt to cells of two neighbouring classes of size (alike sets differ by 1.25 times at most)
-    and salted blocks; those outside the hub's component meet each other and the hub's, which need not meet again.
+    Of a set of n shingles the n - ceil(0.8 n) + 1 rarest are its prefix, in one order of all shingles; alike sets share one of both
+    prefixes, and differ in size by 1.25 times at most, so by one class of size.
     """
+    sized = members.join(found.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).select("s", "root", "shingles", F.size("shingles").alias("n"))
+    each = sized.select("s", F.explode("shingles").alias("t"))
+    often = each.groupBy(F.col("t").alias("of_t")).agg(F.count(F.lit(1)).alias("times"))
+    ordered = each.join(often, F.col("t") == F.col("of_t")).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("times", "t"))).alias("o"))  # of one set
+    size = F.size("o")
+    first = F.slice("o", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1)
+    prefix = ordered.select(F.col("s").alias("of"), F.explode(F.filter(first, lambda x: x["times"] > 1)).alias("x"))
+    class_ = F.floor(F.log("n") / F.lit(float(np.log(1.26)))).cast("int")
+    dealt = sized.select("s", "root", class_.alias("class")).join(prefix, F.col("s") == F.col("of")).select("s", "root", "class", F.col("x.t").alias("t"), F.explode(F.array("class", F.col("class") - 1)).alias("cell"))
+    dealt = stored(dealt.withColumn("lower", F.col("cell") == F.col("class")))
+    met = dealt.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("lower").alias("some"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    met = stored(met.filter("some and r0 != r1").select(F.col("t").alias("kt"), F.col("cell").alias("kc"), "n"))
+    cells = dealt.join(met, (F.col("t") == F.col("kt")) & (F.col("cell") == F.col("kc"))).drop("kt", "kc")
+    lists = cells.filter(F.col("n") <= few).groupBy("t", "cell").agg(F.collect_list(F.struct("s", "root", "lower")).alias("own"))  # few at most
+    pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: (x["s"] < y["s"]) & (x["root"] != y["root"]) & (x["lower"] | y["lower"])), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b")))))
+    pairs = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    # Larger cells: the sets outside the largest component meet each other and those of it, which need not meet again.
+    crowd = cells.filter(F.col("n") > few)
+    mains = crowd.groupBy("t", "cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("t").alias("kt"), F.col("cell").alias("kc")).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("joined"))
+    block = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK_SETS)), F.lit(float(BLOCK_HASHES)) / F.pow(F.lit(1.26), F.col("kc") + 2)))
+    mains = mains.select("kt", "kc", "main", F.ceil((F.col("all") - F.col("joined")) / block).cast("int").alias("apart"), F.ceil(F.col("joined") / block).cast("int").alias("rest"))
+    crowd = crowd.drop("n").join(mains, (F.col("t") == F.col("kt")) & (F.col("cell") == F.col("kc")))
+    outside = F.col("root") != F.col("main")
+    at = F.when(outside, F.pmod(F.xxhash64("s"), "apart")).otherwise(F.col("apart") + F.pmod(F.xxhash64("s"), "rest")).cast("int")
+    crowd = crowd.select("t", "cell", "s", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.when(outside, F.col("apart") + F.col("rest")).otherwise(F.col("apart")) - 1)).alias("with"))
+    return pairs, crowd.select("s", "root", F.xxhash64("t", "cell", F.least("at", "with"), F.greatest("at", "with")).alias("u"))
+
+
+def compared_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: alike pairs of different roots within the blocks (u, s, root), as many as join their components."""
+    both = blocks.join(found.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).select("u", "s", "root", "shingles")
+    return both.groupBy("u").applyInArrow(_compared, "a long, b long")
+
+
+def settled(crowded: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the links that ``links`` lack within crowded keys (key, s, hub), of every pair in different components."""
     roots = components(links, "a", "b")
-    placed = crowded.join(roots, F.col("s") == F.col("node"), "left").select("key", "s", "hub", F.coalesce("root", "s").alias("root"))
-    several = placed.groupBy(F.col("key").alias("of")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("s") == F.col("hub"), F.col("root"))).alias("main")).filter("r0 != r1")
-    unsettled = stored(placed.join(several, F.col("key") == F.col("of")).select("key", "s", "root", (F.col("root") != F.col("main")).alias("apart")))
+    placed = crowded.join(roots, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("root", "s").alias("root"))
+    several = placed.groupBy(F.col("key").alias("of")).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
+    unsettled = stored(placed.join(several, F.col("key") == F.col("of")).select("s", "root").distinct())
     if unsettled.isEmpty():
         return links.limit(0)
-    found = _found(unsettled.select(F.col("s").alias("q")).distinct(), texts, sets)
-    sized = found.select(F.col("s").alias("of"), F.floor(F.log(F.size("shingles")) / F.lit(float(np.log(1.26)))).cast("int").alias("class"))
-    dealt = unsettled.join(sized, F.col("s") == F.col("of")).select("key", "s", "root", "apart", "class", F.explode(F.array("class", F.col("class") - 1)).alias("cell"))
-    cells = dealt.groupBy(F.col("key").alias("k"), F.col("cell").alias("c")).agg(
-        F.sum((F.col("cell") == F.col("class")).cast("long")).alias("lower"), F.sum(F.col("apart").cast("long")).alias("n"), F.count(F.lit(1)).alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")
-    )
-    block = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK_SETS)), F.lit(float(BLOCK_HASHES)) / F.pow(F.lit(1.26), F.col("c") + 2)))
-    cells = cells.filter("lower > 0 and r0 != r1").select("k", "c", F.ceil(F.col("n") / block).cast("int").alias("n"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("m"))
-    dealt = dealt.join(cells, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")))
-    at = F.when(F.col("apart"), F.pmod(F.xxhash64("s"), "n")).otherwise(F.col("n") + F.pmod(F.xxhash64("s"), "m")).cast("int")
-    dealt = dealt.select("key", "cell", "s", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1)).alias("with"))
-    dealt = stored(dealt.select("s", "root", F.xxhash64("key", "cell", F.least("at", "with"), F.greatest("at", "with")).alias("u")))
-    both = dealt.join(found.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).select("u", "s", "root", "shingles")
-    more = stored(both.groupBy("u").applyInArrow(_compared, "a long, b long"))
-    for done in (dealt, found, unsettled):
-        discard(done)
-    return more
+    found = _found(unsettled.select(F.col("s").alias("q")), texts, sets)
+    pairs, blocks = (stored(x) for x in prefix_pairs(unsettled, found))
+    return verified(pairs, texts, sets).unionByName(stored(compared_blocks(blocks, found)))
 
 
 def alike(texts: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
@@ -213,9 +238,9 @@ def keep_first(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """One document of each group (that of the smallest doc_id): groups are joined by five-word similarity of 0.8 and more,
     and by op8's links.
 
-    Texts of equal shingle sets are one group, also those without words (null: empty).  Rows without an id stay, rows that
-    repeat the id that stays stay each; an empty table gives an empty result; all columns are passed on (``_dropped`` is
-    used here).
+    Texts of equal shingle sets are one group, also those without words (null: empty).  Rows go by id and text, so an id that is
+    repeated over several texts stays where it is the first of its group; rows that repeat both stay each.  Rows without an id stay; an empty
+    table gives an empty result; all columns are passed on (``_dropped`` and ``_of`` are used here).
     """
     text = F.coalesce("text", F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -234,5 +259,5 @@ def keep_first(docs: DataFrame, small: int = SMALL) -> DataFrame:
     kept = members.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
     merged = members.join(kept, F.col("root") == F.col("r")).select("node", "least")
     keep = stored(sets.join(merged, F.col("s") == F.col("node"), "left").select(F.col("s").alias("of"), F.coalesce("least", "first").alias("keep")))
-    dropped = own.select("doc_id", "same").join(keep, F.col("same") == F.col("of")).filter("doc_id != keep").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = own.select("doc_id", "k", "same").join(keep, F.col("same") == F.col("of")).filter("doc_id != keep").select(F.col("doc_id").alias("_dropped"), F.col("k").alias("_of")).distinct()
+    return docs.join(dropped, (F.col("doc_id") == F.col("_dropped")) & (F.xxhash64(text) == F.col("_of")), "left_anti")

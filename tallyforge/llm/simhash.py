@@ -153,11 +153,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     classes = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return own.join(classes, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component: the row whose doc_id is its component_id.  Rows that repeat that id stay once each;
-    rows without an id stay."""
-    found = near_duplicates(docs, shingle=shingle)
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")

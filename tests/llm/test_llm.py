@@ -406,7 +406,6 @@ def test_simhash(spark, texts):
 def test_simhash_edges(odd, empty):
     got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(odd).collect()}
     assert got == _classes([(r[0], _fingerprint(r[1])) for r in ODD]) and simhash.near_duplicates(empty).count() == 0
-    assert sorted((r.doc_id or 0) for r in simhash.keep_first(odd).collect()) == [0, 1, 2, 6, 8]
 
 
 def test_crowded_links(spark, monkeypatch):
@@ -497,6 +496,53 @@ def test_near_copies_edges(odd, empty):
     assert shingles.keep_first(empty).count() == 0 and shingles.keep_first(odd).columns == odd.columns
 
 
+def test_keep_first_of_repeated_ids(spark):
+    """An id that goes in one group stays in another: rows go by id and text."""
+    a, b, c = ("one two three four five six seven", "red orange yellow green blue violet black", "north east south west up down left")
+    df = spark.createDataFrame([(3, a), (3, b), (1, b), (5, a), (7, a), (7, c)], "doc_id long, text string")
+    assert sorted(map(tuple, shingles.keep_first(df).collect())) == [(1, b), (3, a), (7, c)]
+
+
+def test_prefix_pairs(spark):
+    """Sets that share boilerplate, some of them alike: all alike pairs of different components are found, by few candidates."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    sets = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rng.randint(20, 60))]
+        sets.append(common + own)
+        for k in range(i % 4):
+            sets.append(common + own[: len(own) - rng.randint(0, 24)] + [f"e{i}x{k}x{j}" for j in range(rng.randint(0, 12))])
+    hashes = [sorted({hash(x) % (1 << 31) for x in s}) for s in sets]
+    found = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "s long, shingles array<int>")
+    roots = [i % 5 for i in range(len(sets))]
+    members = spark.createDataFrame(list(enumerate(roots)), "s long, root long")
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots[i] != roots[j] and jaccard(hashes[i], hashes[j]) >= 0.8}
+    pairs, blocks = shingles.prefix_pairs(members, found, few=1000)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert want <= got and len(got) < len(sets) * 12 and blocks.count() == 0
+    pairs, blocks = shingles.prefix_pairs(members, found, few=1)
+    more = {(r.a, r.b) for r in shingles.compared_blocks(blocks, found).collect()}
+    assert pairs.count() == 0 and more <= want and _components(len(sets), more, roots) == _components(len(sets), want, roots)
+
+
+def _components(n, edges, roots):
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for i, r in enumerate(roots):
+        parent[top(i)] = top(first.setdefault(r, i))
+    for i, j in edges:
+        parent[top(i)] = top(j)
+    return [min(j for j in range(n) if top(j) == top(i)) for i in range(n)]
+
+
 def test_verified_links_only(spark):
     texts = _near_copies(90, 30, 3)
     rows = spark.createDataFrame([(d, shingles.bands(shingles.shingle_set(t)), t) for d, t in texts.items()], "s long, bands array<long>, text string")
