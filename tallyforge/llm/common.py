@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.graph import components, cut, discard, shared_folder, stored
 
-__all__ = ["components", "cut", "discard", "literal", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
+__all__ = ["bucket_width", "components", "cut", "discard", "literal", "maybe_broadcast", "shared_folder", "spread", "stored", "table", "top_bits", "word_count"]
 
 #: A word is a run of characters other than these (space, tab, line ends, vertical tab, form feed).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -47,3 +47,8 @@ def top_bits(value: Column, bits: int) -> Column:
     """
     shift = F.greatest(F.length(F.bin(value)) - F.lit(bits), F.lit(0)).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
+def bucket_width(edge: Column, bits: int) -> Column:
+    """Width of the bucket of top_bits() that begins at ``edge``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(edge)) - F.lit(bits), F.lit(0)).cast("int"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CLASS, cut, maybe_broadcast, spread, top_bits
+from .common import WORD, WS_CLASS, bucket_width, cut, maybe_broadcast, spread, top_bits
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -21,18 +21,18 @@ MAX_REPEAT_PERCENT = 50
 SKETCH_BITS = 6
 #: A group with fewer rows takes the limits of the next wider one.
 MIN_GROUP = 100
-#: Limits lie SPREAD times the way from the median to an outer quantile beyond that quantile, and a floor further.
-SPREAD = 4
-#: metric: (numerator, scale, denominator, percent, floor), all integer: scale * numerator div denominator.  The outer
+#: Limits lie SPREAD times the way from the median to an outer quantile beyond that quantile, and the mean deviation of all
+#: documents and a bucket further, which keeps a group of equal values from rejecting all that differs at all.  Nothing else is given.
+SPREAD = 2
+#: metric: (numerator, scale, denominator, percent), all integer: scale * numerator div denominator.  The outer
 #: quantiles are at ``percent`` and 100 - percent of a group's documents: more where sound texts have rare high values,
-#: less where many of a source may be junk.  The floor, in the metric's unit, keeps a group of equal values from
-#: rejecting all that differs at all.
+#: less where many of a source may be junk.
 METRICS = {
-    "symbol": ("n_symbols", 1000, "n_words", 90, 100),
-    "upper": ("n_upper", 1000, "word_chars", 90, 50),
-    "dup_line": ("n_dup_lines", 1000, "n_words", 98, 20),
-    "repeat": ("n_repeat_words", 1000, "n_words", 98, 100),
-    "word_length": ("word_chars", 100, "n_words", 90, 50),
+    "symbol": ("n_symbols", 1000, "n_words", 90),
+    "upper": ("n_upper", 1000, "word_chars", 98),
+    "dup_line": ("n_dup_lines", 1000, "n_words", 98),
+    "repeat": ("n_repeat_words", 1000, "n_words", 98),
+    "word_length": ("word_chars", 100, "n_words", 90),
 }
 
 
@@ -105,32 +105,33 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """level, q_lang, q_source and for each metric the range that is kept (``min_<metric>``, ``max_<metric>``)."""
+    """level, q_lang, q_source and for each metric the range of buckets that is kept (``min_<metric>``, ``max_<metric>``)."""
     group = ["level", "q_lang", "q_source", "metric"]
     w = Window.partitionBy(*group)
-    of = lambda k: F.expr("case metric " + " ".join(f"when '{m}' then {v[k]}" for m, v in METRICS.items()) + " end")
-    df = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w), "percent": of(3), "floor": of(4)})
+    percent = F.expr("case metric " + " ".join(f"when '{m}' then {v[3]}" for m, v in METRICS.items()) + " end")
+    df = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w), "percent": percent})
     at = lambda part: F.min(F.when(100 * F.col("upto") >= part * F.col("all"), F.col("bucket")))
-    df = df.groupBy(*group, "floor").agg(at(100 - F.col("percent")).alias("low"), at(F.lit(50)).alias("mid"), at(F.col("percent")).alias("high"), F.max("all").alias("rows"))
-    df = df.filter((F.col("level") == 2) | (F.col("rows") >= MIN_GROUP))
-    df = df.withColumns({"least": F.col("low") - SPREAD * (F.col("mid") - F.col("low")) - F.col("floor"), "most": F.col("high") + SPREAD * (F.col("high") - F.col("mid")) + F.col("floor")})
+    df = df.groupBy(*group).agg(at(100 - F.col("percent")).alias("low"), at(F.lit(50)).alias("mid"), at(F.col("percent")).alias("high"), F.max("all").alias("rows"))
+    df = cut(df.filter((F.col("level") == 2) | (F.col("rows") >= MIN_GROUP)))
+    middle = df.filter("level = 2").select(F.col("metric").alias("of"), "mid")
+    off = sketch.filter("level = 2").join(F.broadcast(middle), F.col("metric") == F.col("of")).groupBy("of").agg(F.expr("sum(n * abs(bucket - mid)) div sum(n)").alias("off"))  # a row a metric
+    df = df.join(F.broadcast(off), F.col("metric") == F.col("of"))
+    df = df.withColumns({"least": F.col("low") - SPREAD * (F.col("mid") - F.col("low")) - F.col("off") - bucket_width(F.col("low"), SKETCH_BITS), "most": F.col("high") + SPREAD * (F.col("high") - F.col("mid")) + F.col("off") + bucket_width(F.col("high"), SKETCH_BITS)})
     one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     return df.groupBy("level", "q_lang", "q_source").agg(*[one(m, c).alias(f"{kind}_{m}") for m in METRICS for kind, c in (("min", "least"), ("max", "most"))])
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Add base_failed, adaptive_failed and kept.  ``bounds``: from limits(), already cut; joined by broadcast if few."""
+    """Add base_failed, the metrics outside their limits (``outside``, an array) and kept.  ``bounds``: from limits(), already cut; joined by broadcast if few."""
     n, widest = bounds.count(), bounds.filter("level = 2").first()
     names = [f"{kind}_{m}" for m in METRICS for kind in ("min", "max")]
     named = lambda level: maybe_broadcast(bounds.filter(F.col("level") == level).select(F.col("q_lang").alias(f"l{level}"), F.col("q_source").alias(f"s{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names]), n)
     df = measured.join(named(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
     df = df.join(named(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
     limit = lambda c: F.coalesce(F.col(f"{c}_0"), F.col(f"{c}_1"), F.lit(widest[c] if widest else None).cast("long"))
-    outside = F.lit(False)
-    for m in METRICS:
-        outside = outside | F.coalesce((metric(m) > limit(f"max_{m}")) | (metric(m) < limit(f"min_{m}")), F.lit(False))
-    df = df.withColumns({"base_failed": base_failed(), "adaptive_failed": outside})
-    df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("adaptive_failed"))
+    off = lambda m: (top_bits(metric(m), SKETCH_BITS) > limit(f"max_{m}")) | (top_bits(metric(m), SKETCH_BITS) < limit(f"min_{m}"))
+    df = df.withColumns({"base_failed": base_failed(), "outside": F.array_compact(F.array(*[F.when(off(m), m) for m in METRICS]))})
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
     return df.drop(*[f"{c}_{level}" for c in names for level in range(2)], "l0", "s0", "l1", "s1")
 
 

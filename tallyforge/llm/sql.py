@@ -15,12 +15,16 @@ def _top_bits(x: str, bits: int) -> str:
     return f"((({x}) >> {shift}) << {shift})"
 
 
+def _width(x: str, bits: int) -> str:
+    return f"(1::bigint << greatest(length(bin({x})) - {bits}, 0)::int)"
+
+
 def _op1() -> str:
-    value = {m: f"({top} * {scale}) // greatest({below}, 1)" for m, (top, scale, below, *_) in METRICS.items()}
+    value = {m: f"({top} * {scale}) // greatest({below}, 1)" for m, (top, scale, below, _) in METRICS.items()}
     rows = " union all ".join(f"select lang, source, '{m}' as metric, {_top_bits(v, SKETCH_BITS)} as bucket from m where not base_failed" for m, v in value.items())
-    of = lambda k: "case metric " + " ".join(f"when '{m}' then {v[k]}" for m, v in METRICS.items()) + " end"
+    percent = "case metric " + " ".join(f"when '{m}' then {v[3]}" for m, v in METRICS.items()) + " end"
     bound = lambda m, k: f"coalesce(a.mx['{m}'][{k}], b.mx['{m}'][{k}], c.mx['{m}'][{k}])"
-    outside = " or ".join(f"coalesce({value[m]} > {bound(m, 2)} or {value[m]} < {bound(m, 1)}, false)" for m in METRICS)
+    outside = " or ".join(f"coalesce({_top_bits(value[m], SKETCH_BITS)} > {bound(m, 2)} or {_top_bits(value[m], SKETCH_BITS)} < {bound(m, 1)}, false)" for m in METRICS)
     return rf"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text, {_WORDS} as w from documents),
 t as (select r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as p from d)),
@@ -40,9 +44,10 @@ sketch as (
   union all select 1, lang, null, metric, bucket, sum(n) from fine group by lang, metric, bucket
   union all select 2, null, null, metric, bucket, sum(n) from fine group by metric, bucket),
 upto as (select *, sum(n) over (partition by level, l, s, metric order by bucket) as u, sum(n) over (partition by level, l, s, metric) as total from sketch),
-cuts as (select *, {of(3)} as percent, {of(4)} as floor from upto),
-q as (select level, l, s, metric, floor, min(bucket) filter (100 * u >= (100 - percent) * total) as low, min(bucket) filter (100 * u >= 50 * total) as mid, min(bucket) filter (100 * u >= percent * total) as high, max(total) as total from cuts group by all),
-lim as (select level, l, s, map(list(metric), list([low - {SPREAD} * (mid - low) - floor, high + {SPREAD} * (high - mid) + floor])) as mx from q where level = 2 or total >= {MIN_GROUP} group by level, l, s)
+cuts as (select *, {percent} as percent from upto),
+q as (select level, l, s, metric, min(bucket) filter (100 * u >= (100 - percent) * total) as low, min(bucket) filter (100 * u >= 50 * total) as mid, min(bucket) filter (100 * u >= percent * total) as high, max(total) as total from cuts group by all),
+dev as (select metric, (sum(n * abs(bucket - mid)) // sum(n))::bigint as off from sketch join q using (metric) where sketch.level = 2 and q.level = 2 group by metric),
+lim as (select level, l, s, map(list(metric), list([low - {SPREAD} * (mid - low) - off - {_width('low', SKETCH_BITS)}, high + {SPREAD} * (high - mid) + off + {_width('high', SKETCH_BITS)}])) as mx from q join dev using (metric) where level = 2 or total >= {MIN_GROUP} group by level, l, s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({outside}) as kept
 from m left join lim a on a.level = 0 and a.l is not distinct from m.lang and a.s is not distinct from m.source
 left join lim b on b.level = 1 and b.l is not distinct from m.lang left join lim c on c.level = 2

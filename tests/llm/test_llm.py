@@ -71,6 +71,45 @@ def test_quality_limits_follow_the_source(spark):
     assert quality.keep_documents(df).filter("doc_id < 1000").count() == 450
 
 
+@pytest.mark.parametrize("shift", [0, 40])
+def test_quality_metrics_reject(spark, shift):
+    """Each metric rejects what is far from its source's own values, on the side it is on, wherever the source lies."""
+    rng = random.Random(shift)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def text(upper=6, symbols=2, length=6, lines=1, repeats=1):
+        """200 words; some with a capital or a sign, some lines and triples twice."""
+        words = [word(max(1, length + rng.randint(-1, 1))) for _ in range(200)]
+        words = [w.capitalize() if k < upper + shift else w for k, w in enumerate(words)]
+        words = [w + "#" if k < symbols + shift else w for k, w in enumerate(words)]
+        rows = [" ".join(words[k : k + 10]) for k in range(0, 200, 10)]
+        return "\n".join(rows + rows[:lines] + [" ".join(words[:3])] * repeats)
+
+    usual = [(k, text(rng.randint(4, 8), rng.randint(0, 4), 6, rng.randint(0, 1), rng.randint(0, 2))) for k in range(400)]
+    odd = {"upper": text(upper=190 - shift), "symbol": text(symbols=150), "word_length": text(length=14), "dup_line": text(lines=14), "repeat": text(repeats=30), "short": text(length=2)}
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in usual + [(1000 + j, t) for j, t in enumerate(odd.values())]], "doc_id long, text string, lang string, source string")
+    m = quality.measures(df)
+    out = {r.doc_id: r for r in quality.judge(m, quality.limits(quality.sketches(m))).collect()}
+    for j, name in enumerate(odd):
+        assert ("word_length" if name == "short" else name) in out[1000 + j].outside, name
+    assert sum(not out[i].kept for i, _ in usual) <= 8
+
+
+def test_quality_rejections_of_documents(spark):
+    """Over the documents every verdict is the sketches': no limit of any group is the same number for all groups of a metric that varies."""
+    m = quality.measures(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).drop("text").cache()
+    bounds = quality.limits(quality.sketches(m)).cache()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropDuplicates(["doc_id"])
+    rows = quality.judge(m, bounds).filter("not base_failed")
+    seen = {r.metric: r.n for r in rows.select(F.explode("outside").alias("metric")).groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    assert all(seen.get(k, 0) > 0 for k in quality.METRICS if k != "upper")  # no text there is far from its source in capitals
+    low = rows.join(bounds.filter("level = 2").select("min_word_length"), F.lit(True)).filter("array_contains(outside, 'word_length') and 100 * word_chars div n_words < 450").count()
+    assert low > 0
+    kept = {r.quality: r.k for r in rows.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1] > 0.98 and kept[0] < 0.02
+    assert all(bounds.filter("level < 2").select(f"max_{k}").distinct().count() > 1 for k in quality.METRICS if k != "symbol")
+
+
 def test_quality_edges(spark, odd, empty):
     got = sorted((r.doc_id or 0, r.n_words, r.n_repeat_words, r.kept) for r in quality.score_documents(odd).collect())
     assert [g[:3] for g in got if g[0] in (2, 3, 5, 7)] == [(2, 0, 0), (3, 0, 0), (5, 5, 0), (5, 5, 0), (7, 0, 0)]
