@@ -11,7 +11,7 @@ from . import balls, licenses, mixing, packing, quality, repeats, shuffled, simh
 from .common import cut, spread, table, word_count
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: The block list of the query: hosts of known junk, each with all its pages.
+#: The block list of the query: hosts of known junk, each with all its pages, and whole URLs (see listed_urls).
 JUNK_HOSTS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED = [(f"{name}.example.{top}", "", "block") for name in JUNK_HOSTS for top in ("com", "net", "org")]
 
@@ -40,9 +40,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(files).select("doc_id", "path", "license", "score", "license_from")
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The whole URLs of the query's block list: those of ``pages`` whose MD5 ends in 0, one of 16, as another list would
+    write them (host in capitals and with a port, a '/' behind the path, a tracking parameter)."""
+    host, path = urls.host_path(F.col("url"))
+    asked = F.concat_ws("&", F.nullif(F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1), F.lit("")), F.lit("utm_source=list"))
+    rows = pages.filter(F.md5("url").endswith("0")).select(host.alias("host"), F.concat(path, F.lit("/?"), asked).alias("path")).filter("host <> ''")
+    return rows.select(F.concat(F.upper("host"), F.when(F.col("host").contains(":"), "").otherwise(":80")).alias("host"), "path", F.lit("block").alias("verdict")).distinct()
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "host string, path string, verdict string"
-    df = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(RULES, schema), spark.createDataFrame(LISTED, schema))
+    schema, pages = "host string, path string, verdict string", table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = cut(spark.createDataFrame(LISTED, schema).unionByName(listed_urls(pages)))
+    df = urls.judge_urls(pages, spark.createDataFrame(RULES, schema), listed)
     return df.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -54,8 +54,15 @@ left join lim b on b.level = 1 and b.l is not distinct from m.lang left join lim
 """
 
 
+def _decoded(x: str) -> str:
+    """Unreserved characters as they are, other escapes in capitals."""
+    escaped = "case when regexp_matches(x, '^[0-9A-Fa-f]{2}') then case when regexp_matches(chr(('0x' || left(x, 2))::int), '^[A-Za-z0-9._~-]$') then chr(('0x' || left(x, 2))::int) else '%' || upper(left(x, 2)) end || substr(x, 3) else '%' || x end"
+    return f"(split_part({x}, '%', 1) || array_to_string(list_transform(string_split({x}, '%')[2:], lambda x: {escaped}), ''))"
+
+
 def _op3() -> str:
     from .queries import LISTED, RULES
+    from .urls import TRACKING
 
     values = lambda rows: ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rows)
     fits = "(p.host = e.host or ends_with(p.host, '.' || e.host)) and starts_with(p.path, e.path)"
@@ -64,8 +71,12 @@ with u as (select row_number() over () as r, page_id, case when instr(url, '://'
 p as (select r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 rules(host, path, verdict) as (values {values(RULES)}), listed(host, path, verdict) as (values {values(LISTED)}),
 a as (select r, arg_max(e.host || e.path, length(e.host || e.path)) as rule, arg_max(e.verdict, length(e.host || e.path)) as verdict from p, rules e where {fits} group by r),
-b as (select r, max(e.verdict) as verdict from p, listed e where {fits} group by r)
-select page_id, p.host, p.path, a.rule, coalesce(a.verdict, b.verdict, 'allow') as verdict from p left join a using (r) left join b using (r)
+b as (select r, max(e.verdict) as verdict from p, listed e where {fits} group by r),
+c0 as (select r, md5(url) as h, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\.$', '') as host, path, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '{TRACKING}'))) as asked
+  from p join (select row_number() over () as r, url from pages) using (r) where host <> ''),
+c as (select r, h, host || regexp_replace({_decoded('path')}, '/+$', '') || case when len(asked) > 0 then '?' || {_decoded("array_to_string(asked, '&')")} else '' end as canon from c0),
+w as (select distinct canon from c where ends_with(h, '0'))
+select page_id, p.host, p.path, a.rule, coalesce(a.verdict, b.verdict, case when w.canon is not null then 'block' end, 'allow') as verdict from p left join a using (r) left join b using (r) left join c using (r) left join w using (canon)
 """
 
 
