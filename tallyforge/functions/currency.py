@@ -86,12 +86,29 @@ CURRENCY_WORDS = [
     ("CNY", "CNY|RMB|yuan|jiao|fen|ICBC|CCB|BOC|ABC|China|Chinese"),
     ("BDT", "BDT|taka|poisha|Sonali|Janata|Agrani|Bangladesh|Bangladeshi"),
 ]
-_GROUPED, _PENCE = r"\d{1,3}(?:,\d{3})*", r"(?:\.\d{1,2})?"
-#: What stands before an amount in place of the sign, where the document's currency is known.
-MISREAD = [
-    ("INR", rf"\bC\s*(\d{{1,3}}(?:,\d{{2,3}})*{_PENCE})\b", "₹"), ("PHP", rf"\bP\s*({_GROUPED}{_PENCE})\b", "₱"), ("THB", rf"\bB\s*({_GROUPED}(?:\.\d{{0,2}})?)\b", "฿"), ("KRW", rf"\bW\s*({_GROUPED})\b", "₩"),
-    ("TRY", r"\bTL\s*([\d.]+(?:,\d{1,2})?)\b", "₺"), ("JPY", rf"\\\s*({_GROUPED})\b", "¥"), ("GBP", rf"#\s*({_GROUPED}{_PENCE})\b", "£"), ("CNY", rf"\\\s*({_GROUPED}{_PENCE})\b", "¥"),
-]
+#: Ways to write an amount: digits in threes with or without cents, in lakhs, with points for groups.
+STYLES = {
+    "whole": r"\d{1,3}(?:,\d{3})*",
+    "cents": r"\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?",
+    "mixed": r"\d{1,3}(?:,\d{2,3})*(?:\.\d{1,2})?",
+    "lakhs": r"\d{1,2}(?:,\d{2})+,\d{3}(?:\.\d{1,2})?",
+    "points": r"[\d.]+(?:,\d{1,2})?",
+}
+#: What extraction puts in place of a sign: currency, letter, sign, and the way of the amount behind it.
+MISREAD = [("INR", "C", "₹", "mixed"), ("PHP", "P", "₱", "cents"), ("THB", "B", "฿", "cents"), ("KRW", "W", "₩", "whole"), ("TRY", "TL", "₺", "points"), ("JPY", "\\", "¥", "whole"), ("GBP", "#", "£", "cents"), ("CNY", "\\", "¥", "cents")]
+#: Words before an amount that are a sign in any document.
+SIGN_WORDS = [("Php", "₱"), ("Baht", "฿")]
+
+
+def before_amount(letters: str, style: str) -> str:
+    """Letters before an amount, which is the first group."""
+    edge = r"\b" if letters[0].isalpha() else ""
+    return rf"{edge}{re.escape(letters)}\s*({STYLES[style]})\b"
+
+
+def misread() -> list[tuple[str, str, str]]:
+    """(currency, pattern, sign) of MISREAD."""
+    return [(code, before_amount(letters, style), sign) for code, letters, sign, style in MISREAD]
 
 
 def patterns() -> list[tuple[int, str, str, int]]:
@@ -143,10 +160,9 @@ def safe_repairs() -> list[tuple[str, str]]:
         *GARBLED,
         *[(rf"\b{code}\s+(\d)", f"{sign.replace('$', '\\$')}$1") for code, sign in CODE_SIGNS],
         (r"\bRs\.\s*", "₹"),
-        (r"(?i)\bPhp\s+(\d)", "₱$1"),
-        (r"(?i)\bBaht\s+(\d)", "฿$1"),
+        *[(rf"(?i)\b{word}\s+(\d)", f"{sign}$1") for word, sign in SIGN_WORDS],
         (r"¬\s*(\d)", "€$1"),
-        (r"\bC\s*(\d{1,2}(?:,\d{2})+,\d{3}(?:\.\d{1,2})?)\b", "₹$1"),
+        (before_amount("C", "lakhs"), "₹$1"),
     ]
 
 
@@ -165,8 +181,9 @@ def repair_glyphs(text: Column, currency: str | None = None) -> Column:
         return bound(told, lambda c: _by_code(c, t))
 
     def _by_code(c: Column, t: Column) -> Column:
-        out = F.when(c == MISREAD[0][0], F.regexp_replace(t, MISREAD[0][1], f"{MISREAD[0][2]}$1"))
-        for code, wrong, sign in MISREAD[1:]:
+        (first, pattern, put), *others = misread()
+        out = F.when(c == first, F.regexp_replace(t, pattern, f"{put}$1"))
+        for code, wrong, sign in others:
             out = out.when(c == code, F.regexp_replace(t, wrong, f"{sign}$1"))
         return out.otherwise(t)
 

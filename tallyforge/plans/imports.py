@@ -78,7 +78,7 @@ def _repair_sql(x: str) -> str:
 
 
 _TOLD = "case " + " ".join(f"when regexp_matches(t, {_lit('(?i)' + chr(92) + 'b(' + w + ')' + chr(92) + 'b')}) then '{c}'" for c, w in currency.CURRENCY_WORDS) + " end"
-_FIXED = "case c " + " ".join(f"when '{c}' then regexp_replace(t, {_lit(p)}, '{s}{chr(92)}1', 'g')" for c, p, s in currency.MISREAD) + " else t end"
+_FIXED = "case c " + " ".join(f"when '{c}' then regexp_replace(t, {_lit(p)}, '{s}{chr(92)}1', 'g')" for c, p, s in currency.misread()) + " else t end"
 
 
 @query("currency_repair", "od", f"with x as (select id, {_pick_sql(_GARBLED, 'id')} || ' / ' || {_pick_sql(_GARBLED, 'id // 5')} as t from od), y as (select id, {_repair_sql('t')} as t from x), z as (select id, t, {_TOLD} as c from y) select id, {_FIXED} as fixed from z")
@@ -95,7 +95,7 @@ def _line() -> Column:
 
 
 def _clean_sql(x: str) -> str:
-    for p in text.DESCRIPTION_NOISE:
+    for p in [text.LINE_NOISE]:
         x = f"regexp_replace({x}, {_lit(p)}, '', 'g')"
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 

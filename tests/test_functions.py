@@ -164,3 +164,19 @@ def test_headers_and_context_of_currency(spark):
     f = lambda t, c=None: one(spark, lambda x: currency.repair_glyphs(x, c), t)
     assert f("C 500", "INR") == "₹500" and f("C 500") == "C 500" and f("C 1,23,456") == "₹1,23,456" and f(None) is None
     assert one(spark, currency.plain_currency, "5 Euro") == "EUR" and one(spark, currency.plain_currency, "five") is None
+
+
+@pytest.mark.parametrize(
+    ("written", "name", "key"),
+    [
+        ("POS Corner Bakery #1234567", "Corner Bakery", "CORNER BAKERY"), ("UPI-Blue Cafe REF: A1", "Blue Cafe", "BLUE CAFE"), ("Transfer to Ann 12/31", "to Ann", "TO ANN"), ("NEFT/VISA Book Shop/20231", "Book Shop", "BOOK SHOP"),
+        ("Netflix.com 4499", "Netflix", "NETFLIX"), ("Tool Hut (Main St) order 55-A 10:30", "Tool Hut (Main St) order 55-A 10:30", "TOOL HUT"), ("Referral Desk", "Referral Desk", "REFERRAL DESK"), ("**Gym** & Spa 05/06", "Gym & Spa", "GYM & SPA"), ("", "", "__unknown__"),
+    ],
+)
+def test_names_and_keys(spark, written, name, key):
+    assert one(spark, text.merchant_name, written) == name and one(spark, text.merchant_key, written) == key
+
+
+def test_line_description(spark):
+    assert one(spark, text.clean_description, "05 Jan 2024 Corner Bakery ₹ 1,200.50 DR 10:30 pm") == "Corner Bakery"
+    assert one(spark, text.clean_description, "2024-01-05 Ref No. X9 Tool Hut 12.00 CR") == "Tool Hut" and one(spark, text.clean_description, "05/01/2024 12.00") == "Transaction"
