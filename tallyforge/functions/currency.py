@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import grouped
 from .text import bound
 
 #: Code, sign, locale, and further patterns beside the code; of equal scores the first counts.
@@ -188,3 +189,44 @@ def repair_glyphs(text: Column, currency: str | None = None) -> Column:
         return out.otherwise(t)
 
     return bound(text, in_context)
+
+
+#: How locales write money: (mark of groups, mark of the fraction, grouping style, whether the sign comes first).
+FORMATS = {
+    "en": (",", ".", "western", True), "ja": (",", ".", "western", True), "zh": (",", ".", "western", True), "ko": (",", ".", "western", True), "th": (",", ".", "western", True), "he": (",", ".", "western", False),
+    "en-IN": (",", ".", "indian", True), "bn-BD": (",", ".", "indian", True), "ne-NP": (",", ".", "indian", True), "en-PK": (",", ".", "western", True), "en-ZA": ("\u00a0", ",", "western", True),
+    "de": (".", ",", "western", False), "es": (".", ",", "western", False), "tr": (".", ",", "western", True), "id": (".", ",", "western", True), "vi": (".", ",", "western", False), "da": (".", ",", "western", False), "ro": (".", ",", "western", False),
+    "pt": (".", ",", "western", True), "es-MX": (",", ".", "western", True), "de-CH": ("’", ".", "western", True), "sv": ("\u00a0", ",", "western", False), "nb": ("\u00a0", ",", "western", False), "ru": ("\u00a0", ",", "western", False),
+    "pl": ("\u00a0", ",", "western", False), "cs": ("\u00a0", ",", "western", False), "hu": ("\u00a0", ",", "western", False),
+}
+#: Currencies without a fraction.
+WHOLE = ["JPY", "KRW", "VND", "IDR", "CLP"]
+
+
+def formatted(amount: Column, code: Column, signed: bool = True) -> Column:
+    """An amount as its currency's locale writes it: two digits of fraction or, of whole amounts and currencies without one, none.
+
+    Unknown currencies are written as in English after their code; a locale without a format of its own has that of its language, else the
+    English one.  Letters after a sign of more than one are kept apart from the digits by a space that does not break.
+    """
+    size = F.abs(amount).cast("decimal(18,2)")
+    whole = code.isin(*WHOLE) | (size == F.floor(size))
+    plain = F.when(whole, F.round(size, 0).cast("decimal(18,0)").cast("string")).otherwise(size.cast("string"))
+
+    def written(kind: tuple, sign: str | Column, letters: bool) -> Column:
+        mark, point, style, before = kind
+        digits, sign = grouped(plain, style, mark, point), F.lit(sign) if isinstance(sign, str) else sign
+        return F.concat(sign, F.lit("\u00a0" if letters else ""), digits) if before else F.concat(digits, F.lit("\u00a0"), sign)
+
+    out = None
+    for name, sign, locale, _ in CURRENCIES:
+        kind = FORMATS.get(locale) or FORMATS.get(locale[:2]) or FORMATS["en"]
+        one = written(kind, sign, sign[-1].isalpha() or sign.endswith("."))
+        out = F.when(code == name, one) if out is None else out.when(code == name, one)
+    out = out.otherwise(written(FORMATS["en"], code, True))
+    return F.when(amount < 0, F.concat(F.lit("-"), out)).otherwise(out) if signed else out
+
+
+def signed_amount(amount: Column, kind: Column, code: Column) -> Column:
+    """Money out with a minus, money in without a sign, whatever sign the amount has."""
+    return formatted(F.when(kind == "debit", -F.abs(amount)).otherwise(F.abs(amount)), code)

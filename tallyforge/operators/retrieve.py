@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import tokens
@@ -41,8 +41,39 @@ def route(question: str) -> dict:
     return {"history": 6, "rows": 8, "letters": 3400}
 
 
-def context(lines: list[str], letters: int = 3500, least: int = 3) -> str:
-    """The lines of a chosen few rows, the last left out until they fit, then cut."""
+LETTERS, LEAST, BATCH = 3500, 3, 20
+
+
+def contexts(lines: DataFrame, keys: list[str], line: str = "line", order: str = "ord", letters: int = LETTERS, least: int = LEAST, heads: DataFrame | None = None) -> DataFrame:
+    """keys, lines (how many are kept) and text: of each key the first lines that fit the budget, ``least`` of them in any case, cut to it.
+
+    ``heads``: keys and ``head``, a text before the lines that counts too; a key with a head and no lines has the head alone.  Null
+    lines are none.  Of a key's lines only as many are gathered as fit.
+    """
+    own = Window.partitionBy(*keys).orderBy(order)
+    given = lines.filter(F.col(line).isNotNull())
+    if heads is not None:
+        given = given.join(heads.select(*keys, F.length("head").alias("_head")), keys, "left")
+    before = F.coalesce("_head", F.lit(-1)) if heads is not None else F.lit(-1)
+    run = F.sum(F.length(line) + 1).over(own.rowsBetween(Window.unboundedPreceding, 0)) + before
+    kept = given.withColumns({"_run": run, "_n": F.row_number().over(own)}).filter((F.col("_run") <= letters) | (F.col("_n") <= least))
+    out = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.substring(line, 1, letters).alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    if heads is not None:
+        out = heads.select(*keys, "head").join(out, keys, "full").select(*keys, F.coalesce("lines", F.lit(0)).alias("lines"), F.concat_ws("\n", "head", "text").alias("text"))
+    return out.withColumn("text", F.when(F.length("text") > letters, F.concat(F.substring("text", 1, letters - 3), F.lit("..."))).otherwise(F.col("text")))
+
+
+def prompt_batches(rows: DataFrame, bucket: Column, line: Column, order: str = "ord", size: int = BATCH) -> DataFrame:
+    """bucket, batch, n, text: prompts of ``size`` rows.  Rows are numbered within buckets (such as a hash of the id), so that no
+    order of all rows is needed; the last batch of a bucket may be smaller."""
+    each = rows.select(bucket.alias("bucket"), line.alias("line"), F.col(order).alias("ord"))
+    each = each.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("ord")) - 1) / size).cast("long"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return each.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
+
+
+def context(lines: list[str], letters: int = LETTERS, least: int = LEAST) -> str:
+    """contexts() of the lines of a chosen few rows, in the driver."""
     kept = list(lines)
     while len("\n".join(kept)) > letters and len(kept) > least:
         kept.pop()

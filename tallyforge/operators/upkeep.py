@@ -10,22 +10,25 @@ from tallyforge.functions.text import bound
 from .cards import CARD, DEFAULT_APR, latest
 from .spending import half_up, is_excluded, is_expense, is_income, month_key
 
-#: Other names of categories.
-ALIASES = {"food": "dining", "restaurants": "dining", "transport": "transportation", "salary": "income", "medical": "healthcare", "rent": "housing", "subscriptions": "entertainment", "misc": "other", "uncategorized": "other"}
+#: Other names of categories; of several within a text the first here counts.
+ALIASES = {
+    "bill_payment": "bills", "bill-pay": "bills", "billpay": "bills", "bill payments": "bills", "loan_payment": "bills", "loan-payment": "bills", "emi": "bills", "credit_card_payment": "bills", "cc_payment": "bills",
+    "imps_transfer": "transfer", "neft_transfer": "transfer", "rtgs_transfer": "transfer", "bank_transfer": "transfer", "money_transfer": "transfer", "fund_transfer": "transfer", "p2p_transfer": "transfer", "wire_transfer": "transfer",
+    "insurance_payment": "insurance", "insurance_premium": "insurance", "premium": "insurance", "salary": "income", "wages": "income", "payroll": "income", "earnings": "income",
+    "interest_credit": "interest", "interest_income": "interest", "bank_interest": "interest", "dividend": "investment", "stocks": "investment", "crypto": "investment", "trading": "investment",
+}
 
 
 def normalize_category(col: Column, known: list[str]) -> Column:
-    """A known id from free text: itself, an alias, an id or alias that holds it or is held by it, else 'other'."""
+    """A known id from free text: itself, an alias, or the first alias that holds it or is held by it, else 'other' (as for no text)."""
     return bound(F.regexp_replace(F.lower(F.trim(F.coalesce(col, F.lit("")))), r"\s+", "_"), lambda t: _known_id(t, known))
 
 
 def _known_id(t: Column, known: list[str]) -> Column:
-    out = F.when(t == "", "other").when(t.isin(*known), t)
-    for alias, name in ALIASES.items():
-        out = out.when(t == alias, name)
-    for alias, name in [*((k, k) for k in known), *ALIASES.items()]:
-        out = out.when(t.contains(alias) | F.lit(alias).contains(t), name)
-    return out.otherwise("other")
+    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in ALIASES.items()])
+    part = F.get(F.filter(table, lambda x: t.contains(x["alias"]) | x["alias"].contains(t)), 0)["name"]
+    whole = F.get(F.filter(table, lambda x: x["alias"] == t), 0)["name"]
+    return F.when(t == "", "other").when(t.isin(*known), t).otherwise(F.coalesce(whole, part, F.lit("other")))
 
 
 def direction(col: Column) -> Column:

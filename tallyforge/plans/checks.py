@@ -8,6 +8,7 @@ from tallyforge.functions import answers, schema
 from tallyforge.operators import evidence as e
 from tallyforge.operators import verify
 from tallyforge.operators.extraction import ASK, extract
+from tallyforge.operators.retrieve import contexts, prompt_batches
 from tallyforge.plans.registry import cents, direct, lakh, query, thousand
 
 # A customer's statement: a line an order, written in changing ways; the rows to check are the orders, some with another
@@ -187,3 +188,22 @@ def card_summary_errors(spark, sf_dir):
     text = _SUMMARY.replace("strftime(ts, '%d/%m/%Y')", "date_format(ts, 'dd/MM/yyyy')").replace("strftime(ts, '%Y-%m-%d')", "date_format(ts, 'yyyy-MM-dd')").replace("(100 + user_id)::varchar", "cast(100 + user_id as string)")
     said = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{text} as said")
     return said.select("event_id", F.array_join(schema.errors(F.try_parse_json("said"), answers.CARD_SUMMARY), "; ").alias("problems"))
+
+
+@direct("conversation_contexts", """
+with h as (select conv_id, 'Conversation ' || conv_id || ', ' || count(*) || ' turns' as head from conversations group by conv_id),
+l as (select conv_id, turn, role || ': ' || text as line from conversations where text is not null and role is not null),
+r as (select l.*, row_number() over w as n, sum(length(line) + 1) over w + length(head) as run from l join h using (conv_id) window w as (partition by conv_id order by turn, line)),
+k as (select conv_id, count(*) as lines, string_agg(left(line, 1200), chr(10) order by n) as t from r where run <= 1200 or n <= 3 group by conv_id),
+f as (select conv_id, coalesce(lines, 0) as lines, case when t is null then head else head || chr(10) || t end as text from h left join k using (conv_id))
+select conv_id, lines, case when length(text) > 1200 then left(text, 1197) || '...' else text end as text from f""")
+def conversation_contexts(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    heads = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select("conv_id", F.concat(F.lit("Conversation "), "conv_id", F.lit(", "), "n", F.lit(" turns")).alias("head"))
+    lines = turns.select("conv_id", F.concat("role", F.lit(": "), "text").alias("line"), "turn").withColumn("ord", F.struct("turn", "line"))
+    return contexts(lines, ["conv_id"], letters=1200, heads=heads)
+
+
+@query("prompt_batches", "ev", "with n as (select merchant, ord, id, (row_number() over (partition by merchant order by ord) - 1) // 20 as batch, id || ' ' || description as line from ev) select merchant as bucket, batch, count(*) as n, string_agg(line, chr(10) order by ord) as text from n group by all")
+def prompt_batches_of_events(ev):
+    return prompt_batches(ev, F.col("merchant"), F.concat(F.col("id").cast("string"), F.lit(" "), "description"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import currency, dates, money, text
 from tallyforge.operators import cards, payoff, rules, spending, upkeep, verify
 from tallyforge.operators.graph import shared_folder
-from tallyforge.plans.registry import cents, query
+from tallyforge.plans.registry import cents, lakh, query, thousand
 from tallyforge.sources import files, store
 from tallyforge.sources.tables import ORDERS_AS_OF
 
@@ -47,10 +47,12 @@ def currency_scored(od):
     return od.select("id", currency.detect_currency(_currency_text()).alias("code"))
 
 
-@query("currency_of_headers", "od", "select id, case id % 3 when 0 then 'INR' when 1 then 'EUR' end as code from od")
+@query("currency_of_headers", "od", "select id, case when original_currency in ('USD', 'EUR', 'GBP') or status = 'F' then original_currency when status = 'P' then 'INR' end as code from od")
 def currency_of_headers(od):
-    heads = F.when(F.col("id") % 3 == 0, F.array(F.lit("Date"), F.lit("Debit(₹)"))).when(F.col("id") % 3 == 1, F.array(F.lit("Date"), F.lit("Amount (EUR)"))).otherwise(F.array(F.lit("Date"), F.lit("Amount")))
-    return od.select("id", currency.currency_of_headers(heads).alias("code"))
+    """A column for the order's own currency by code, by sign or not at all, beside columns that name none."""
+    code, status = F.col("original_currency"), F.col("status")
+    own = F.when(code.isin("USD", "EUR", "GBP") | (status == "F"), F.concat(F.lit("Amount ("), code, F.lit(")"))).when(status == "P", "Debit (₹)").otherwise("Amount")
+    return od.select("id", currency.currency_of_headers(F.array(F.lit("Date"), F.concat(F.lit("Status "), status), own)).alias("code"))
 
 
 @query("currency_plain", "od", f"with x as (select id, {_CUR_TEXT} as t from od) select id, coalesce(nullif(regexp_extract(t, '\\b(INR|USD|EUR|GBP|JPY|AUD|CAD)\\b', 1), ''), case when contains(t, '₹') or contains(t, 'Rupee') then 'INR' when contains(t, '$') or contains(t, 'Dollar') then 'USD' when contains(t, '€') or contains(t, 'Euro') then 'EUR' when contains(t, '£') or contains(t, 'Pound') then 'GBP' end) as code from x")
@@ -148,19 +150,28 @@ def server_urls(od):
     return od.select("id", text.server_url(_pick(_URLS, F.col("id"))).alias("u")).select("id", "u.*")
 
 
-_DATES = ["2024-02-29", "29/02/2023", "03/04/2024", "13-04-2024", "04-13-2024", "24-01-31", "5 Mar, 2024", "05-Mar-2024", "31 Feb 2024", "2024/1/5", "1899-01-01", "", "07/08/24"]
-_DATE_OUT = ["2024-02-29", None, "2024-04-03", "2024-04-13", "2024-04-13", "2024-01-31", "2024-03-05", "2024-03-05", None, None, None, None, None]
+_ODD_DATE = """case id % 6 when 0 then strftime(date, '%Y-%m-%d') when 1 then strftime(date, '%d/%m/%Y') when 2 then strftime(date, '%m-%d-%Y') when 3 then day(date) || ' ' || strftime(date, '%b, %Y') when 4 then strftime(date, '%y-%m-%d') else strftime(date, '31/%m/%Y') end"""
+_READ_DATE = """case id % 6 when 2 then case when day(date) > 12 then date::date else make_date(year(date), day(date), month(date)) end when 4 then (date::date + to_years((year(date) // 100 = 19)::int * 100))::date
+  when 5 then case when day(last_day(date)) = 31 then last_day(date) end else date::date end"""
 
 
-@query("checked_dates", "od", "select id, ([" + ", ".join(f"date '{d}'" if d else "null" for d in _DATE_OUT[:-1] + ["2007-08-24"]) + f"])[(id % {len(_DATES)} + 1)::int] as date from od")
+def _odd_date() -> Column:
+    f = lambda pattern: F.date_format("date", pattern)
+    k = F.col("id") % 6
+    return F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("dd/MM/yyyy")).when(k == 2, f("MM-dd-yyyy")).when(k == 3, f("d MMM, yyyy")).when(k == 4, f("yy-MM-dd")).otherwise(F.concat(F.lit("31/"), f("MM/yyyy")))
+
+
+@query("checked_dates", "od", f"select id, {_READ_DATE} as date from od")
 def checked_dates(od):
-    return od.select("id", dates.checked_date(_pick(_DATES, F.col("id"))).alias("date"))
+    return od.select("id", dates.checked_date(_odd_date()).alias("date"))
 
 
-@query("bank_summary_checks", "od", "with x as (select id, " + ", ".join("list_contains([2, 9, 10, 11, 12], ((id + " + str(k) + ") % 13)::int)::int as b" + str(k) for k in range(1)) + " from od), y as (select id, (id % 13) in (1, 8, 9, 10, 11) as a, ((id // 13) % 13) in (1, 8, 9, 10, 11) as b, id % 7 <> 0 and (id % 13) in (1, 8, 9, 10, 11) as c from od) select id, a::int + b::int + c::int as n from y")
+@query("bank_summary_checks", "od", f"with x as (select id, date, status, ({_READ_DATE}) is null as a, day(last_day(date)) < 30 as b from od) select id, a::int + (status = 'P' and b)::int + (status = 'O')::int as n from x")
 def bank_summary_checks(od):
-    i = F.col("id")
-    s = od.select("id", _pick(_DATES, i).alias("statement_date"), _pick(_DATES, F.floor(i / 13)).alias("period_start"), F.when(i % 7 != 0, _pick(_DATES, i)).alias("period_end"))
+    """Summaries of the orders' days: some last days that a month lacks, a first day or none, a word for the last."""
+    start = F.when(F.col("status") == "P", F.concat(F.lit("30/"), F.date_format("date", "MM/yyyy")))
+    end = F.when(F.col("status") == "O", F.concat(F.col("status"), F.date_format("date", "MM"))).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    s = od.select("id", _odd_date().alias("statement_date"), start.alias("period_start"), end.alias("period_end"))
     return verify.check_bank_summary(s).select("id", F.size("problems").alias("n"))
 
 
@@ -293,9 +304,10 @@ def not_recurring(sub):
     return upkeep.not_recurring(sub.filter("ord % 24 < 12"), sub.filter("ord % 36 < 12"))
 
 
-@query("statements_of_card", "st", "select ord from st where card_issuer = 'BUILDING' and card_last_four like '0001'")
+@query("statements_of_card", "st", f"select ord from st where ({K}) = (select min(({K})) from st)")
 def statements_of_card(st):
-    return cards.of_card(st, "BUILDING", "0001").select("ord")
+    first = st.agg(F.min(F.struct("card_issuer", "card_last_four")).alias("c")).first().c
+    return cards.of_card(st, first.card_issuer, first.card_last_four).select("ord")
 
 
 @query("unpaid_statements", "st", "select ord, payment_due_date from st where not is_paid")
@@ -397,9 +409,13 @@ def interest_totals(st):
     return t.select(cents("balance").alias("balance"), F.col("interest_cents").alias("interest"))
 
 
-@query("amount_forms_pdf", "od", "select id, case id % 7 when 0 then 123456 when 1 then -50000 when 2 then null when 3 then 1234 when 4 then 123400 when 5 then null else 9950 end::bigint as cents from od")
+@query("amount_forms_pdf", "od", "with x as (select id, round(amount * 100)::bigint as c, floor(amount)::bigint as w from od) select id, nullif(case id % 6 when 0 then c when 1 then -c when 2 then w * 100 when 3 then c when 4 then c when 5 then case when c % 2 = 0 then null else c end end, 0) as cents from x")
 def amount_forms_pdf(od):
-    return od.select("id", F.round(money.parse_amount(_pick(["1,234.56", "(500.00)", "--", "12,34", "₹ 1,234 cr.", "0.00", "99.50 CR"], F.col("id")), zero_is_null=True) * 100).cast("long").alias("cents"))
+    k, plain = F.col("id") % 6, F.col("amount").cast("string")
+    west, east = money.grouped(plain), money.grouped(plain, "indian")
+    said = F.when(k == 0, west).when(k == 1, F.concat(F.lit("("), plain, F.lit(")"))).when(k == 2, F.substring_index(west, ".", 1)).when(k == 3, F.concat(F.lit("₹ "), east, F.lit(" cr."))).when(k == 4, money.grouped(plain, "western", ".", ","))
+    odd = F.when(cents("amount") % 2 == 0, "--").otherwise(F.concat(plain, F.lit(" CR")))
+    return od.select("id", F.round(money.parse_amount(F.coalesce(said, odd), zero_is_null=True) * 100).cast("long").alias("cents"))
 
 
 @query("column_rows", "od", "select id // 10 as page, row_number() over (partition by id // 10 order by id) as row, 'D' || id as date, 'item ' || id || ' paid' || case when id % 3 = 0 then ' more words' else '' end as description, case when id % 2 = 0 then (id % 97)::varchar else '' end as debit, case when id % 2 = 1 then (id % 97)::varchar else '' end as credit, case when id % 3 <> 1 then (id % 89)::varchar else '' end as balance from od")
@@ -454,3 +470,15 @@ def stored_ledger(ev):
     ledger.add(odd.withColumn("id", F.col("id") + 1_000_000))
     ledger.add(odd)
     return ledger.read().select("id", cents("amount").alias("cents"), "category", "date")
+
+
+@query("money_format", "od", f"""
+with x as (select id, (['USD', 'EUR', 'GBP', 'JPY', 'INR'])[(id % 5 + 1)::int] as code, case when id % 3 = 0 then floor(amount) else amount end::decimal(18,2) as a, type from od),
+y as (select *, split_part(a::varchar, '.', 1) as w, split_part(a::varchar, '.', 2) as f, round(a)::bigint::varchar as r from x),
+z as (select id, type, case code when 'JPY' then '¥' || {thousand('r')} when 'INR' then '₹' || {lakh('w')} || case when f = '00' then '' else '.' || f end when 'EUR' then {thousand('w', '.')} || case when f = '00' then '' else ',' || f end || chr(160) || '€'
+  when 'GBP' then '£' || {thousand('w')} || case when f = '00' then '' else '.' || f end else '$' || {thousand('w')} || case when f = '00' then '' else '.' || f end end as t from y)
+select id, case when type = 'debit' then '-' else '' end || t as shown, t as plain from z""")
+def money_format(od):
+    code = F.element_at(F.array(*[F.lit(c) for c in ("USD", "EUR", "GBP", "JPY", "INR")]), (F.col("id") % 5 + 1).cast("int"))
+    amount = F.when(F.col("id") % 3 == 0, F.floor("amount")).otherwise(F.col("amount")).cast("decimal(18,2)")
+    return od.select("id", currency.signed_amount(amount, F.col("type"), code).alias("shown"), currency.formatted(-amount, code, signed=False).alias("plain"))

@@ -17,10 +17,13 @@ K = "card_issuer, card_last_four"
 _LATEST = f"lt as (select * from (select *, row_number() over (partition by {K} order by statement_date desc, ord) as rn from st) where rn = 1)"
 
 
-@query("category_normalize", "od", "select id, case id % 5 when 0 then category when 1 then 'dining' when 2 then 'income' when 3 then 'other' else 'travel' end as category from od")
+_GIVEN = "case id % 7 when 0 then upper(category) when 1 then category || ' payment' when 2 then ' My  ' || category || ' ' when 3 then lower(card_issuer) when 4 then 'salary for ' || status when 5 then left(category, 3) else 'Loan Payment' end"
+_TABLE = "[" + ", ".join(f"{{'alias': '{a}', 'name': '{n}'}}" for a, n in u.ALIASES.items()) + "]"
+
+
+@query("category_normalize", "od", f"with x as (select id, regexp_replace(lower(trim({_GIVEN})), '\\s+', '_', 'g') as t from od) select id, case when t = '' then 'other' when t in ({', '.join(repr(k) for k in KNOWN)}) then t else coalesce(list_filter({_TABLE}, lambda x: x.alias = t)[1].name, list_filter({_TABLE}, lambda x: contains(t, x.alias) or contains(x.alias, t))[1].name, 'other') end as category from x")
 def category_normalize(od):
-    given = F.when(F.col("id") % 5 == 0, F.initcap("category")).when(F.col("id") % 5 == 1, " Food ").when(F.col("id") % 5 == 2, "monthly salary").when(F.col("id") % 5 == 3, "???").otherwise("business travel")
-    return od.select("id", u.normalize_category(given, KNOWN).alias("category"))
+    return od.select("id", u.normalize_category(F.expr(_GIVEN), KNOWN).alias("category"))
 
 
 @query("delete_rows", "ev", "select id from ev where id % 3 <> 0")
@@ -116,10 +119,12 @@ def nearest_columns(od):
     return u.nearest_column(od.select(page, F.col("id").alias("item"), x.alias("x")), heads, "page")
 
 
-@query("lenient_json", "ev", "select id, case id % 4 when 3 then 0 else 2 end as n, case id % 4 when 3 then null else 'dining' end as category, case id % 4 when 3 then null when 0 then 0.9 else 0.2 end::double as confidence from ev")
+@query("lenient_json", "ev", "select id, case when id % 4 = 3 then 0 else 1 + (category in ('income', 'dining'))::int end as n, case when id % 4 = 3 then null when category in ('income', 'dining') then category else 'travel' end as category, case when id % 4 = 3 then null when category in ('income', 'dining') and amount <= 50 then (amount / 50)::decimal(18,4)::double when category in ('income', 'dining') then 0.2 else 0.5 end::double as confidence from ev")
 def lenient_json(ev):
-    row = lambda conf: f'{{"id": "a", "category": "dining", "confidence": {conf}}}, {{"id": "b", "category": "travel", "confidence": 0.5}}, {{"id": "", "category": "travel"}}, {{"id": "x", "category": "none"}}'
-    answers = {0: f"[{row(0.9)}]", 1: f"Sure!\n```json\n[{row(7)}]\n```", 2: f"Here it is: [{row(-1)},] as asked"}
-    said = F.when(F.col("id") % 4 == 0, answers[0]).when(F.col("id") % 4 == 1, answers[1]).when(F.col("id") % 4 == 2, answers[2]).otherwise("I can not")
-    df = ev.select("id", js.categorized(said, KNOWN).alias("r"))
-    return df.select("id", F.size("r").alias("n"), F.get("r", 0)["category"].alias("category"), F.get("r", 0)["confidence"].alias("confidence"))
+    """Answers about the events, bare, fenced or within words; categories that are not asked for and odd confidences among them."""
+    sure = (F.col("amount") / 50).cast("decimal(18,4)").cast("string")
+    rows = F.concat(F.lit('{"id": "a", "category": "'), F.col("category"), F.lit('", "confidence": '), sure, F.lit('}, {"id": "b", "category": "travel", "confidence": 0.5}, {"id": "", "category": "travel"}'))
+    k = F.col("id") % 4
+    said = F.when(k == 0, F.concat(F.lit("["), rows, F.lit("]"))).when(k == 1, F.concat(F.lit("Sure!\n```json\n["), rows, F.lit("]\n```"))).when(k == 2, F.concat(F.lit("Here it is: ["), rows, F.lit(",] as asked"))).otherwise("I can not")
+    df = ev.select("id", js.categorized(said, ["income", "dining", "travel"]).alias("r"))
+    return df.select("id", F.size("r").alias("n"), F.get("r", 0)["category"].alias("category"), F.get("r", 0)["confidence"].alias("confidence"))
\ No newline at end of file

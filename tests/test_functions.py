@@ -180,3 +180,20 @@ def test_names_and_keys(spark, written, name, key):
 def test_line_description(spark):
     assert one(spark, text.clean_description, "05 Jan 2024 Corner Bakery ₹ 1,200.50 DR 10:30 pm") == "Corner Bakery"
     assert one(spark, text.clean_description, "2024-01-05 Ref No. X9 Tool Hut 12.00 CR") == "Tool Hut" and one(spark, text.clean_description, "05/01/2024 12.00") == "Transaction"
+
+
+def test_contexts(spark):
+    """Lines per key up to a budget, three in any case, as the driver's own version gives them."""
+    given = {"a": [f"line {i} {'x' * (i * 3)}" for i in range(12)], "b": ["y" * 90] * 5, "c": ["z"], "d": []}
+    lines = spark.createDataFrame([(k, i, x) for k, v in given.items() for i, x in enumerate([*v, None])], "k string, ord int, line string")
+    got = {r.k: (r.lines, r.text) for r in retrieve.contexts(lines, ["k"], letters=150).collect()}
+    assert {k: t for k, (_, t) in got.items()} == {k: retrieve.context(v, 150) for k, v in given.items() if v} and got["b"][0] == 3
+    heads = spark.createDataFrame([("c", "H"), ("d", "only")], "k string, head string")
+    more = {r.k: r.text for r in retrieve.contexts(lines.filter("k in ('c', 'd')"), ["k"], letters=150, heads=heads).collect()}
+    assert more == {"c": "H\nz", "d": "only"}
+
+
+def test_money_formats(spark):
+    f = lambda a, c: spark.createDataFrame([(c,)], "c string").select(currency.formatted(F.lit(a).cast("decimal(18,2)"), F.col("c")).alias("x")).first().x
+    assert [f("1234567.50", c) for c in ("USD", "INR", "EUR", "JPY", "SEK", "XXX")] == ["$1,234,567.50", "₹12,34,567.50", "1.234.567,50 €", "¥1,234,568", "1 234 567,50 kr", "XXX 1,234,567.50"]
+    assert f("-12.00", "GBP") == "-£12" and f("0.05", "USD") == "$0.05" and f(None, "USD") is None
