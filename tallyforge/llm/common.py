@@ -30,7 +30,7 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
 
 
 def literal(values: list) -> Column:
-    """An array of longs or doubles, or of such arrays, as one expression: F.lit() asks the JVM for each entry."""
+    """An array of longs or doubles, or of such arrays, as one expression (F.lit() asks the JVM for each entry)."""
     text = lambda v: f"array({', '.join(map(text, v))})" if isinstance(v, list) else f"{v!r}{'D' if isinstance(v, float) else 'L'}"
     return F.expr(text(values))
 

@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup, without a shuffle of pre-tokens.
 
-First tier: one compact table of the frequent pre-tokens' token counts, broadcast.  It is found in one pass over all
-texts: each task keeps bounded counters of its own pre-tokens and sends its most frequent ones, whose sums are merged
-and cut to the table's size.  Second tier: each worker's cache of the other pre-tokens, filled by the tokenizer and
+First tier: one compact table of the frequent pre-tokens' token counts, broadcast.  It is fitted on a sample of some
+SAMPLE_TEXTS texts, however many there are: tasks count the pre-tokens of the sample's texts that they hold and send the most frequent
+ones, whose sums are cut to the table's size.  Second tier: each worker's cache of the other pre-tokens, filled by the tokenizer and
 emptied when full.  The table only saves time; any table gives the same counts.
 
 Pre-tokens are runs of spaces with the characters up to the next space.  No piece of the vocabulary has a space after
@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Entries of the broadcast table and the longest pre-token in it (UTF-8 bytes): at most 2 MB in all.
 TABLE_SIZE = 32_768
 TABLE_BYTES = 48
+#: Texts of the sample that the table is fitted on, about.
+SAMPLE_TEXTS = 4_096
 #: Counters of one task, and how many it sends.
 TASK_COUNTERS = 200_000
 TASK_SENDS = 4_096
@@ -90,10 +91,15 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_table(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
-    """The most frequent pre-tokens with their token counts; at most TABLE_SIZE entries reach the driver."""
-    rows = docs.select(text).mapInArrow(_heavy, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_SIZE).collect()
+    """The most frequent pre-tokens of a sample of the texts with their token counts.
+
+    Nothing is shuffled; what reaches the driver is bounded by the words of the sample."""
+    share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
+    counts: Counter = Counter()
+    for r in docs.select(text).sample(share, seed=6).mapInArrow(_heavy, "word string, n long").collect():
+        counts[r.word] += r.n
     model, _ = pieces_model(path)
-    words = [r.word for r in rows]
+    words = sorted(counts, key=lambda w: (-counts[w], w))[:TABLE_SIZE]
     return dict(zip(words, map(len, model.encode(words, num_threads=1)), strict=True)) if words else {}
 
 
