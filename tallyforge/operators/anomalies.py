@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import levenshtein_similarity
-
+from .alike import first_partners
 from .spending import half_up, is_expense
 
 #: Fixed values of the detectors.
@@ -44,26 +43,9 @@ def global_outliers(txns: DataFrame, z: float = 2.0, k: int = 5) -> DataFrame:
     return df.orderBy(F.col("z").desc(), "ord").limit(k).select("id", "amount", half_up(F.col("z") * 100).cast("long").alias("z_hundredths"))
 
 
-def duplicate_candidates(txns: DataFrame, hours: float = DUPLICATE_HOURS, similarity: float = SIMILARITY, similar=levenshtein_similarity) -> DataFrame:
-    """Pairs (id, other, offset, other_ord) of expenses within a cent, ``hours`` and alike in description.
-
-    Rows meet by their amount in cents and by time buckets of the window's width, so that a popular amount spreads over
-    as many keys as it has buckets; each pair meets once.
-    """
-    width = int(hours * 3600)
-    seconds = F.unix_micros(F.col("date").cast("timestamp")) / 1_000_000
-    base = txns.filter(is_expense()).select("id", "ord", "description", F.round(F.abs("amount") * 100, 0).cast("long").alias("cent"), seconds.alias("at"))
-    base = base.withColumn("bucket", F.floor(F.col("at") / width))
-    left = base.withColumn("offset", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    left = left.withColumns({"lc": F.col("cent") + F.col("offset"), "lb": F.col("bucket") + F.col("shift")})
-    right = base.select(F.col("id").alias("other"), F.col("ord").alias("other_ord"), F.col("description").alias("other_description"), F.col("cent").alias("rc"), F.col("at").alias("other_at"), F.col("bucket").alias("rb"))
-    on = (F.col("lc") == F.col("rc")) & (F.col("lb") == F.col("rb")) & (F.col("id") != F.col("other")) & (F.abs(F.col("at") - F.col("other_at")) <= width)
-    return left.join(right, on).filter(similar(F.col("description"), F.col("other_description")) >= similarity).select("id", "other", "offset", "other_ord")
-
-
-def duplicates(txns: DataFrame, **how) -> DataFrame:
-    """id and duplicate_of: the first candidate by cent offset, then ingest order."""
-    return duplicate_candidates(txns, **how).groupBy("id").agg(F.min(F.struct("offset", "other_ord", "other")).getField("other").alias("duplicate_of"))
+def duplicates(txns: DataFrame, hours: float = DUPLICATE_HOURS, similarity: float = SIMILARITY, measure: str = "edit") -> DataFrame:
+    """id and duplicate_of of expenses with another within a cent, ``hours`` and alike in description: the first by cent offset, then ingest order."""
+    return first_partners(txns, hours, similarity, measure)
 
 
 def window_counts(txns: DataFrame, key: str = "merchant") -> DataFrame:

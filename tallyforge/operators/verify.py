@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import checked_date, parse_date
-from tallyforge.functions.text import dice_similarity, noise_row, verification_text
+from tallyforge.functions.text import noise_row, verification_text
 
-from .anomalies import duplicate_candidates
+from .alike import all_partners, earlier_partners
 
 TOLERANCE = 1.0
 ACCEPT = 75
@@ -49,10 +49,13 @@ def correct_by_balance(rows: DataFrame, keys: list[str], tolerance: float = 0.01
 
 
 def near_duplicates(txns: DataFrame, hours: float = 24, similarity: float = 0.85) -> DataFrame:
-    """id, other: rows with an earlier one within a cent and a day, alike in letter pairs."""
-    lower = lambda a, b: dice_similarity(F.lower(F.trim(a)), F.lower(F.trim(b)))
-    order = txns.select(F.col("id").alias("i"), F.col("ord").alias("own_ord"))
-    return duplicate_candidates(txns, hours=hours, similarity=similarity, similar=lower).join(order, F.col("id") == F.col("i")).filter("other_ord < own_ord").select("id", "other")
+    """id, other: rows with an earlier one within a cent and a day, alike in letter pairs; all such pairs."""
+    return all_partners(txns, hours, similarity, "dice")
+
+
+def near_duplicate_report(txns: DataFrame, hours: float = 24, similarity: float = 0.85) -> DataFrame:
+    """id, matched_with: each such row once, with the first of its earlier ones, so that it grows with the rows only."""
+    return earlier_partners(txns, hours, similarity, "dice")
 
 
 def merge_confidence(warnings: Column) -> Column:

@@ -49,6 +49,13 @@ def near_duplicate_pairs(ev):
     return verify.near_duplicates(ev)
 
 
+@query("near_duplicate_report", "ev", f"with {_PAIRS.format(us=86400000000, sim=_DICE, least=0.85)} select id, arg_min(other, other_ord) as matched_with from p where other_ord < ord group by id")
+def near_duplicate_report(ev):
+    from tallyforge.operators import verify
+
+    return verify.near_duplicate_report(ev)
+
+
 _WC = "count(*) over (partition by merchant order by date range between interval {x} preceding and interval {x} following)"
 
 
