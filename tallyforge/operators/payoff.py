@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import stored
+
 #: Smallest payment as a part of the balance and in money, and the longest simulation.
 MIN_PART, MIN_MONEY, MAX_MONTHS = 0.05, 200.0, 600
 
@@ -65,18 +67,29 @@ def projections(cards: DataFrame, scales: tuple[float, ...] = (1.1, 1.25, 1.5, 2
 def strategy(cards: DataFrame, available: float, order: str = "avalanche", group: list[str] | None = None) -> DataFrame:
     """Payments from a budget: minimums first, then the rest by rate (avalanche) or balance (snowball), as running sums.
 
-    ``cards``: ord, balance, apr.  ``group``: each group has a budget of its own.
+    ``cards``: ord, balance, apr.  ``group``: each group has a budget of its own.  Cards are laid out in ranges of the
+    order; a card's sums are those of the ranges before its own, of which there are as many as tasks, and those within
+    it, so that one budget over all cards is not one task's work.  The ranges are a table, as they come from a sample.
     """
-    keys = [F.col("apr").desc(), "ord"] if order == "avalanche" else ["balance", "ord"]
-    w = Window.partitionBy(*(group or [])).orderBy(*keys)
-    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = lambda c: F.sum(c).over(Window.partitionBy(*(group or [])))
+    group = group or []
+    keys = [F.col("apr").desc(), F.col("ord")] if order == "avalanche" else [F.col("balance"), F.col("ord")]
     zero, a = F.lit(0.0), F.lit(float(available))
-    df = cards.withColumn("least", F.least(F.greatest(F.col("balance") * MIN_PART, F.lit(MIN_MONEY)), F.col("balance")))
-    base = F.least(F.col("least"), F.greatest(zero, a - before("least")))
-    df = df.withColumns({"base": base, "open": F.col("balance") - F.col("least"), "rest": F.greatest(zero, a - total("least"))})
-    extra = F.least(F.col("open"), F.greatest(zero, F.col("rest") - before("open")))
-    return df.withColumn("payment", F.col("base") + extra).withColumn("priority", F.row_number().over(w)).drop("least", "base", "open", "rest")
+    df = cards.withColumn("_least", F.least(F.greatest(F.col("balance") * MIN_PART, F.lit(MIN_MONEY)), F.col("balance"))).withColumn("_open", F.col("balance") - F.col("_least"))
+    tasks = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = stored(df.repartitionByRange(tasks, *[F.col(g) for g in group], *keys).withColumn("_range", F.spark_partition_id()))
+    sums = ["_least", "_open", "_n"]
+    ranges = df.withColumn("_n", F.lit(1)).groupBy(*group, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums], F.sum("_least").over(Window.partitionBy(*group)).alias("_all"))
+    on = F.col("_range") == F.col("_of")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    w = Window.partitionBy(*group, "_range").orderBy(*keys)
+    before = lambda c: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    base = F.least(F.col("_least"), F.greatest(zero, a - before("_least")))
+    extra = F.least(F.col("_open"), F.greatest(zero, F.greatest(zero, a - F.col("_all")) - before("_open")))
+    df = df.join(ranges, on).withColumns({"payment": base + extra, "priority": (F.col("_n_before") + F.row_number().over(w)).cast("int")})
+    return df.select(*cards.columns, "payment", "priority")
 
 
 def debt_free_months(total: Column, apr: Column, payment: Column, most: int = 120) -> Column:

@@ -76,6 +76,28 @@ def test_strategies(spark):
     assert pay("avalanche") == {1: 1_800, 2: 200} and pay("snowball") == {1: 500, 2: 1_500}
 
 
+@pytest.mark.parametrize("how", ["avalanche", "snowball"])
+def test_strategy_of_many_cards(spark, how):
+    """One budget over 200,000 cards in several ranges, with equal rates and balances, against the allocation card by card."""
+    cards = spark.range(200_000).select(F.col("id").alias("ord"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("balance"), (F.col("id") % 3 / 10).alias("apr"), F.lit(None).cast("string").alias("owner"))
+    cards = cards.withColumn("balance", F.col("balance") * 100)
+    rows = sorted(cards.collect(), key=lambda r: (-r.apr, r.ord) if how == "avalanche" else (r.balance, r.ord))
+    left, paid = 150_000_000.0, {}
+    for r in rows:
+        paid[r.ord] = min(min(max(r.balance * payoff.MIN_PART, payoff.MIN_MONEY), r.balance), left)
+        left -= paid[r.ord]
+    for r in rows:
+        more = min(r.balance - paid[r.ord], left)
+        paid[r.ord], left = paid[r.ord] + more, left - more
+    for group in (None, ["owner"]):
+        got = payoff.strategy(cards, 150_000_000, how, group)
+        assert got.columns == [*cards.columns, "payment", "priority"]
+        got = got.collect()
+        assert len(got) == len(rows) and all(abs(r.payment - paid[r.ord]) < 1e-3 for r in got)
+        assert [r.ord for r in sorted(got, key=lambda r: r.priority)] == [r.ord for r in rows] and sorted(r.priority for r in got) == list(range(1, len(rows) + 1))
+    assert payoff.strategy(cards.limit(0), 100, how).count() == 0
+
+
 def test_columns():
     m = statements.map_columns(["Txn Date", "Narration", "Withdrawal Amount", "Deposit Amount", "Closing Balance"])
     assert m.roles == {"date": "Txn Date", "debit": "Withdrawal Amount", "credit": "Deposit Amount", "balance": "Closing Balance"} and m.description == ["Narration"]
