@@ -10,7 +10,7 @@ from tallyforge.operators import cards as c
 from tallyforge.operators import rules
 from tallyforge.operators import upkeep as u
 from tallyforge.operators.spending import signed_amount
-from tallyforge.plans.registry import cents, query
+from tallyforge.plans.registry import cents, query, told_balance
 
 KNOWN = [r[0] for r in rules.REGISTRY]
 K = "card_issuer, card_last_four"
@@ -95,8 +95,7 @@ def opening_closing(ev):
 
 @query("balance_inference", "ev", "with f as (select *, lag(amount) over (partition by merchant order by ord) is not null as has from ev) select id, case when has then round(amount * 100)::bigint end as cents, case when has then type end as type, true as trusted from f")
 def balance_inference(ev):
-
-    b = ev.withColumn("balance", F.sum(signed_amount()).over(Window.partitionBy("merchant").orderBy("ord")))
+    b = ev.withColumn("balance", told_balance())
     lines = b.select("id", "ord", "merchant", "balance", F.array("amount", "balance").alias("amounts"))
     return u.infer_from_balance(lines, ["merchant"]).select("id", cents("amount").alias("cents"), "type", "trusted")
 
