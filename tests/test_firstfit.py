@@ -57,3 +57,10 @@ def test_one_common_word(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "name string, ord long")
     assert first_fit(df, F.lit("x")).count() == 0
+
+
+def test_no_table_goes_to_the_driver(spark):
+    """Tables of names and matches are small as files only; none may be broadcast, as it would pass through the driver whole."""
+    df = spark.createDataFrame([(f"shop {k}", k) for k in range(30)], "name string, ord long")
+    for out in (held_names(df), first_fit(df, F.lit("shop"))):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
