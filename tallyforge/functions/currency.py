@@ -118,14 +118,27 @@ def patterns() -> list[tuple[int, str, str, int]]:
     return [(rank, code, p, weight(p)) for rank, (code, _, _, more) in enumerate(CURRENCIES) for p in [rf"\b{code}\b", *more]]
 
 
+def held_letters(pattern: str) -> str:
+    """The longest text, in lower case, that every match of a pattern of CURRENCIES holds."""
+    fixed = re.sub(r"\\?.\?", "\0", re.sub(r"\\s\??", "\0", pattern.replace("\\b", "")))
+    return max(re.sub(r"\\(.)", r"\1", fixed).split("\0"), key=len).lower()
+
+
 def currency_scores(text: Column) -> Column:
-    """array<struct(score, rank, code)> of the currencies that occur; case counts for nothing."""
-    per_code: dict[str, Column] = {}
-    for _, code, p, weight in patterns():
-        points = weight * F.regexp_count(text, F.lit(f"(?i){p}"))
-        per_code[code] = per_code[code] + points if code in per_code else points
-    made = [F.struct(per_code[code].alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, *_) in enumerate(CURRENCIES)]
-    return F.filter(F.array(*made), lambda x: x["score"] > 0)
+    """array<struct(score, rank, code)> of the currencies that occur; case counts for nothing.
+
+    A pattern is only matched against texts that hold its letters, which few do.
+    """
+
+    def scores(low: Column) -> Column:
+        per_code: dict[str, Column] = {}
+        for _, code, p, weight in patterns():
+            points = F.when(low.contains(held_letters(p)), weight * F.regexp_count(text, F.lit(f"(?i){p}"))).otherwise(0)
+            per_code[code] = per_code[code] + points if code in per_code else points
+        made = [F.struct(per_code[code].alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, *_) in enumerate(CURRENCIES)]
+        return F.filter(F.array(*made), lambda x: x["score"] > 0)
+
+    return bound(F.lower(text), scores)
 
 
 def detect_currency(text: Column, head: int = 5000, tail: int = 2000) -> Column:

@@ -219,3 +219,17 @@ def test_money_formats(spark):
     f = lambda a, c: spark.createDataFrame([(c,)], "c string").select(currency.formatted(F.lit(a).cast("decimal(18,2)"), F.col("c")).alias("x")).first().x
     assert [f("1234567.50", c) for c in ("USD", "INR", "EUR", "JPY", "SEK", "XXX")] == ["$1,234,567.50", "₹12,34,567.50", "1.234.567,50 €", "¥1,234,568", "1 234 567,50 kr", "XXX 1,234,567.50"]
     assert f("-12.00", "GBP") == "-£12" and f("0.05", "USD") == "$0.05" and f(None, "USD") is None
+
+
+def test_letters_of_currency_patterns(spark):
+    """Every match of a pattern holds its letters, so texts without them need no search; the scores are those of all patterns."""
+    assert [currency.held_letters(p) for p in (r"\bINR\b", r"\bRs\.?\s", r"\bRupees?\b", r"COL\$", r"\bUS\s?Dollar", r"د\.إ", "Kč")] == ["inr", "rs", "rupee", "col$", "dollar", "د.إ", "kč"]
+    texts = ["paid rs. 5 and RS 6", "usdollar and US Dollar", "AR$ 5 Kč 9 zł", "POUNDSTERLING", "د.إ 5", "İNR inr ſek", "", None, "Rupee rupees eur EURO fr. 9"]
+    want = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    plain = F.concat(*[F.concat(F.coalesce((w * F.regexp_count("t", F.lit(f"(?i){p}"))).cast("string"), F.lit("0")), F.lit(f":{c},")) for _, c, p, w in currency.patterns()])
+    for r in want.select("k", plain.alias("all"), currency.currency_scores(F.col("t")).alias("got")).collect():
+        total = {}
+        for part in r["all"].split(",")[:-1]:
+            n, c = part.split(":")
+            total[c] = total.get(c, 0) + int(n)
+        assert {x.code: x.score for x in r.got} == {c: n for c, n in total.items() if n}
