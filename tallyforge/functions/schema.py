@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 @dataclass(frozen=True)
 class Field:
@@ -50,7 +52,11 @@ def _each(flags: list[tuple[Column, Column]]) -> Column:
 
 
 def _field_errors(v: Column, f: Field, path: Column) -> Column:
-    kind = kind_of(v)
+    """A value and its kind are worked out once, however many limits name them."""
+    return bound(F.struct(v.alias("v"), kind_of(v).alias("kind")), lambda x: _value_errors(x["v"], x["kind"], f, path))
+
+
+def _value_errors(v: Column, kind: Column, f: Field, path: Column) -> Column:
     missing = kind.isNull() | (kind == "null")
     wanted = "number" if f.kind == "integer" else f.kind
     wrong = F.lit(False) if f.kind == "any" else ~missing & (kind != wanted)
@@ -89,7 +95,11 @@ def _errors(v: Column, fields: tuple[Field, ...], prefix: Column) -> Column:
 
 
 def errors(v: Column, schema: Schema, place: str = "") -> Column:
-    """Errors of a variant; one, if it is no object (or there is none)."""
+    """Errors of a variant, which is worked out (parsed) once; one error, if it is no object (or there is none)."""
+    return bound(v, lambda x: _object_errors(x, schema, place))
+
+
+def _object_errors(v: Column, schema: Schema, place: str) -> Column:
     kind = kind_of(v)
     name = place or "answer"
     number = lambda n: F.when(kind_of(F.try_variant_get(v, f"$.{n}", "variant")) == "number", F.try_variant_get(v, f"$.{n}", "double"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import currency, dates, money, text
+from tallyforge.functions import answers, currency, dates, money, schema, text
 from tallyforge.operators import payoff, retrieve, rules, spending, verify
 from tallyforge.sources import statements, store
 
@@ -233,3 +233,9 @@ def test_letters_of_currency_patterns(spark):
             n, c = part.split(":")
             total[c] = total.get(c, 0) + int(n)
         assert {x.code: x.score for x in r.got} == {c: n for c, n in total.items() if n}
+
+
+def test_answers_are_parsed_once(spark):
+    """However many fields and limits a schema has, its column holds the answer's own expression once."""
+    for kind in (answers.CARD_SUMMARY, answers.CATEGORIZE_RESPONSE):
+        assert repr(schema.errors(F.try_parse_json("said"), kind)).count("parse_json") == 1
