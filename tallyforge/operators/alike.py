@@ -9,11 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import dice_similarity, levenshtein_similarity
+from tallyforge.functions.text import levenshtein_similarity
 
 from .spending import is_expense
 
-MEASURES = {"edit": levenshtein_similarity, "dice": dice_similarity}
+
+
+def letter_pairs(text: Column) -> Column:
+    """The different pairs of letters of a text, each as one number."""
+    code = lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long")
+    return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: code(i) * 0x110000 + code(i + 1)))).otherwise(F.array().cast("array<long>"))
+
+
+def _dice(a: str, b: str, x: str, y: str) -> Column:
+    """text.dice_similarity of folded texts from their letter pairs."""
+    both = F.size(x) + F.size(y)
+    return F.when(F.col(a) == F.col(b), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+
+
+#: What is worked out once for each point, and the likeness of two points' texts by it.
+MEASURES = {
+    "edit": (lambda text: F.lit(None).cast("array<long>"), lambda a, b, x, y: levenshtein_similarity(F.col(a), F.col(b))),
+    "dice": (letter_pairs, _dice),
+}
 #: A point looks for partners in its own cell and the later ones beside it, as (cents, stretches of time).
 FORWARD = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 POINT = ["cent", "at", "text"]
@@ -38,15 +56,16 @@ def linked_points(pts: DataFrame, hours: float, similarity: float, measure: str)
     ``offset`` is the other's cents less the own.
     """
     width = int(hours * 3_600_000_000)
-    cells = pts.select(*POINT, "first", F.floor(F.col("at") / width).alias("stretch"))
+    prepared, likeness = MEASURES[measure]
+    cells = pts.select(*POINT, "first", F.floor(F.col("at") / width).alias("stretch"), prepared(F.col("text")).alias("parts"))
     steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in FORWARD])
     left = cells.withColumn("step", F.explode(steps)).withColumns({"cell": F.col("cent") + F.col("step.c"), "time": F.col("stretch") + F.col("step.s")})
-    theirs = cells.select(*[F.col(c).alias(f"other_{c}") for c in [*POINT, "first", "stretch"]])
+    theirs = cells.select(*[F.col(c).alias(f"other_{c}") for c in [*POINT, "first", "stretch", "parts"]])
     same = (F.col("step.c") == 0) & (F.col("step.s") == 0)
     on = (F.col("cell") == F.col("other_cent")) & (F.col("time") == F.col("other_stretch")) & (F.abs(F.col("at") - F.col("other_at")) <= width)
     on = on & (~same | (F.struct("at", "text") < F.struct("other_at", "other_text")))
     own, other = [*POINT, "first"], [f"other_{c}" for c in [*POINT, "first"]]
-    found = left.join(theirs, on).filter(MEASURES[measure](F.col("text"), F.col("other_text")) >= similarity).select(*own, *other)
+    found = left.join(theirs, on).filter(likeness("text", "other_text", "parts", "other_parts") >= similarity).select(*own, *other)
     ways = F.array(F.struct(*own, *other), F.struct(*[F.col(o).alias(c) for c, o in zip(own, other)], *[F.col(c).alias(o) for c, o in zip(own, other)]))
     return found.select(F.explode(ways).alias("w")).select("w.*").withColumn("offset", F.col("other_cent") - F.col("cent"))
 

@@ -89,3 +89,10 @@ def test_one_amount_and_day(spark):
     earlier = {i: 0 for i in range(1, 100_000)} | {i: i - 1 for i in range(100_001, 100_200, 2)}
     assert dict(map(tuple, alike.earlier_partners(df, 24, 0.85, "dice").collect())) == earlier
     assert dict(map(tuple, alike.first_partners(df, 48, 0.8, "edit").collect())) == earlier | {0: 1} | {i: i + 1 for i in range(100_000, 100_200, 2)}
+
+
+def test_letter_pairs(spark):
+    """Numbers of pairs are as different as the pairs, and a point's are worked out before points meet."""
+    texts = ["", "a", "ab", "aaa", "abab", "é😀b", "user 17 user 17"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", alike.letter_pairs(F.col("text")).alias("p"))
+    assert {r.text: list(r.p) for r in df.collect()} == {t: [ord(a) * 0x110000 + ord(b) for a, b in dict.fromkeys(zip(t, t[1:]))] for t in texts}
