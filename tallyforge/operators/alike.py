@@ -1,15 +1,15 @@
 """Rows alike in amount, time and text.
 
 Rows of one cent, instant and text are one point, so that repeats, which make amounts and days crowded, cost nothing:
-only different texts of a cell, which is a cent and a stretch of time as long as the window, are compared, each pair once.
+only different texts of a cell, which is a cent and a stretch of time as long as the window, are compared.  All pairs are
+as many as there are, each compared once; the first partner of a point is looked for in order and ends at the first that is alike.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tallyforge.functions.text import levenshtein_similarity
+from pyspark.sql import types as T
 
 from .spending import is_expense
 
@@ -21,20 +21,29 @@ def letter_pairs(text: Column) -> Column:
     return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: code(i) * 0x110000 + code(i + 1)))).otherwise(F.array().cast("array<long>"))
 
 
-def _dice(a: str, b: str, x: str, y: str) -> Column:
+def _dice(a: Column, b: Column, x: Column, y: Column) -> Column:
     """text.dice_similarity of folded texts from their letter pairs."""
     both = F.size(x) + F.size(y)
-    return F.when(F.col(a) == F.col(b), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+    return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+
+
+def edits(text: Column, similarity: float) -> Column:
+    """The most edits with which a text no longer than this one is alike."""
+    n = F.length(text)
+    least = F.floor((1 - similarity) * n).cast("int")
+    return F.when(n == 0, 0).when(1 - (least + 1) / n >= similarity, least + 1).when(1 - least / n >= similarity, least).otherwise(least - 1)
 
 
-#: What is worked out once for each point, and the likeness of two points' texts by it.
+#: What is worked out once for each point, and whether two points' texts are alike by it.
 MEASURES = {
-    "edit": (lambda text: F.lit(None).cast("array<long>"), lambda a, b, x, y: levenshtein_similarity(F.col(a), F.col(b))),
-    "dice": (letter_pairs, _dice),
+    "edit": (edits, lambda a, b, x, y, _: F.call_function("levenshtein", a, b, F.greatest(x, y)) >= 0),
+    "dice": (lambda text, _: letter_pairs(text), lambda a, b, x, y, similarity: _dice(a, b, x, y) >= similarity),
 }
 #: A point looks for partners in its own cell and the later ones beside it, as (cents, stretches of time).
 FORWARD = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 POINT = ["cent", "at", "text"]
+#: Points of a crowded cell are searched in blocks of about BLOCK; SKIP of them are passed over at once after a find.
+BLOCK, SKIP = 512, 32
 
 
 def expense_rows(txns: DataFrame) -> DataFrame:
@@ -56,8 +65,8 @@ def linked_points(pts: DataFrame, hours: float, similarity: float, measure: str)
     ``offset`` is the other's cents less the own.
     """
     width = int(hours * 3_600_000_000)
-    prepared, likeness = MEASURES[measure]
-    cells = pts.select(*POINT, "first", F.floor(F.col("at") / width).alias("stretch"), prepared(F.col("text")).alias("parts"))
+    prepared, alike = MEASURES[measure]
+    cells = pts.select(*POINT, "first", F.floor(F.col("at") / width).alias("stretch"), prepared(F.col("text"), similarity).alias("parts"))
     steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in FORWARD])
     left = cells.withColumn("step", F.explode(steps)).withColumns({"cell": F.col("cent") + F.col("step.c"), "time": F.col("stretch") + F.col("step.s")})
     theirs = cells.select(*[F.col(c).alias(f"other_{c}") for c in [*POINT, "first", "stretch", "parts"]])
@@ -65,11 +74,47 @@ def linked_points(pts: DataFrame, hours: float, similarity: float, measure: str)
     on = (F.col("cell") == F.col("other_cent")) & (F.col("time") == F.col("other_stretch")) & (F.abs(F.col("at") - F.col("other_at")) <= width)
     on = on & (~same | (F.struct("at", "text") < F.struct("other_at", "other_text")))
     own, other = [*POINT, "first"], [f"other_{c}" for c in [*POINT, "first"]]
-    found = left.join(theirs, on).filter(likeness("text", "other_text", "parts", "other_parts") >= similarity).select(*own, *other)
+    found = left.join(theirs, on).filter(alike(*[F.col(c) for c in ("text", "other_text", "parts", "other_parts")], similarity)).select(*own, *other)
     ways = F.array(F.struct(*own, *other), F.struct(*[F.col(o).alias(c) for c, o in zip(own, other)], *[F.col(c).alias(o) for c, o in zip(own, other)]))
     return found.select(F.explode(ways).alias("w")).select("w.*").withColumn("offset", F.col("other_cent") - F.col("cent"))
 
 
+def _blocks(pts: DataFrame, width: int, parts: Column) -> DataFrame:
+    """cent, stretch, block, members: the points of each cell, those of a crowded one dealt over blocks."""
+    cells = pts.select(*POINT, "first", F.floor(F.col("at") / width).alias("stretch"), parts.alias("parts"))
+    counts = cells.groupBy("cent", "stretch").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = cells.join(counts, ["cent", "stretch"]).withColumn("block", F.pmod(F.xxhash64("at", "text"), "blocks"))
+    return dealt.groupBy("cent", "stretch", "block").agg(F.collect_list(F.struct("first", "at", "text", "parts")).alias("members"))
+
+
+def nearest_points(pts: DataFrame, hours: float, similarity: float, measure: str, by_offset: bool) -> DataFrame:
+    """Points (cent, at, text) with found (offset, first): the first point that is alike, of each block around their cell.
+
+    The blocks hold the points of a cell and of those beside it in the order asked for, and a search ends at its first
+    find, so points that have partners are compared with few others.  ``offset`` counts if ``by_offset``, else it is 0.
+    """
+    width = int(hours * 3_600_000_000)
+    prepared, alike = MEASURES[measure]
+    table = _blocks(pts, width, prepared(F.col("text"), similarity))
+    steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c in (-1, 0, 1) for s in (-1, 0, 1)])
+    offset = (F.col("step.c") if by_offset else F.lit(0)).cast("long")
+    moved = F.transform("members", lambda m: F.struct(F.struct(offset.alias("offset"), m["first"].alias("first")).alias("rank"), m["at"].alias("at"), m["text"].alias("text"), m["parts"].alias("parts")))
+    around = table.withColumn("step", F.explode(steps)).select((F.col("cent") - F.col("step.c")).alias("cent"), (F.col("stretch") - F.col("step.s")).alias("stretch"), "block", moved.alias("moved"))
+    around = around.groupBy("cent", "stretch", "block").agg(F.sort_array(F.flatten(F.collect_list("moved"))).alias("others"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("others") - 1) / SKIP))
+    around = around.select("cent", "stretch", F.transform(starts, lambda i: F.slice("others", (i * SKIP + 1).cast("int"), F.lit(SKIP))).alias("others"))
+    rank = F.lit(None).cast(T.StructType([T.StructField("offset", T.LongType()), T.StructField("first", pts.schema["first"].dataType)]))
+
+    def first_of(p: Column) -> Column:
+        fits = lambda q: (F.abs(q["at"] - p["at"]) <= width) & alike(p["text"], q["text"], p["parts"], q["parts"], similarity) & (q["rank"]["first"]["id"] != p["first"]["id"])
+        one = lambda found, q: F.when(found.isNotNull(), found).when(fits(q), q["rank"])
+        return F.aggregate("others", rank, lambda found, some: F.when(found.isNotNull(), found).otherwise(F.aggregate(some, rank, one)))
+
+    each = F.transform("members", lambda p: F.struct(p["at"].alias("at"), p["text"].alias("text"), first_of(p).alias("found")))
+    searched = table.select("cent", "stretch", "members").join(around, ["cent", "stretch"])
+    return searched.select("cent", F.explode(F.filter(each, lambda f: f["found"].isNotNull())).alias("f")).select("cent", "f.*")
+
+
 def _with_point(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     return rows.join(table, POINT, how)
 
@@ -78,7 +123,7 @@ def first_partners(txns: DataFrame, hours: float, similarity: float, measure: st
     """id and duplicate_of: the partner of the least cents, then the first in ingest order.  ids are unique."""
     rows = expense_rows(txns)
     pts = points(rows)
-    best = linked_points(pts, hours, similarity, measure).groupBy(*POINT).agg(F.min(F.struct("offset", F.col("other_first.ord").alias("ord"), F.col("other_first.id").alias("id"))).alias("best"))
+    best = nearest_points(pts, hours, similarity, measure, True).groupBy(*POINT).agg(F.min(F.struct("found.offset", "found.first.ord", "found.first.id")).alias("best"))
     many = pts.filter("n > 1").select(*POINT, "first")
     second = _with_point(rows, many, "inner").filter(F.col("id") != F.col("first.id")).groupBy(*POINT).agg(F.first("first").alias("first"), F.min(F.struct("ord", "id")).alias("second"))
     df = _with_point(_with_point(rows, best, "left"), second, "left")
@@ -91,7 +136,7 @@ def earlier_partners(txns: DataFrame, hours: float, similarity: float, measure:
     """id and matched_with: the first row in ingest order that is alike, for each row that comes after it."""
     rows = expense_rows(txns)
     pts = points(rows)
-    linked = linked_points(pts, hours, similarity, measure).select(*POINT, F.col("other_first").alias("first"))
+    linked = nearest_points(pts, hours, similarity, measure, False).select(*POINT, "found.first")
     table = linked.unionByName(pts.select(*POINT, "first")).groupBy(*POINT).agg(F.min("first").alias("first"))
     return _with_point(rows, table, "inner").filter(F.col("first.ord") < F.col("ord")).select("id", F.col("first.id").alias("matched_with"))
 

@@ -96,3 +96,23 @@ def test_letter_pairs(spark):
     texts = ["", "a", "ab", "aaa", "abab", "é😀b", "user 17 user 17"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", alike.letter_pairs(F.col("text")).alias("p"))
     assert {r.text: list(r.p) for r in df.collect()} == {t: [ord(a) * 0x110000 + ord(b) for a, b in dict.fromkeys(zip(t, t[1:]))] for t in texts}
+
+
+def test_most_edits(spark):
+    """The most edits of a length are those that the likeness by division allows."""
+    df = spark.range(0, 300).select(F.col("id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("t"))
+    for least in (0.8, 0.85, 0.9, 0.7, 1.0):
+        got = {r.id: r.n for r in df.select("id", alike.edits(F.col("t"), least).alias("n")).collect()}
+        assert got == {n: max((d for d in range(n + 1) if n == 0 or 1 - d / n >= least), default=0) for n in range(300)}
+
+
+def test_crowded_band(spark, monkeypatch):
+    """20,000 different texts of one amount and instant that are all alike: 200 million pairs, of which few are compared."""
+    df = spark.range(20_000).select("id", F.col("id").alias("ord"), F.concat(F.lit("monthly rent of the flat, number "), F.col("id").cast("string")).alias("description"))
+    df = df.select("*", F.lit(Decimal("9.99")).alias("amount"), F.lit("2024-03-01").cast("date").alias("date"), F.lit("Expense").alias("category_type"), F.lit("debit").alias("type"))
+    assert dict(map(tuple, alike.first_partners(df, 48, 0.8, "edit").collect())) == {0: 1} | {i: 0 for i in range(1, 20_000)}
+    monkeypatch.setattr(alike, "BLOCK", 7)
+    monkeypatch.setattr(alike, "SKIP", 3)
+    rows = made(3)
+    got = {tuple(r) for r in alike.first_partners(frame(spark, rows), 48, 0.8, "edit").collect()}
+    assert got == {(i, min(c)[2]) for i, c in brute(rows, 48, 0.8, "edit").items()}
