@@ -43,16 +43,20 @@ def _without_extras(col: Column) -> Column:
 
 def _parse(t: Column, order: str | Column) -> Column:
     ymd, name_dmy, name_mdy, both, compact = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/\s]+([A-Za-z]{3,9})[-/\s,]*(\d{4}|\d{2})$", r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s*(\d{4}|\d{2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", r"^(\d{4})(\d{2})(\d{2})$"
-    n = lambda p, k: _number(t, p, k)
-    a, b = n(both, 1), n(both, 2)
-    month_first = (b > 12) | ((a <= 12) & (order == "MDY" if isinstance(order, Column) else F.lit(order == "MDY")))
-    return F.coalesce(
-        _date(n(ymd, 1), n(ymd, 2), n(ymd, 3)),
-        _date(n(name_dmy, 3), _month(t, name_dmy, 2), n(name_dmy, 1)),
-        _date(n(name_mdy, 3), _month(t, name_mdy, 1), n(name_mdy, 2)),
-        _date(n(both, 3), F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a)),
-        _date(n(compact, 1), n(compact, 2), n(compact, 3)),
-    )
+    first = order == "MDY" if isinstance(order, Column) else F.lit(order == "MDY")
+
+    def of(x: Column) -> Column:
+        month_first = (x["b"] > 12) | ((x["a"] <= 12) & first)
+        return _date(x["y"], F.when(month_first, x["a"]).otherwise(x["b"]), F.when(month_first, x["b"]).otherwise(x["a"]))
+
+    # A text is of one form at most, and only that one's numbers are looked for, each once.
+    n = lambda p, k, name: _number(t, p, k).alias(name)
+    made = lambda *parts: bound(F.struct(*parts), lambda x: _date(x["y"], x["m"], x["d"]))
+    found = F.when(t.rlike(both), bound(F.struct(n(both, 1, "a"), n(both, 2, "b"), n(both, 3, "y")), of))
+    found = found.when(t.rlike(ymd), made(n(ymd, 1, "y"), n(ymd, 2, "m"), n(ymd, 3, "d")))
+    found = found.when(t.rlike(name_dmy), made(n(name_dmy, 3, "y"), _month(t, name_dmy, 2).alias("m"), n(name_dmy, 1, "d")))
+    found = found.when(t.rlike(name_mdy), made(n(name_mdy, 3, "y"), _month(t, name_mdy, 1).alias("m"), n(name_mdy, 2, "d")))
+    return found.when(t.rlike(compact), made(n(compact, 1, "y"), n(compact, 2, "m"), n(compact, 3, "d")))
 
 
 def order_votes(col: Column) -> list[Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 GLYPHS = "₹$€£¥₩₽₺₫₱฿₦₴₪"
 
 
@@ -14,15 +16,22 @@ def parse_amount(col: Column, zero_is_null: bool = False) -> Column:
     Brackets and a minus sign make it negative.  A comma is a decimal mark if it stands after the last point with one
     or two digits behind it.
     """
-    t = F.trim(F.coalesce(col, F.lit("")))
+    value = bound(F.trim(F.coalesce(col, F.lit(""))), _signed)
+    return bound(value, lambda v: F.when(v != 0, v)) if zero_is_null else value
+
+
+def _signed(t: Column) -> Column:
     empty = F.lower(t).isin("", "-", "--", "null", "n/a")
     negative = t.rlike(r"^\(.*\)$") | F.regexp_replace(t, rf"[{GLYPHS}\s]", "").startswith("-")
     bare = F.regexp_replace(F.regexp_replace(t, r"[A-Za-z]+\.?", ""), r"[^0-9.,]", "")
-    decimal_comma = bare.rlike(r",\d{1,2}$") & ~bare.rlike(r",.*\.")
+    # Most cells are digits, points and commas only: nothing to take out, and no sign.
+    return F.when(t.rlike(r"^[0-9.,]+\z"), _plain(t)).when(~empty, bound(bound(bare, _plain), lambda v: F.when(negative, -v).otherwise(v)))
+
+
+def _plain(bare: Column) -> Column:
+    decimal_comma = bare.contains(",") & bare.rlike(r",\d{1,2}$") & ~bare.rlike(r",.*\.")
     plain = F.when(decimal_comma, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    value = F.regexp_extract(plain, r"^\d*\.?\d+", 0).try_cast("double")
-    value = F.when(~empty, F.when(negative, -value).otherwise(value))
-    return F.when(value != 0, value) if zero_is_null else value
+    return F.regexp_extract(plain, r"^\d*\.?\d+", 0).try_cast("double")
 
 
 def debit_credit(debit: Column, credit: Column, amount: Column, kind: Column | None = None) -> Column:

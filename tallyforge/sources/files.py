@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,28 +84,40 @@ def read_cells(spark: SparkSession, path: str, decoders: dict[str, Decoder] | No
     fit = F.col("length") <= MAX_BYTES
     files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), fit.alias("fit"), F.when(fit, F.col("content")).alias("content"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f in frame.itertuples():
-                held, n, problem = [], 0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                f_path, suffix, fits = (batch.column(c)[i].as_py() for c in ("path", "suffix", "fit"))
+                sheets, held, n, problem = [], [], 0, None
                 try:
-                    if not f.fit:
+                    if not fits:
                         raise ValueError(f"larger than {MAX_BYTES} bytes")
-                    if f.suffix not in known:
-                        raise ValueError(f"no reader for .{f.suffix} files; there are {', '.join(sorted(known))}")
-                    for sheet, cells in known[f.suffix](f.content):
-                        held.append((f.path, sheet, n, [c if c is None else str(c) for c in cells], None))
+                    if suffix not in known:
+                        raise ValueError(f"no reader for .{suffix} files; there are {', '.join(sorted(known))}")
+                    for sheet, cells in known[suffix](batch.column("content")[i].as_py()):
+                        sheets.append(sheet)
+                        held.append([c if c is None else str(c) for c in cells])
                         n += 1
                         if len(held) == BATCH:
-                            yield pd.DataFrame(held, columns=["path", "sheet", "row", "cells", "problem"])
-                            held = []
+                            yield _batch(f_path, sheets, n - len(held), held)
+                            sheets, held = [], []
                     problem = None if n else "no rows"
                 except Exception as e:  # noqa: BLE001  whatever is wrong with one file must not stop the others
                     problem = f"{type(e).__name__}: {e}"[:500]
-                held += [(f.path, None, None, None, problem)] if problem else []
-                yield pd.DataFrame(held, columns=["path", "sheet", "row", "cells", "problem"])
+                yield _batch(f_path, sheets, n - len(held), held)
+                if problem:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((f_path, None, None, None, problem), _TYPES, strict=True)], names=_NAMES)
 
-    return files.mapInPandas(run, _CELLS)
+    return files.mapInArrow(run, _CELLS)
+
+
+_NAMES = ["path", "sheet", "row", "cells", "problem"]
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+
+def _batch(path: str, sheets: list[str], first: int, cells: list[list[str]]) -> pa.RecordBatch:
+    n = len(cells)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path, _TYPES[0]), n), pa.array(sheets, _TYPES[1]), pa.array(range(first, first + n), _TYPES[2]), pa.array(cells, _TYPES[3]), pa.nulls(n, _TYPES[4])], names=_NAMES)
 
 
 _ROLES = T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("date", "debit", "credit", "amount", "type", "balance")], T.StructField("description", T.ArrayType(T.IntegerType()))])
@@ -150,8 +163,9 @@ def ledger_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = lambda role: parse_amount(_cell(F.col(f"r.{role}")), zero_is_null=True)
     day = F.coalesce(parse_date(F.col("written"), F.col("date_order")), F.when(book, serial_date(F.col("written").try_cast("double"))))
     words = F.array_join(F.filter(F.transform("r.description", lambda i: F.trim(F.get("cells", i - 1))), lambda x: x != ""), " — ")
-    both = debit_credit(number("debit"), number("credit"), number("amount"), debit_or_credit(_cell(F.col("r.type"))))
-    read = dated.select("path", "sheet", "row", day.alias("date"), F.coalesce(F.nullif(words, F.lit("")), F.lit("Transaction")).alias("description"), both.alias("m"), parse_amount(_cell(F.col("r.balance"))).alias("balance"), "currency", "date_order")
+    sides = ["debit", "credit", "amount"]
+    both = debit_credit(*[F.col(f"_{x}") for x in sides], debit_or_credit(_cell(F.col("r.type"))))
+    read = dated.withColumns({f"_{x}": number(x) for x in sides}).select("path", "sheet", "row", day.alias("date"), F.coalesce(F.nullif(words, F.lit("")), F.lit("Transaction")).alias("description"), both.alias("m"), parse_amount(_cell(F.col("r.balance"))).alias("balance"), "currency", "date_order")
     read = stored(read)
     money = lambda c: F.col(c).cast("decimal(18,2)")
     sound = read.filter("date is not null and m.amount > 0").select("path", "sheet", "row", "date", "description", money("m.amount").alias("amount"), F.col("m.type").alias("type"), money("balance").alias("balance"), "currency")
