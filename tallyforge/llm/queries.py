@@ -102,8 +102,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    """Beside the strings of 400 bytes, passages of over 50 words (many are shorter than that): rest is without both."""
+    df = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), passages=repeats.PASSAGE_WORDS)
+    return df.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("passage_bytes"),
+        "rest",
+    )
 
 
 def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

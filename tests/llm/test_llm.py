@@ -785,6 +785,50 @@ def test_repeats_query(spark, texts):
     assert all(r.text.isascii() is False or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows)
 
 
+def test_passages_query(spark, tmp_path):
+    """Passages of over 50 words and under 400 bytes are found by op10 too; clean documents are left alone."""
+    rng = random.Random(11)
+    plain = lambda n, a, b: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b))) for _ in range(n))
+    passages = [plain(rng.randint(51, 60), 3, 6) for _ in range(30)]
+    planted = [(2 * k + side, f"{plain(60, 2, 9)} {x} {plain(40, 2, 9)}") for k, x in enumerate(passages) for side in range(2)]
+    string = plain(100, 3, 6)
+    both = [(500 + side, f"{plain(60, 2, 9)} {string}\n{passages[0]} é {plain(9, 2, 9)}") for side in range(2)]
+    clean = [(1000 + k, None if k == 0 else f"{plain(rng.randint(0, 300), 2, 9)}é") for k in range(60)]
+    rows = planted + both + clean
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert max(len(x) for x in passages) < 400
+    assert all(out[d].n_passages == 1 and out[d].n_removed == 0 and passages[d // 2] not in out[d].rest for d, _ in planted)
+    assert all(out[d].n_passages == 0 and out[d].passage_bytes == 0 and out[d].rest == (t or "") for d, t in clean)
+    assert all(out[d].n_removed >= 400 and string not in out[d].rest and passages[0] not in out[d].rest for d, _ in both)
+    words = dict(zip([d for d, _ in rows], _repeated_words([t or "" for _, t in rows], repeats.PASSAGE_WORDS), strict=True))
+    assert all(out[d].n_bytes - out[d].passage_bytes == len(words[d].encode()) for d, _ in rows)
+    assert [(out[d].n_bytes, out[d].n_removed, out[d].n_spans, out[d].kept_sha256) for d, _ in rows] == _repeats([(t or "").encode() for _, t in rows], 400)
+
+
+@pytest.mark.parametrize("crowded", [1000, 2])
+def test_repeats_of_both_units(spark, crowded):
+    """Strings and passages that are looked for in one go are those of a go each."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(30)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared, made = [draw(rng.randint(4, 20)) for _ in range(10)], ["", " \n ", "one", "ab" * 90, "x " * 50]
+    for _ in range(80):
+        w = draw(rng.randint(0, 50))
+        at = rng.randint(0, len(w))
+        w[at:at] = rng.choice(shared)
+        made.append("".join(x + rng.choice([" ", " ", "  ", "\n"]) for x in w))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(made)], "k long, doc_id long, text string")
+    out = repeats.remove_repeats(df, window=40, anchor=16, crowded=crowded, passages=6, passage_anchor=8)
+    assert _digest(out) == _repeats([t.encode() for t in made], 40)
+    rows = out.orderBy("k").collect()
+    gone = [[(x.start, x.end) for x in r.passages] for r in rows]
+    assert [repeats._without(t.encode(), g).decode() for t, g in zip(made, gone, strict=True)] == _repeated_words(made, 6)
+    for r, t, g in zip(rows, made, gone, strict=True):
+        off = {j for a, b in [*g, *((x.start, x.end) for x in r.removed)] for j in range(a, b)}
+        assert r.rest == bytes(c for j, c in enumerate(t.encode()) if j not in off).decode("utf-8", "ignore")
+
+
 def test_repeats_edges(odd, empty):
     df = odd.withColumn("k", F.monotonically_increasing_id())
     assert repeats.remove_repeats(df).count() == len(ODD) and repeats.remove_repeats(empty).count() == 0
