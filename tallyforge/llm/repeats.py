@@ -185,34 +185,30 @@ def _runs(batches: Iterable[pa.RecordBatch], kinds: tuple[Kind, ...]) -> Iterato
 
 def _contexts(batches: Iterable[pa.RecordBatch], kinds: tuple[Kind, ...]) -> Iterator[pa.RecordBatch]:
     """What stands before and after the anchor of each listed run."""
-    types = [*[pa.int64()] * 7, pa.binary(), pa.binary()]
     for batch in batches:
+        runs, ends = batch.column("runs").flatten(), np.cumsum(batch.column("runs").value_lengths().to_numpy())
+        fields = {c: runs.field(c).to_numpy() for c in ("a", "c", "n", "m", "pos")}
         for i in range(batch.num_rows):
             whole, k1, k2 = batch.column("text")[i].as_py(), batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()
-            runs = batch.column("runs")[i].as_py()
-            texts = {u: coded([whole], kinds[u].unit)[0] for u in {r["a"] & 1 for r in runs}}
-            for at in range(0, len(runs), 4096):
-                rows = []
-                for r in runs[at : at + 4096]:
-                    u = r["a"] & 1
-                    text, w, (_, window, anchor) = texts[u], kinds[u].size, kinds[u]
-                    lo, n, off = r["pos"] >> 24, r["pos"] >> 12 & 0xFFF, r["pos"] & 0xFFF
-                    rows.append((r["a"], r["c"], r["n"], r["m"], k1, k2, lo + off, text[w * lo : w * (lo + off)], text[w * (lo + off + anchor) : w * (lo + n - 1 + window)]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "c", "n", "m", "k1", "k2", "place", "left", "right"])
+            own = {c: x[ends[i - 1] if i else 0 : ends[i]] for c, x in fields.items()}
+            for u in np.unique(own["a"] & 1).tolist():
+                (text, _), w, (_, window, anchor) = coded([whole], kinds[u].unit), kinds[u].size, kinds[u]
+                a, c, n, m, pos = (x[own["a"] & 1 == u] for x in own.values())
+                for at in range(0, len(a), 4096):
+                    part = slice(at, at + 4096)
+                    lo = pos[part] >> 24
+                    place = lo + (pos[part] & 0xFFF)
+                    before, after = (w * lo).tolist(), (w * (lo + (pos[part] >> 12 & 0xFFF) + (window - 1))).tolist()
+                    middle = (w * place).tolist()
+                    sides = [text[p:q] for p, q in zip(before, middle, strict=True)], [text[p + w * anchor : q] for p, q in zip(middle, after, strict=True)]
+                    columns = [a[part], c[part], n[part], m[part], np.full(len(lo), k1), np.full(len(lo), k2), place]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], *[pa.array(x, pa.binary()) for x in sides]], names=["a", "c", "n", "m", "k1", "k2", "place", "left", "right"])
 
 
 def _common(x: bytes, y: bytes) -> int:
     n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n
-    low, high = 0, n - 1
-    while low < high:
-        mid = (low + high + 1) // 2
-        if x[:mid] == y[:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    differ = int.from_bytes(x[:n], "little") ^ int.from_bytes(y[:n], "little")
+    return ((differ & -differ).bit_length() - 1) // 8 if differ else n
 
 
 def shared_parts(runs: list[tuple[bytes, bytes]], size: int) -> list[tuple[int, int]]:
@@ -232,37 +228,35 @@ def shared_parts(runs: list[tuple[bytes, bytes]], size: int) -> list[tuple[int,
 def shard_spans(groups: list[list[tuple]], kind: Kind) -> Iterator[tuple[int, int, int, int]]:
     """(k1, k2, start, end) of the repeated windows of runs that occur once.  A group: rows of one anchor, with
     (n, k1, k2, place, left, right).  An anchor, which all windows of its runs hold, is one value of the array."""
-    parts, owners, size = [], [], 0
+    parts, owners, w = [], [], kind.size
     unit, window, anchor = kind
     least, top = window - anchor + 1, int(np.iinfo(VALUES[unit]).max) + 3
     for g, rows in enumerate(groups):
-        for row, (l, r) in zip(rows, shared_parts([(x[4], x[5]) for x in rows], kind.size), strict=True):
+        for (n, k1, k2, place, left, right), (l, r) in zip(rows, shared_parts([(x[4], x[5]) for x in rows], w), strict=True):
             if l + r + anchor >= window:
-                left, right = np.frombuffer(row[4], dtype=VALUES[unit]), np.frombuffer(row[5], dtype=VALUES[unit])
-                value = np.empty(l + r + 2, dtype=np.int64)
-                value[:l] = left[len(left) - l :]
-                value[l + 1 : -1] = right[:r]
-                value += 2
-                value[l], value[-1] = top + g, 1
-                parts.append(value)
-                owners.append((size, l, r, row))
-                size += len(value)
-    if len(parts) < 2:
+                parts += [left[len(left) - w * l :], right[: w * r]]
+                owners.append((l, r, g, n == 1, k1, k2, place))
+    if len(owners) < 2:
         return
-    values = np.concatenate([*parts, [0]])
+    l, r, g, alone, k1, k2, place = np.array(owners, dtype=np.int64).T
+    at = np.cumsum(l + r + 2) - (l + r + 2)  # a part: what is left of the anchor, the anchor, what is right, an end
+    values = np.zeros(at[-1] + l[-1] + r[-1] + 3, dtype=np.int64)
+    values[at + l], values[at + l + r + 1] = top + g, 1
+    values[:-1][values[:-1] == 0] = np.frombuffer(b"".join(parts), dtype=VALUES[unit]).astype(np.int64) + 2
     if unit != "bytes":  # hashes by their rank, so that the array's buckets are few
         values = np.unique(values, return_inverse=True)[1]
-    starts = np.zeros(len(values), dtype=bool)
-    for at, l, r, _ in owners:
-        starts[at : at + min(l, l + r + 1 - least) + 1] = True
-    found = repeated_starts(values, suffix_array(values), starts, least)
-    for at, l, _, (n, k1, k2, place, _, _) in owners:
-        if n == 1:
-            hits = np.flatnonzero(found[at : at + l + 1])
-            if len(hits):
-                gaps = np.flatnonzero(np.diff(hits) > 1)
-                for i, j in zip(hits[np.append(0, gaps + 1)].tolist(), hits[np.append(gaps, len(hits) - 1)].tolist(), strict=True):
-                    yield k1, k2, place - l + i, place - l + j + window
+    edges = np.zeros(len(values) + 1, dtype=np.int64)
+    edges[at] += 1
+    edges[at + np.minimum(l, l + r + 1 - least) + 1] -= 1
+    hits = np.flatnonzero(repeated_starts(values, suffix_array(values), np.cumsum(edges)[:-1] > 0, least))
+    owner = np.searchsorted(at, hits, "right") - 1
+    hits, owner = hits[alone[owner] > 0], owner[alone[owner] > 0]
+    if len(hits):
+        gaps = np.flatnonzero((np.diff(hits) > 1) | (np.diff(owner) > 0))
+        first, last = np.append(0, gaps + 1), np.append(gaps, len(hits) - 1)
+        o = owner[first]
+        begin = place[o] - l[o] - at[o]
+        yield from zip(k1[o].tolist(), k2[o].tolist(), (begin + hits[first]).tolist(), (begin + hits[last] + window).tolist(), strict=True)
 
 
 def _shards(batches: Iterable[pa.RecordBatch], kinds: tuple[Kind, ...]) -> Iterator[pa.RecordBatch]:
