@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def _candidates(text: Column, brackets: str) -> list[Column]:
     a, b = brackets
@@ -24,7 +26,7 @@ def parse_array(text: Column, item: str) -> Column:
 
 def json_of(text: Column, brackets: str = "{}") -> Column:
     """The first candidate that is JSON of these brackets, as a variant; null if none is."""
-    return F.coalesce(*[F.when(c.startswith(brackets[0]), F.try_parse_json(c)) for c in _candidates(text, brackets)])
+    return F.coalesce(*[bound(c, lambda x: F.when(x.startswith(brackets[0]), F.try_parse_json(x))) for c in _candidates(text, brackets)])
 
 
 def parse_object(text: Column, fields: str) -> Column:

@@ -41,10 +41,17 @@ class Schema:
     rules: tuple[tuple[str, Callable], ...] = field(default=())
 
 
+LISTS = "array<array<boolean>>"
+
+
 def kind_of(v: Column) -> Column:
-    """string, number, boolean, object, array or null of a variant; null (no text) of a missing one."""
+    """string, number, boolean, object, array or null of a variant; null (no text) of a missing one.
+
+    The schema of an array or object is that of all it holds, so it is asked of single values only.  To tell arrays and objects,
+    what they hold is read as lists of lists, which costs nothing as it mostly is none."""
     t = F.schema_of_variant(v)
-    return F.when(v.isNotNull(), F.when(t == "VOID", "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("number"))
+    holds = lambda kind: F.try_variant_get(v, "$", kind).isNotNull()
+    return F.when(v.isNotNull(), F.when(F.is_variant_null(v), "null").when(holds(f"array<{LISTS}>"), "array").when(holds(f"map<string,{LISTS}>"), "object").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number"))
 
 
 def _each(flags: list[tuple[Column, Column]]) -> Column:
@@ -53,7 +60,7 @@ def _each(flags: list[tuple[Column, Column]]) -> Column:
 
 def _field_errors(v: Column, f: Field, path: Column) -> Column:
     """A value and its kind are worked out once, however many limits name them."""
-    return bound(F.struct(v.alias("v"), kind_of(v).alias("kind")), lambda x: _value_errors(x["v"], x["kind"], f, path))
+    return bound(v, lambda x: bound(kind_of(x), lambda kind: _value_errors(x, kind, f, path)))
 
 
 def _value_errors(v: Column, kind: Column, f: Field, path: Column) -> Column:

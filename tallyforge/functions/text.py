@@ -66,7 +66,8 @@ LINE_NOISE = rf"(?i)\b(?:{_NAMED_DAY}|{_DAY})|{_MONEY}|\b{one_of(DIRECTION_WORDS
 
 def bound(col: Column, make) -> Column:
     """``make(x)`` where x is ``col``, computed once however often ``make`` names it."""
-    return F.get(F.transform(F.array(col), make), F.lit(0))
+    # Within another one, get() would work out the type of all that is made again for every row.
+    return F.element_at(F.transform(F.array(col), make), 1)
 
 
 def _fold(col: Column, steps: list[tuple[str, str]]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.money import debit_credit, parse_amount
-from tallyforge.functions.text import debit_or_credit, quoted
+from tallyforge.functions.text import bound, debit_or_credit, quoted
 
 #: Words of each role's header, looked for as whole words.
 ROLES = {
@@ -99,15 +99,18 @@ def stitch_lines(lines: DataFrame, key: str, text: str = "text", order: str = "l
 
 def chunk_plan(texts: DataFrame, text: str = "text", letters: int = CHUNK_LETTERS, most: int = CHUNK_LINES, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """chunk, first_line, chunk_text of each text; those of more ``letters`` or more than ``most`` lines are cut into chunks of
-    ``size`` lines with an overlap."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    long = (F.length(text) > letters) | (n > most)
+    ``size`` lines with an overlap.  A text is split once, not for each of its chunks."""
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
-    df = texts.withColumn("chunk", F.explode(F.when(long, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
-    first = F.col("chunk") * step
-    return df.withColumns({"first_line": first, "chunk_text": F.when(long, F.array_join(F.slice(lines, first + 1, size), "\n")).otherwise(F.col(text))})
+    piece = lambda chunk, first, words: F.struct(chunk.alias("chunk"), first.alias("first_line"), words.alias("chunk_text"))
+
+    def pieces(lines: Column) -> Column:
+        n = F.size(lines)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda c: piece(c, c * step, F.array_join(F.slice(lines, c * step + 1, size), "\n")))
+        return F.when((F.length(text) > letters) | (n > most), cut).otherwise(F.array(piece(F.lit(0), F.lit(0), F.col(text))))
+
+    df = texts.withColumn("_piece", F.explode(bound(F.split(text, "\n"), pieces)))
+    return df.withColumns({c: F.col(f"_piece.{c}") for c in ("chunk", "first_line", "chunk_text")}).drop("_piece")
 
 
 def csv_lines(txns: DataFrame) -> DataFrame:
